@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
@@ -133,6 +133,18 @@ def title_case(text: Column) -> Column:
     )
 
 
+def pinned(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are computed once, whatever is filtered or exploded behind them.
+
+    Spark moves a filter below the projections it looks at by repeating their
+    expressions, which multiplies work built in several steps.  A one-row
+    generator lets filters on other columns pass and stops those on its own.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    kept = [c for c in df.columns if c not in values]
+    return df.select(*kept, F.inline_outer(F.array(row)).alias(*values))
+
+
 def first_by_rank(df, keys: Sequence[str], order: Sequence[Column], limit: int = 1, rank: str | None = None):
     """The first ``limit`` rows per key.
 

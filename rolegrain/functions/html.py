@@ -86,3 +86,7 @@ _PARSED = T.StructType([
 def parse_html(content: pd.Series) -> pd.DataFrame:
     """Escaped HTML to ``struct<text, blocks>``; blocks is null when the page has no block element."""
     return pd.DataFrame([read_html(c) for c in content], columns=["text", "blocks"], index=content.index)
+
+
+# Keeps Spark from running the reader again for filters on its result.
+parse_html = parse_html.asNondeterministic()

@@ -98,5 +98,5 @@ def decide(findings: Column) -> Column:
 def with_eligibility(df: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
     """Add ``findings`` and ``eligibility``."""
     marked = df.withColumn("_all", combined_text(F.col(title), F.col(text)))
-    marked = marked.withColumn("findings", first_findings(F.col("_all"))).drop("_all")
+    marked = C.pinned(marked, {"findings": first_findings(F.col("_all"))}).drop("_all")
     return marked.withColumn("eligibility", decide(F.col("findings")))

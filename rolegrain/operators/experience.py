@@ -61,7 +61,7 @@ def with_mentions(df: DataFrame, text: str = "text", into: str = "mentions") ->
             free = F.filter(free, _clear_of(taken))
         df = df.withColumn(name, F.when(source.rlike(_ANY_YEARS), free).otherwise(F.array().cast(_NONE)).cast(_NONE))
         names.append(name)
-    return df.withColumn(into, F.concat(*names)).drop(*names)
+    return C.pinned(df, {into: F.concat(*names)}).drop(*names)
 
 
 def binding_years(mentions: Column) -> Column:

@@ -226,7 +226,7 @@ def with_decision(fields: DataFrame, into: str = "decision") -> DataFrame:
         rungs.append((hit, _human(category, reason) if key is None else _decision(category, PROFILE_VALUE, reason, key)))
     for category, phrases, reason in R.HUMAN_QUESTIONS:
         rungs.append((C.contains_any(said, phrases), _human(category, reason)))
-    return fields.withColumn(into, C.ladder(rungs, _human(*R.UNKNOWN_FIELD))).drop(
+    return C.pinned(fields, {into: C.ladder(rungs, _human(*R.UNKNOWN_FIELD))}).drop(
         "_label", "_type", "_name", "_hint", "_context", "_own", "_everything", "_said", "_auth", "_sponsor",
         "_future", "_current", "_either", "_without", "_resume", "_cover",
     )
@@ -320,7 +320,7 @@ def resolve_fields(fields: DataFrame, facts: DataFrame, resume_present: str = "r
         ],
         F.lit("unknown"),
     )
-    resolved = joined.withColumns({
+    resolved = C.pinned(joined, {
         "label": F.coalesce(F.nullif("label", F.lit("")), F.lit("[unlabeled field]")),
         "required": must | (action == RESUME_FILE), "status": status, "source": source,
         "display_answer": F.when(key.isin(R.POLICY_KEYS), answer),

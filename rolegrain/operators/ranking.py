@@ -61,7 +61,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     ``semantic_raw``.
     """
     c = F.col
-    scored = pairs.withColumns({
+    scored = C.pinned(pairs, {
         "required": P.coverage(c("required_skills"), c("requirement_groups"), c("skills"), "required"),
         "preferred": P.coverage(c("preferred_skills"), c("requirement_groups"), c("skills"), "preferred"),
         "required_min": E.required_years(c("mentions")),
@@ -76,7 +76,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     })
     available = {name: c("available")[name] for name in flags}
     scores = {name: c(f"{name}_score") for name in S.FIT_WEIGHTS}
-    scored = scored.withColumns({
+    scored = C.pinned(scored, {
         "fit": P.fit_score(scores, available),
         "selection_score": P.selection_score(
             c("role_score"), c("semantic_score"), c("required_score"), available["required"]

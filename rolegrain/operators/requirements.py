@@ -55,7 +55,7 @@ def skills_sql(low: str) -> str:
 def with_skills(df: DataFrame, text: str, into: str = "skills") -> DataFrame:
     """Add the sorted, distinct skills named in a text column."""
     lowered = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    return lowered.withColumn(into, F.expr(skills_sql("_low"))).drop("_low")
+    return C.pinned(lowered, {into: F.expr(skills_sql("_low"))}).drop("_low")
 
 
 def preferred_sql(low: str, skills: str) -> str:
@@ -313,7 +313,7 @@ def with_structure(
         ),
         F.transform(F.col("_or.found"), lambda s: group(s, "alternative", one)),
     )
-    lines = lines.withColumns({
+    lines = C.pinned(lines, {
         "groups": C.ladder(
             [
                 (kind == "forced", F.array(group(base, "minimum_count", F.col(forced)))),
@@ -353,8 +353,8 @@ def line_flags(lines: DataFrame, line: str = "line") -> DataFrame:
         "min_count": F.when(body, at_least_count(raw)),
         "_low": F.lower(raw),
     })
-    marked = marked.withColumn(
-        "skills", F.when(body & raw.isNotNull(), F.expr(skills_sql("_low"))).otherwise(C.empty_strings())
+    marked = C.pinned(
+        marked, {"skills": F.when(body & raw.isNotNull(), F.expr(skills_sql("_low"))).otherwise(C.empty_strings())}
     )
     return marked.withColumn("has_skills", F.size("skills") > 0).drop("_low")
 
