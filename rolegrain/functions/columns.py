@@ -7,6 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .literals import required_literals
+
 SPACE = r"(?U)\s+"
 FLAGS = "(?iUd)"
 
@@ -16,8 +18,11 @@ def java(pattern: str) -> str:
     return FLAGS + pattern
 
 
-def one_regex(patterns: Iterable[str]) -> str:
-    return FLAGS + "(?:" + "|".join(patterns) + ")"
+def one_regex(patterns: Iterable[str], flags: str = FLAGS) -> str:
+    """One alternation; where patterns start at a word, the word start is tested before them."""
+    at_word = [p[2:] for p in patterns if p.startswith(r"\b")]
+    elsewhere = [p for p in patterns if not p.startswith(r"\b")]
+    return flags + "(?:" + "|".join(([r"\b(?:" + "|".join(at_word) + ")"] if at_word else []) + elsewhere) + ")"
 
 
 def any_of(text: Column, patterns: Iterable[str]) -> Column:
@@ -25,6 +30,13 @@ def any_of(text: Column, patterns: Iterable[str]) -> Column:
     return F.coalesce(text.rlike(one_regex(patterns)), F.lit(False))
 
 
+def any_of_lower(low: Column, patterns: Sequence[str]) -> Column:
+    """``any_of`` for long lower-cased text: the patterns run only where a literal they need occurs."""
+    hit = F.coalesce(low.rlike(one_regex(patterns, "(?Ud)")), F.lit(False))
+    literals = required_literals(patterns)
+    return hit if literals is None else contains_any(low, literals) & hit
+
+
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
     """Text matched by the first pattern of the pack that hits, else null."""
     return F.coalesce(*[F.nullif(F.regexp_extract(text, java(p), 0), F.lit("")) for p in patterns])

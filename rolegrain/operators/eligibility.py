@@ -1,4 +1,7 @@
-"""Eligibility findings and decision."""
+"""Eligibility findings and decision.
+
+All functions take text as ``combined_text`` gives it: normalised and lower-cased.
+"""
 
 from __future__ import annotations
 
@@ -20,12 +23,12 @@ def combined_text(title: Column, text: Column) -> Column:
 
 
 def has_exception(text: Column, patterns: list[str]) -> Column:
-    return C.any_of(text, patterns) if patterns else F.lit(False)
+    return C.any_of_lower(text, patterns) if patterns else F.lit(False)
 
 
 def category_hit(text: Column, patterns: list[str], exceptions: list[str]) -> Column:
     """Whether a category applies, without looking for evidence."""
-    return C.any_of(text, patterns) & ~has_exception(text, exceptions)
+    return C.any_of_lower(text, patterns) & ~has_exception(text, exceptions)
 
 
 def find_matches(text: Column, patterns: list[str], category: str, reason: str) -> Column:
@@ -40,7 +43,7 @@ def find_matches(text: Column, patterns: list[str], category: str, reason: str)
             ),
         )
 
-    return F.when(C.any_of(text, patterns), F.concat(*[findings(p) for p in patterns])).otherwise(
+    return F.when(C.any_of_lower(text, patterns), F.concat(*[findings(p) for p in patterns])).otherwise(
         F.array().cast(_NONE)
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.literals import required_literals
 from ..rules import skills as S
 from ..schemas import GROUP
 from . import text as X
@@ -31,25 +32,23 @@ def _skill_patterns() -> dict[str, list[str]]:
     return dict(sorted(packs.items()))
 
 
-def _any_skill() -> str:
-    """One alternation over all skills; word starts are tested before the words."""
-    patterns = [p for pack in _skill_patterns().values() for p in pack]
-    at_word = [p[2:] for p in patterns if p.startswith(r"\b")]
-    elsewhere = [p for p in patterns if not p.startswith(r"\b")]
-    return _LOW + "(?:" + "|".join([r"\b(?:" + "|".join(at_word) + ")"] + elsewhere) + ")"
+def _rule_sql(low: str, skill: str, pack: Sequence[str]) -> str:
+    """The skill where one of its patterns occurs; a needed literal is looked for first."""
+    literals = required_literals(pack)
+    rule = f"{low} rlike r'{C.one_regex(pack, _LOW)}'"
+    if literals:
+        rule = f"({' or '.join(f'contains({low}, {chr(39)}{x}{chr(39)})' for x in literals)}) and {rule}"
+    return f"if({rule}, '{skill}', null)"
 
 
 def skills_sql(low: str) -> str:
     """SQL text: sorted skills in the lower-cased text ``low``, a column or lambda variable.
 
-    The rule ladder runs only where any skill occurs at all.  It is text
-    because it is used in several places and parses much faster than some
-    hundred column calls.
+    It is text because it is used in several places and parses much faster
+    than some hundred column calls.
     """
-    hits = ", ".join(
-        f"if({low} rlike r'{_LOW}(?:{'|'.join(pack)})', '{skill}', null)" for skill, pack in _skill_patterns().items()
-    )
-    return f"if({low} rlike r'{_any_skill()}', array_compact(array({hits})), cast(array() as array<string>))"
+    hits = ", ".join(_rule_sql(low, skill, pack) for skill, pack in _skill_patterns().items())
+    return f"array_compact(array({hits}))"
 
 
 def with_skills(df: DataFrame, text: str, into: str = "skills") -> DataFrame:

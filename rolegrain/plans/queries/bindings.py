@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from ...operators import text as X
 from ...rules import boards as B
 from ...rules import scoring as S
+from ...session import spread
 
+LONG_TEXTS = ("documents", "pages")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -33,7 +35,8 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(frame) if name in LONG_TEXTS else frame
 
 
 # --- literals ---------------------------------------------------------------

@@ -55,6 +55,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
+def spread(df: DataFrame, most: int = 200) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than there are cores.
+
+    For work that is heavy per row; a table of many files is left as it is.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the checkpoint folder for tables a job writes and reads back."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
