@@ -145,6 +145,11 @@ def title_case(text: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, as a lambda variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pinned(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     """Add columns that are computed once, whatever is filtered or exploded behind them.
 

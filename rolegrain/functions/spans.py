@@ -16,23 +16,22 @@ def find_all(text: Column, pattern: str) -> Column:
     opening one, and running lengths give the positions.  Spark has no
     built-in that returns the offsets of all matches.
     """
-    clean = F.translate(text, OPEN + CLOSE, "  ")
+    clean = F.replace(F.replace(text, F.lit(OPEN), F.lit(" ")), F.lit(CLOSE), F.lit(" "))
     pieces = F.split(F.regexp_replace(clean, pattern, OPEN + "$0" + CLOSE), OPEN)
-    head, tail = F.element_at(pieces, 1), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def step(state: Column, piece: Column) -> Column:
-        match = F.substring_index(piece, CLOSE, 1)
-        end = state["at"] + F.length(match)
+        # Only the text in front of the first match comes without a closing marker.
+        is_match, match = F.contains(piece, F.lit(CLOSE)), F.substring_index(piece, CLOSE, 1)
+        span = F.struct(
+            state["at"].alias("start"), (state["at"] + F.length(match)).alias("end"), match.alias("match")
+        )
         return F.struct(
-            (state["at"] + F.length(piece) - F.lit(1)).alias("at"),
-            F.concat(
-                state["out"],
-                F.array(F.struct(state["at"].alias("start"), end.alias("end"), match.alias("match"))),
-            ).alias("out"),
+            (state["at"] + F.length(piece) - is_match.cast("int")).alias("at"),
+            F.when(is_match, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"),
         )
 
-    start = F.struct(F.length(head).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(tail, start, step, lambda state: state["out"])
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.aggregate(pieces, start, step, lambda state: state["out"])
 
 
 def context(text: Column, start: Column, end: Column, radius: int) -> Column:

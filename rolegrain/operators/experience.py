@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.literals import required_literals
 from ..functions.spans import context, find_all, window
 from ..rules import experience as E
 from ..rules import scoring as S
@@ -22,21 +23,24 @@ def _candidates(text: Column, kind: str, pattern: str) -> Column:
     regex = C.java(pattern)
 
     def build(span: Column) -> Column:
-        around = context(text, span["start"], span["end"], E.CONTEXT_RADIUS)
-        low = F.lower(around)
         first = F.regexp_extract(span["match"], regex, 1).cast("int")
         second = F.regexp_extract(span["match"], regex, 2).cast("int") if kind == "range" else first
         near = F.lower(window(text, span["start"], span["end"], E.DEGREE_LOOKBACK, E.DEGREE_LOOKAHEAD))
-        degree = C.contains_any(low, E.DEGREE_TERMS) & ~F.contains(near, F.lit(E.EXPERIENCE_TERM))
-        return F.when(
-            F.contains(low, F.lit(E.EXPERIENCE_TERM)) & ~degree,
-            F.struct(
-                F.lit(kind).alias("type"), span["match"].alias("match"),
-                F.least(first, second).alias("min_years"), F.greatest(first, second).alias("max_years"),
-                C.contains_any(low, E.PREFERRED_WORDS).alias("preferred"), around.alias("text"),
-                span["start"].alias("start"), span["end"].alias("end"),
-            ),
-        )
+
+        def judge(around: Column, low: Column) -> Column:
+            degree = C.contains_any(low, E.DEGREE_TERMS) & ~F.contains(near, F.lit(E.EXPERIENCE_TERM))
+            return F.when(
+                F.contains(low, F.lit(E.EXPERIENCE_TERM)) & ~degree,
+                F.struct(
+                    F.lit(kind).alias("type"), span["match"].alias("match"),
+                    F.least(first, second).alias("min_years"), F.greatest(first, second).alias("max_years"),
+                    C.contains_any(low, E.PREFERRED_WORDS).alias("preferred"), around.alias("text"),
+                    span["start"].alias("start"), span["end"].alias("end"),
+                ),
+            )
+
+        around = context(text, span["start"], span["end"], E.CONTEXT_RADIUS)
+        return C.let(around, lambda a: C.let(F.lower(a), lambda low: judge(a, low)))
 
     return F.array_compact(F.transform(find_all(text, regex), build))
 
@@ -52,6 +56,8 @@ def with_mentions(df: DataFrame, text: str = "text", into: str = "mentions") ->
     later kind looks at it.  Texts without any year phrase skip all of it.
     """
     source = F.col(text)
+    low = F.lower(source)
+    has_years = (F.contains(low, F.lit("year")) | F.contains(low, F.lit("yr"))) & source.rlike(_ANY_YEARS)
     names = []
     for number, (kind, pattern) in enumerate(E.MENTION_KINDS):
         name = f"_kind{number}"
@@ -59,7 +65,9 @@ def with_mentions(df: DataFrame, text: str = "text", into: str = "mentions") ->
         free = _candidates(source, kind, pattern)
         if taken is not None:
             free = F.filter(free, _clear_of(taken))
-        df = df.withColumn(name, F.when(source.rlike(_ANY_YEARS), free).otherwise(F.array().cast(_NONE)).cast(_NONE))
+        needed = required_literals([pattern]) or []
+        worth = has_years & C.contains_any(low, needed) if needed else has_years
+        df = df.withColumn(name, F.when(worth, free).otherwise(F.array().cast(_NONE)).cast(_NONE))
         names.append(name)
     return C.pinned(df, {into: F.concat(*names)}).drop(*names)
 

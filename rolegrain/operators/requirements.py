@@ -79,7 +79,10 @@ def normalize_heading(line: Column) -> Column:
 
 def heading_type(line: Column) -> Column:
     """required / preferred / general for a standalone heading, else null."""
-    normal = normalize_heading(line)
+    return _heading_of(normalize_heading(line))
+
+
+def _heading_of(normal: Column) -> Column:
     return C.ladder(
         [((F.length(normal) <= S.MAX_HEADING_CHARS) & normal.isin(words), F.lit(kind)) for kind, words in S.HEADINGS],
         F.lit(None).cast("string"),
@@ -336,21 +339,20 @@ def with_structure(
 
 def line_flags(lines: DataFrame, line: str = "line") -> DataFrame:
     """Everything a line says by itself; the text behind an inline heading replaces the line."""
-    raw = F.col(line)
-    marked = lines.withColumn("heading", heading_type(raw)).withColumn(
-        "_inline", F.when(F.col("heading").isNull(), inline_heading(raw))
-    )
+    raw, low = F.col(line), F.col("_low")
+    marked = lines.withColumn("_normal", normalize_heading(raw)).withColumn("heading", _heading_of(F.col("_normal")))
+    may_lead = F.col("heading").isNull() & C.contains_any(raw, S.HEADING_MARKS)
+    marked = marked.withColumn("_inline", F.when(may_lead, inline_heading(raw)))
     marked = marked.withColumns({
         "inline": F.col("_inline.section"), line: F.coalesce(F.col("_inline.rest"), raw),
-    }).drop("_inline")
+    }).drop("_inline", "_normal").withColumn("_low", F.lower(line))
     body = F.col("heading").isNull()
     marked = marked.withColumns({
-        "boiler": C.any_of(raw, S.BOILERPLATE),
-        "wants_preferred": C.any_of(raw, S.PREFERRED_LINES),
-        "wants_required": C.any_of(raw, S.REQUIRED_LINES),
-        "continues": is_continuation(raw),
-        "min_count": F.when(body, at_least_count(raw)),
-        "_low": F.lower(raw),
+        "boiler": C.any_of_lower(low, S.BOILERPLATE),
+        "wants_preferred": C.any_of_lower(low, S.PREFERRED_LINES),
+        "wants_required": C.any_of_lower(low, S.REQUIRED_LINES),
+        "continues": F.coalesce(low.rlike(C.one_regex(S.CONTINUATIONS, _LOW)), F.lit(False)),
+        "min_count": F.when(body & F.contains(low, F.lit("least")), at_least_count(raw)),
     })
     marked = C.pinned(
         marked, {"skills": F.when(body & raw.isNotNull(), F.expr(skills_sql("_low"))).otherwise(C.empty_strings())}

@@ -70,19 +70,16 @@ def explode_lines(df: DataFrame, lines: Column, line_no: str = "line_no", line:
 
 def chunk_words(text: Column, size: int = scoring.CHUNK_WORDS, overlap: int = scoring.CHUNK_OVERLAP) -> Column:
     """Overlapping word chunks; a text of at most ``size`` words stays as it is."""
-    tokens = C.words(text)
     stride = size - overlap
-    count = F.size(tokens)
-    last = F.ceil((count - F.lit(size)) / F.lit(float(stride))).cast("int")
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.array_join(F.slice(tokens, i * F.lit(stride) + F.lit(1), size), " "),
-    )
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", C.empty_strings())
-        .when(count <= size, F.array(text))
-        .otherwise(chunks)
-    )
+
+    def chunks(tokens: Column) -> Column:
+        last = F.ceil((F.size(tokens) - F.lit(size)) / F.lit(float(stride))).cast("int")
+        return F.when(F.size(tokens) <= size, F.array(text)).otherwise(F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda i: F.array_join(F.slice(tokens, i * F.lit(stride) + F.lit(1), size), " "),
+        ))
+
+    return F.when(F.coalesce(text, F.lit("")) == "", C.empty_strings()).otherwise(C.let(C.words(text), chunks))
 
 
 def office_texts(offices: Column) -> Column:

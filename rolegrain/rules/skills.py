@@ -139,6 +139,7 @@ HEADINGS = [
     ("general", OTHER_HEADINGS),
 ]
 MAX_HEADING_CHARS = 100
+HEADING_MARKS = [":", "—", "–", "-"]
 
 # Line cues.
 BOILERPLATE = [
