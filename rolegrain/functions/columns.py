@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,6 +163,12 @@ def pinned(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return df.select(*kept, F.inline_outer(F.array(row)).alias(*values))
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row, without a join."""
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
+
+
 def first_by_rank(df, keys: Sequence[str], order: Sequence[Column], limit: int = 1, rank: str | None = None):
     """The first ``limit`` rows per key.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..rules import scoring as S
+from ..session import cut
 
 # Sizes of the sample parts.
 TOP, NEAR_THRESHOLD, BOTTOM, MOST_WARNED, LOW_CONFIDENCE = 3, 5, 3, 5, 5
@@ -29,10 +30,12 @@ def _slices(df: DataFrame, parts: Sequence[tuple[DataFrame, list[Column], int]])
 def select_examples(scored: DataFrame, keys: Sequence[str] = ("board_token", "posting_id")) -> DataFrame:
     """Calibration sample: top, nearest to the threshold, bottom, most warned, least evidence.
 
-    Needs ``score``, ``confidence`` and ``warning_count``.  Each part is a
-    bounded head of the frame; a posting in two parts keeps the first.  The
-    result has ``part`` and ``place``.
+    Needs ``score``, ``confidence`` and ``warning_count``, and keeps just them,
+    the keys, ``part`` and ``place``.  Each part is a bounded head of the frame;
+    a posting in two parts keeps the first.  The narrow frame is stored once,
+    as five parts read it.
     """
+    scored = cut(scored.select(*keys, "score", "confidence", "warning_count"))
     key_order = [F.asc(k) for k in keys]
     key_down = [F.desc(k) for k in keys]
     parts = [
@@ -56,8 +59,10 @@ def select_examples(scored: DataFrame, keys: Sequence[str] = ("board_token", "po
 def review_set(compared: DataFrame, keys: Sequence[str] = ("board_token", "posting_id")) -> DataFrame:
     """Route changes, then evidence-held postings, then the top of the list, each posting once.
 
-    Needs ``current_route``, ``route``, ``score``; keeps ``part`` (0, 1, 2).
+    Needs ``current_route``, ``route``, ``score``, and keeps just them, the keys
+    and ``part`` (0, 1, 2).  The narrow frame is stored once for its three readers.
     """
+    compared = cut(compared.select(*keys, "current_route", "route", "score"))
     changed = compared.filter(F.col("current_route") != F.col("route")).withColumn("part", F.lit(0))
     held = compared.filter(
         (F.col("score") >= S.MANUAL_THRESHOLD) & (F.col("route") != "MANUAL_PRIORITY")

@@ -51,10 +51,7 @@ def run_funnel(annotated: DataFrame, stale: DataFrame | None = None) -> DataFram
     totals = annotated.agg(*funnel_counts())
     if stale is None:
         return totals
-    # Both sides are one row: the pairing key is a constant.
-    one = F.lit(1).alias("_one")
-    gone = stale.agg(F.count("*").alias("stale")).select("*", one)
-    return totals.select("*", one).join(gone, "_one").drop("_one")
+    return C.beside(totals, stale.agg(F.count("*").alias("stale")))
 
 
 def board_summary(
@@ -121,13 +118,12 @@ TIMINGS = ("fetch_seconds", "filtering_seconds", "resume_cache_seconds", "scorin
 
 def run_row(funnel: DataFrame, routes: DataFrame, run_id: Column, completed_at: Column, timings: dict[str, Column]):
     """The run table row: counts of the funnel and the routes, timings rounded to milliseconds."""
-    one = F.lit(1).alias("_one")
     routed = routes.agg(
         F.count("*").alias("jobs_eligible"),
         F.count_if(F.col("route") == "MANUAL_PRIORITY").alias("manual_priority_count"),
         F.count_if(F.col("route") == "AGENT_APPLY").alias("agent_apply_count"),
-    ).select("*", one)
-    return funnel.select("*", one).join(routed, "_one").select(
+    )
+    return C.beside(funnel, routed).select(
         run_id.alias("run_id"), completed_at.alias("completed_at"), F.col("discovered").alias("jobs_discovered"),
         F.col("target_roles").alias("target_role_jobs"), F.col("us_compatible").alias("us_compatible_jobs"),
         "jobs_eligible", "manual_priority_count", "agent_apply_count",

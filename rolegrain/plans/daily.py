@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import queues as Q
 from ..operators import text as X
 
@@ -23,8 +24,7 @@ def daily_report(
     scan = X.export_scan_summary(Q.fresh_scan(runs, scan_started)).agg(F.first(F.struct("*")).alias("scan"))
     # The queue is bounded by its limit, so it folds into one report row.
     candidates = X.export_candidate(queue).agg(F.collect_list(F.struct("*")).alias("candidates"))
-    one = F.lit(1).alias("_one")
-    joined = scan.select("*", one).join(candidates.select("*", one), "_one").join(stale.select("*", one), "_one")
+    joined = C.beside(scan, candidates, stale)
     status = (
         F.when(F.col("scan").isNull() | (F.coalesce("scan.jobs_discovered", F.lit(0)) <= 0), F.lit("BLOCKED_NO_FRESH_SCAN"))
         .when(F.size("candidates") == 0, F.lit("COMPLETED_NO_CANDIDATES"))
