@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 10_000
@@ -30,15 +30,31 @@ def build(app: str = "rolegrain", master: str | None = None, **conf: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared checkpoint folder.
+
+    Only a ``local`` master, whose one process sees its own disk, falls back to a temporary folder; on a cluster a missing
+    ``spark.checkpoint.dir`` is an error.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="rolegrain-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="rolegrain-")
+    spark.sparkContext.setCheckpointDir(shared)
     return spark.sparkContext.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back: lineage ends, columns stay prunable."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,11 +66,6 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; beyond it Spark joins by shuffling."""
-    return F.broadcast(df) if fits(df, limit) else df
-
-
 def spread(df: DataFrame, most: int = 200) -> DataFrame:
     """Spread an input that arrives in fewer partitions than there are cores.
 
