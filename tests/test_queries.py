@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from rolegrain.plans.queries import QUERIES, SQL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -21,7 +22,7 @@ QUICK = [
     "d13_evidence", "e3_semantic_scores", "e3_semantic_scores_shuffled", "g1_best_profile", "g5_work_queue", "h6_run_history_rows",
     "h13_headline_metrics", "j1_upsert_postings", "j4_ensure_applications", "j12_status_changes", "k3_resolved_fields",
 ]
-NAMES = sorted(driver.queries()) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = sorted(QUERIES) if os.environ.get("ALL_QUERIES") else QUICK
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +39,7 @@ def normal(rows):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
     assert not set(driver.oracle_sql()) - set(driver.queries())
 
 
