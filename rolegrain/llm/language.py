@@ -29,7 +29,9 @@ BUCKETS, WIDTH = 1 << 14, 16
 ORDERS = (2, 3, 4)
 #: Labelled rows that are drawn for training, about.
 SAMPLE = 6_000
-EPOCHS, BATCH, RATE = 6, 32, 2.0
+EPOCHS, BATCH, RATE = 10, 32, 2.0
+#: An average spreads a text's gradient over its subwords; the rate of the embeddings makes up for it.
+SPREAD = 200.0
 PRECISION = 0.99
 SPACE = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -142,8 +144,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
             back = error @ weights.T
             weights -= rate * hidden.T @ error
             bias -= rate * np.float32(0.1) * error.sum(axis=0)
-            # Averages spread a text's gradient over its subwords; the rate of the embeddings makes up for it.
-            table -= rate * np.float32(20) * (x.T @ back)
+            table -= rate * np.float32(SPREAD) * (x.T @ back)
             step += 1
     logits = np.concatenate([dense(tuning[a : a + 256]) @ table @ weights + bias for a in range(0, len(tuning), 256)]).astype(float)
     temperature = min((t / 20 for t in range(2, 101)), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(tuning)), goal[tuning]] + 1e-12).sum())
