@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LINES = 24
+LINES = 64
 #: Rows per shard and queries per block, about.
 SHARD, BLOCK = 16_384, 2_048
 #: Half-widths of the windows, in standard deviations of a projected unit vector, and the share of lines that must collide.
-RADII, SHARE = (0.25, 0.5, 0.75, 1.0, 1.3, 1.7), 0.65
+RADII, SHARE = (0.3, 0.6, 0.9, 1.2), 0.4
 #: Share of a shard's rows after which a query stops.
 ENOUGH = 0.3
 
@@ -47,7 +47,7 @@ def nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
     lines *= np.sqrt(width) / np.linalg.norm(lines, axis=0)
     norms, query_norms = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
     values, marks = (rows / norms[:, None]) @ lines, (queries / query_norms[:, None]) @ lines
-    orders = np.argsort(values, axis=0, kind="stable").T.copy()
+    orders = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
     ordered = np.sort(values, axis=0).T.copy()
     needed, enough = int(np.ceil(SHARE * LINES)), max(20 * k, int(ENOUGH * len(rows)))
     # The ends of every query's window on every line and at every radius; the last covers the whole line.
@@ -57,16 +57,14 @@ def nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
     ]
     ends.append((np.zeros_like(ends[0][0]), np.full_like(ends[0][0], len(rows))))
     for q in range(len(queries)):
-        counts = np.zeros(len(rows), np.int16)
+        counts = np.zeros(len(rows), np.int64)
         low = high = None
         for lower, upper in ends:
-            for i in range(LINES):
-                a, b = lower[i, q], upper[i, q]
-                if low is None:
-                    counts[orders[i, a:b]] += 1
-                else:
-                    counts[orders[i, a : low[i, q]]] += 1
-                    counts[orders[i, high[i, q] : b]] += 1
+            if low is None:
+                fresh = [orders[i, lower[i, q] : upper[i, q]] for i in range(LINES)]
+            else:
+                fresh = [orders[i, lower[i, q] : low[i, q]] for i in range(LINES)] + [orders[i, high[i, q] : upper[i, q]] for i in range(LINES)]
+            counts += np.bincount(np.concatenate(fresh), minlength=len(rows))
             low, high = lower, upper
             passed = np.flatnonzero((counts >= needed) & (ids != query_ids[q]))
             if len(passed) >= enough:
