@@ -30,6 +30,8 @@ ORDERS = (2, 3, 4)
 #: Labelled rows that are drawn for training, about.
 SAMPLE = 6_000
 EPOCHS, BATCH, RATE = 10, 32, 2.0
+#: Steps that a small sample takes at least.
+STEPS = 800
 #: An average spreads a text's gradient over its subwords; the rate of the embeddings makes up for it.
 SPREAD = 200.0
 PRECISION = 0.99
@@ -130,8 +132,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 
     order = rng.permutation(len(rows))
     tuning, fitting = (order[::5], order[np.arange(len(order)) % 5 > 0]) if len(order) >= 20 else (order, order)
-    steps, step = EPOCHS * -(-len(fitting) // BATCH), 0
-    for _ in range(EPOCHS):
+    batches = -(-len(fitting) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         rng.shuffle(fitting)
         for at in range(0, len(fitting), BATCH):
             which = fitting[at : at + BATCH]

@@ -28,6 +28,8 @@ BUCKETS, RANK, BINS = 1 << 13, 8, 10
 #: Labelled rows that are drawn for training, about.
 SAMPLE = 6_000
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.05, 1e-5
+#: Steps that a small sample takes at least.
+STEPS = 300
 STATISTICS = [
     "bytes", "words", "word_length", "upper", "digits", "symbols", "beyond_ascii", "lines", "line_length", "repeated_words",
     "distinct_words", "top_word", "repeated_lines", "closed_words", "stated_length",
@@ -117,7 +119,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], statistics: np.ndarray,
     place = machine.places(statistics)
     past_w, past_v, past_b = np.full(width, 1e-6, np.float32), np.full((width, RANK), 1e-6, np.float32), 1e-6
     order = np.arange(len(labels))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(order))))):
         rng.shuffle(order)
         for at in range(0, len(order), BATCH):
             which = order[at : at + BATCH]

@@ -56,16 +56,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         padded = np.concatenate([rank + 1, np.zeros(3, np.int64)])
         packed = ((padded[:-3] * base + padded[1:-2]) * base + padded[2:-1]) * base + padded[3:]
         rank, step = np.unique(packed, return_inverse=True)[1].astype(np.int64), 4
-    while True:
+    while rank.max() < n - 1:
         ahead = np.zeros(n, np.int64)
         ahead[: n - step] = rank[step:] + 1
         pair = rank * (n + 1) + ahead
         order = np.argsort(pair)
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
-        if rank[order[-1]] == n - 1:
-            return order
         step *= 2
+    return np.argsort(rank)
 
 
 def long_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:

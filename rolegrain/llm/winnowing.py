@@ -81,8 +81,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rank = F.coalesce("doc_id", F.lit(-(1 << 63))).cast("double")
-    marks = rows.select(F.percentile_approx(rank, [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets)).first()[0] or []
-    splits = [-float("inf"), *sorted(set(marks)), float("inf")]
+    marks = rows.select(F.percentile_approx(rank, [i / buckets for i in range(1, buckets)] or [0.5], 10 * buckets)).first()[0]
+    splits = [-float("inf"), *sorted(set(marks or [0.0])), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="rank", outputCol="bucket").transform(rows.withColumn("rank", rank))
     placed = placed.withColumn("bucket", F.col("bucket").cast("int"))
     heads = sorted(placed.select("bucket", "rank").groupBy("bucket").agg(F.max("rank").alias("rank")).collect(), reverse=True)
