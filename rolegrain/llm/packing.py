@@ -65,7 +65,7 @@ class WordTokens:
         self.words = _Words(self.word)
 
     def part(self, part: str) -> bytes:
-        ids = self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
+        ids = self.model.tokenize(part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters))
         return np.array([x.id for x in ids], "<u4").tobytes()
 
     def word(self, word: str) -> bytes:

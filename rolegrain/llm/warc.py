@@ -56,11 +56,11 @@ def records(pages: DataFrame, least: int) -> DataFrame:
     first = stored(first.filter("n > 1").select(F.col("sha1").alias("of"), "first"))
     joined = sized.join(first, sized["sha1"] == first["of"], "left")
     revisit = F.coalesce(F.col("first") != F.col("page_id"), F.lit(False))
-    urn = F.format_string("<urn:page:%d>", "page_id")
+    urn = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))
     when = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1 << 28))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     uri = F.replace(F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("%"), F.lit("%25")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     common = [
-        F.lit("\r\nWARC-Record-ID: "), F.coalesce(urn, F.lit("<urn:page:>")), F.lit("\r\nWARC-Date: "), when, F.lit("\r\nWARC-Target-URI: "), uri,
+        F.lit("\r\nWARC-Record-ID: "), urn, F.lit("\r\nWARC-Date: "), when, F.lit("\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), base32(F.col("sha1")),
     ]
     response = F.concat(
