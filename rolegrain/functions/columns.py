@@ -111,20 +111,21 @@ def round2(value: Column) -> Column:
     return round_half_even(value, 2)
 
 
-def safe_text(text: Column, length: int = 4000) -> Column:
-    """Trimmed text cut to ``length`` characters; blank becomes null."""
-    return F.left(F.nullif(strip(text.cast("string")), F.lit("")), F.lit(length))
+def safe_text(text: Column, length: int | None = None) -> Column:
+    """Trimmed text, cut only where a caller names a ``length``; blank becomes null."""
+    whole = F.nullif(strip(text.cast("string")), F.lit(""))
+    return whole if length is None else F.left(whole, F.lit(length))
 
 
-def safe_list(values: Column, items: int = 50, length: int = 1000) -> Column:
-    """The first ``items`` values as safe texts without blanks and repeats."""
-    head = F.slice(F.coalesce(values, empty_strings()), 1, items)
-    return F.array_distinct(F.array_compact(F.transform(head, lambda v: safe_text(v, length))))
+def safe_list(values: Column, items: int | None = None, length: int | None = None) -> Column:
+    """The values as safe texts without blanks and repeats; the first ``items`` of these where a caller asks for it."""
+    kept = F.array_distinct(F.array_compact(F.transform(F.coalesce(values, empty_strings()), lambda v: safe_text(v, length))))
+    return kept if items is None else F.slice(kept, 1, items)
 
 
 def nonneg_int(value: Column, default: int = 0) -> Column:
-    """Whole number, negatives become 0, unreadable values the default."""
-    return F.greatest(F.lit(0), F.coalesce(value.try_cast("int"), F.lit(default)))
+    """Whole number of 64 bits, negatives become 0, unreadable values the default."""
+    return F.greatest(F.lit(0).cast("bigint"), F.coalesce(value.try_cast("bigint"), F.lit(default).cast("bigint")))
 
 
 def nonneg_double(value: Column, default: float = 0.0) -> Column:
@@ -169,6 +170,22 @@ def beside(*rows: DataFrame) -> DataFrame:
     return together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
 
 
+OWNER = "owner_id"
+
+
+def owned(keys: Sequence[str], *frames: DataFrame) -> list[str]:
+    """``keys`` with the owner's column in front where all frames have one: rows of two owners never meet."""
+    own = [OWNER] if OWNER not in keys and all(OWNER in f.columns for f in frames) else []
+    return [*own, *keys]
+
+
+def last_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str] = ("fetched_at", "created_at")) -> DataFrame:
+    """One row per key: the newest by the first of these columns that there is, then the largest in the other columns."""
+    stamp = [c for c in newest if c in df.columns and c not in keys][:1]
+    sortable = [f.name for f in df.schema.fields if f.name not in (*keys, *stamp) and "map<" not in f.dataType.simpleString()]
+    return first_by_rank(df, keys, [F.desc_nulls_last(c) for c in [*stamp, *sortable]] or [F.lit(0).asc()])
+
+
 def first_by_rank(df, keys: Sequence[str], order: Sequence[Column], limit: int = 1, rank: str | None = None):
     """The first ``limit`` rows per key.
 

@@ -29,8 +29,10 @@ def _tagged(reason: Column, tag: str) -> Column:
 
 
 def save_evaluations(history: DataFrame, new: DataFrame, key: Sequence[str] = ("run_id", "job_id")) -> DataFrame:
-    """History with new evaluations; one row per run and job, the new one wins."""
-    kept = history.join(new.select(*key), list(key), "left_anti")
+    """History with new evaluations; one row per run and job (and owner), the last new one wins."""
+    key = C.owned(key, history, new)
+    new = C.last_per_key(new, key)
+    kept = history.join(new.select(*key), key, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
@@ -111,18 +113,17 @@ def merge_browser_requests(requests: DataFrame, handoffs: DataFrame, now: Column
     """
     is_open = (F.col("source") == "BROWSER") & ~F.coalesce("resolved", F.lit(False))
     opened, rest = requests.filter(is_open), requests.filter(~F.coalesce(is_open, F.lit(False)))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("application_id").orderBy("id"))
+    earliest = opened.groupBy("application_id").agg(F.min("id").alias("_first"))
     new = handoffs.select(
         "application_id", F.col("reason").alias("_reason"), F.col("question").alias("_question"),
         F.col("handoff").alias("_handoff"), F.lit(True).alias("_has"),
     )
-    merged = opened.withColumn("_place", place).join(new, "application_id", "full_outer")
+    new = new.join(earliest, "application_id", "left")
+    merged = opened.join(new, "application_id", "left").unionByName(new.filter(F.col("_first").isNull()), allowMissingColumns=True)
     has = F.coalesce("_has", F.lit(False))
-    insert = F.col("_place").isNull()
-    first = has & (insert | (F.col("_place") == 1))
-    extra = has & (F.col("_place") > 1)
+    insert = has & F.col("_first").isNull()
+    first = has & (insert | (F.col("id") == F.col("_first")))
+    extra = has & (F.col("id") > F.col("_first"))
     differs = (
         ~F.col("reason").eqNullSafe(F.col("_reason")) | ~F.col("question").eqNullSafe(F.col("_question"))
         | ~F.col("handoff").eqNullSafe(F.col("_handoff")) | ~F.col("handoff_version").eqNullSafe(F.lit(1))
@@ -249,7 +250,8 @@ def change_statuses(state: DataFrame, changes: DataFrame, order: Sequence[Column
 
 
 def upsert_run_history(history: DataFrame, runs: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Run history with the given runs; one row per ``run_key``, the last one wins."""
-    latest = latest_changes(runs, ["run_key"], order)
-    kept = history.join(latest.select("run_key"), "run_key", "left_anti")
+    """Run history with the given runs; one row per ``run_key`` (and owner), the last one wins."""
+    key = C.owned(["run_key"], history, runs)
+    latest = latest_changes(runs, key, order)
+    kept = history.join(latest.select(*key), key, "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..rules import scoring as S
-from ..session import cut
+from ..session import stored
 
 # Sizes of the sample parts.
 TOP, NEAR_THRESHOLD, BOTTOM, MOST_WARNED, LOW_CONFIDENCE = 3, 5, 3, 5, 5
@@ -35,7 +35,7 @@ def select_examples(scored: DataFrame, keys: Sequence[str] = ("board_token", "po
     a posting in two parts keeps the first.  The narrow frame is stored once,
     as five parts read it.
     """
-    scored = cut(scored.select(*keys, "score", "confidence", "warning_count"))
+    scored = stored(scored.select(*keys, "score", "confidence", "warning_count"))
     key_order = [F.asc(k) for k in keys]
     key_down = [F.desc(k) for k in keys]
     parts = [
@@ -62,7 +62,7 @@ def review_set(compared: DataFrame, keys: Sequence[str] = ("board_token", "posti
     Needs ``current_route``, ``route``, ``score``, and keeps just them, the keys
     and ``part`` (0, 1, 2).  The narrow frame is stored once for its three readers.
     """
-    compared = cut(compared.select(*keys, "current_route", "route", "score"))
+    compared = stored(compared.select(*keys, "current_route", "route", "score"))
     changed = compared.filter(F.col("current_route") != F.col("route")).withColumn("part", F.lit(0))
     held = compared.filter(
         (F.col("score") >= S.MANUAL_THRESHOLD) & (F.col("route") != "MANUAL_PRIORITY")

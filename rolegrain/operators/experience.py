@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,23 @@ _ANY_YEARS = r"(?iU)\d\s*\+?\s*(?:years?|yrs?)\b"
 _NONE = f"array<{MENTION}>"
 
 
+#: Decimal digits of all scripts below the third plane, and their values.
+_DIGITS = [chr(c) for c in range(0x20000) if unicodedata.decimal(chr(c), None) is not None]
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def whole_number(digits: Column) -> Column:
+    """A run of decimal digits of any script as a number; the largest one where 64 bits do not hold it."""
+    return F.coalesce(F.translate(digits, "".join(_DIGITS), _VALUES).try_cast("bigint"), F.lit((1 << 63) - 1))
+
+
 def _candidates(text: Column, kind: str, pattern: str) -> Column:
     """Mentions of one kind that stand in an experience context."""
     regex = C.java(pattern)
 
     def build(span: Column) -> Column:
-        first = F.regexp_extract(span["match"], regex, 1).cast("int")
-        second = F.regexp_extract(span["match"], regex, 2).cast("int") if kind == "range" else first
+        first = whole_number(F.regexp_extract(span["match"], regex, 1))
+        second = whole_number(F.regexp_extract(span["match"], regex, 2)) if kind == "range" else first
         near = F.lower(window(text, span["start"], span["end"], E.DEGREE_LOOKBACK, E.DEGREE_LOOKAHEAD))
 
         def judge(around: Column, low: Column) -> Column:

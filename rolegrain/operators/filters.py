@@ -130,7 +130,11 @@ def split_by_employment(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(~rejected).drop("employment"), marked.filter(rejected)
 
 
+def with_location_status(postings: DataFrame) -> DataFrame:
+    return postings.withColumn("location_status", classify_location(F.col("location"), F.col("offices")))
+
+
 def split_by_location(postings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """US, unknown and non-US postings."""
-    marked = postings.withColumn("location_status", classify_location(F.col("location"), F.col("offices")))
+    marked = with_location_status(postings)
     return tuple(marked.filter(F.col("location_status") == s) for s in ("US", "UNKNOWN", "NON_US"))

@@ -476,11 +476,11 @@ def safe_display_answer(key: Column, answer: Column) -> Column:
 
 
 def safe_item(item: Column) -> Column:
-    key = C.safe_text(item["answer_key"], 120)
+    key = C.safe_text(item["answer_key"])
     return _item(
-        C.safe_text(item["label"], 1500), C.safe_text(item["category"], 120),
-        F.coalesce(item["required"], F.lit(False)), C.safe_text(item["status"], 120), C.safe_text(item["source"], 120),
-        key, safe_display_answer(key, item["display_answer"]), C.safe_text(item["reason"], 2000),
+        C.safe_text(item["label"]), C.safe_text(item["category"]),
+        F.coalesce(item["required"], F.lit(False)), C.safe_text(item["status"]), C.safe_text(item["source"]),
+        key, safe_display_answer(key, item["display_answer"]), C.safe_text(item["reason"]),
     )
 
 
@@ -488,16 +488,22 @@ def handoff_problem() -> Column:
     """Why a packet may not be stored, null when it may."""
     return F.coalesce(
         F.when(~F.col("packet_version").eqNullSafe(F.lit(R.PACKET_VERSION)), F.lit("UNSUPPORTED_VERSION")),
-        F.when(~F.coalesce(C.safe_text(F.col("route"), 80).isin(R.PACKET_ROUTES), F.lit(False)), F.lit("UNSUPPORTED_ROUTE")),
+        F.when(~F.coalesce(C.safe_text(F.col("route")).isin(R.PACKET_ROUTES), F.lit(False)), F.lit("UNSUPPORTED_ROUTE")),
     )
 
 
-def sanitize_handoffs(packets: DataFrame, page: Sequence[str] = ("page_id",), max_items: int = 100) -> DataFrame:
-    """Storable packets: known fields only, texts bounded, paths cut to names, counts recomputed."""
+def sanitize_handoffs(packets: DataFrame, page: Sequence[str] = ("page_id",), max_items: int | None = None) -> DataFrame:
+    """Storable packets: known fields only, paths cut to names, counts over all items.
+
+    A store that bounds its rows passes ``max_items``; ``items_left_out`` then says how many were not kept.
+    """
     no = F.lit(False)
 
     def safe(name: str) -> Column:
-        return F.transform(F.slice(F.coalesce(name, F.array().cast(_ITEMS)), 1, max_items), safe_item)
+        return F.transform(F.coalesce(name, F.array().cast(_ITEMS)), safe_item)
+
+    def bounded(name: str) -> Column:
+        return F.col(name) if max_items is None else F.slice(name, 1, max_items)
 
     kept = packets.filter(handoff_problem().isNull()).withColumns({
         "_ready": safe("deterministic_ready"), "_human": safe("human_assistance"),
@@ -505,20 +511,21 @@ def sanitize_handoffs(packets: DataFrame, page: Sequence[str] = ("page_id",), ma
     detected = F.coalesce("challenge.detected", no)
     safety = F.col("browser_safety")
     return kept.select(
-        *page, F.lit(R.PACKET_VERSION).alias("packet_version"), C.safe_text(F.col("company"), 500).alias("company"),
-        C.safe_text(F.col("job_title"), 1000).alias("job_title"),
-        C.safe_text(F.col("requested_url"), 3000).alias("requested_url"),
-        C.safe_text(F.col("page_title"), 1500).alias("page_title"),
-        base_name(C.safe_text(F.col("selected_resume"), 500)).alias("selected_resume"),
-        C.safe_text(F.col("route"), 80).alias("route"), C.safe_list(F.col("route_reasons"), 20, 1000).alias("route_reasons"),
-        F.struct(detected.alias("detected"), C.safe_list(F.col("challenge.reasons"), 20, 1000).alias("reasons")).alias("challenge"),
+        *page, F.lit(R.PACKET_VERSION).alias("packet_version"), C.safe_text(F.col("company")).alias("company"),
+        C.safe_text(F.col("job_title")).alias("job_title"),
+        C.safe_text(F.col("requested_url")).alias("requested_url"),
+        C.safe_text(F.col("page_title")).alias("page_title"),
+        base_name(C.safe_text(F.col("selected_resume"))).alias("selected_resume"),
+        C.safe_text(F.col("route")).alias("route"), C.safe_list(F.col("route_reasons")).alias("route_reasons"),
+        F.struct(detected.alias("detected"), C.safe_list(F.col("challenge.reasons")).alias("reasons")).alias("challenge"),
         F.struct(
             F.coalesce(safety["application_submitted"], no).alias("application_submitted"),
             F.coalesce(safety["submit_clicked_by_agent"], no).alias("submit_clicked_by_agent"),
             F.coalesce(safety["nonready_mutation_detected"], no).alias("nonready_mutation_detected"),
-            C.safe_text(safety["nonready_mutation_reason"], 2000).alias("nonready_mutation_reason"),
+            C.safe_text(safety["nonready_mutation_reason"]).alias("nonready_mutation_reason"),
         ).alias("browser_safety"),
-        F.col("_ready").alias("deterministic_ready"), F.col("_human").alias("human_assistance"),
+        bounded("_ready").alias("deterministic_ready"), bounded("_human").alias("human_assistance"),
+        (F.size("_ready") - F.size(bounded("_ready")) + F.size("_human") - F.size(bounded("_human"))).alias("items_left_out"),
         F.struct(
             F.size("_ready").alias("ready_count"), F.size("_human").alias("human_assistance_count"),
             F.size(F.filter("_human", lambda i: i["required"])).alias("required_human_count"),

@@ -23,9 +23,9 @@ def posting_key(value: Column) -> Column:
 
 
 def live_ids(snapshot: DataFrame) -> DataFrame:
-    """Distinct (board, id) pairs of a snapshot with a usable id."""
+    """Distinct (board, id) pairs of a snapshot with a usable id, per owner where the snapshot names one."""
     return (
-        snapshot.select("board_token", posting_key(F.col("posting_id")).alias("posting_id"))
+        snapshot.select(*C.owned(["board_token"], snapshot), posting_key(F.col("posting_id")).alias("posting_id"))
         .filter(F.col("posting_id").isNotNull())
         .distinct()
     )
@@ -40,18 +40,19 @@ def find_stale(tracked: DataFrame, snapshot: DataFrame) -> DataFrame:
     live = live_ids(snapshot)
     active = tracked.filter(is_active(F.col("is_active"))).withColumn("_id", posting_key(F.col("posting_id")))
     named = active.filter(F.col("_id").isNotNull())
-    on_live_board = named.join(live.select("board_token").distinct(), "board_token", "left_semi")
-    gone = on_live_board.join(
-        live.withColumnRenamed("posting_id", "_id"), ["board_token", "_id"], "left_anti"
-    )
+    board = C.owned(["board_token"], tracked, snapshot)
+    on_live_board = named.join(live.select(*board).distinct(), board, "left_semi")
+    gone = on_live_board.join(live.withColumnRenamed("posting_id", "_id").select(*board, "_id"), [*board, "_id"], "left_anti")
     return gone.select(*tracked.columns)
 
 
 def upsert_postings(state: DataFrame, seen: DataFrame, now: Column, key: Sequence[str] = KEY) -> DataFrame:
-    """Insert or update by natural key; a posting seen again is active again.
+    """Insert or update by natural key, per owner where both sides name one; a posting seen again is active again.
 
-    ``seen`` carries the state's payload columns and must be unique by key.
+    ``seen`` carries the state's payload columns; of several rows with one key the last fetched one counts.
     """
+    key = C.owned(key, state, seen)
+    seen = C.last_per_key(seen, key)
     stamp = {"last_seen_at": now, "is_active": F.lit(True), "updated_at": now}
     payload = [c for c in state.columns if c not in key]
     fresh = seen.select(*key, *[F.col(c).alias(f"_new_{c}") for c in payload if c not in stamp], F.lit(True).alias("_seen"))
@@ -66,10 +67,11 @@ def upsert_postings(state: DataFrame, seen: DataFrame, now: Column, key: Sequenc
     )
 
 
-def sync_lifecycle(state: DataFrame, snapshot: DataFrame, now: Column) -> DataFrame:
-    """State with stale postings switched off; ``changed`` marks them."""
-    stale = find_stale(state, snapshot).select(*KEY, F.lit(True).alias("_stale"))
-    marked = state.join(stale, list(KEY), "left").withColumn("changed", F.coalesce("_stale", F.lit(False)))
+def sync_lifecycle(state: DataFrame, snapshot: DataFrame, now: Column, stale: DataFrame | None = None) -> DataFrame:
+    """State with stale postings switched off; ``changed`` marks them. ``stale`` saves a second search."""
+    key = C.owned(KEY, state)
+    stale = (find_stale(state, snapshot) if stale is None else stale).select(*key).distinct().withColumn("_stale", F.lit(True))
+    marked = state.join(stale, key, "left").withColumn("changed", F.coalesce("_stale", F.lit(False)))
     return marked.withColumns({
         "is_active": F.when(F.col("changed"), F.lit(False)).otherwise(F.col("is_active")),
         "updated_at": F.when(F.col("changed"), now).otherwise(F.col("updated_at")),
@@ -81,16 +83,21 @@ def lifecycle_report(state: DataFrame, snapshot: DataFrame, boards: DataFrame |
 
     ``boards`` adds boards that are to be reported although nothing is known of them.
     """
-    live = live_ids(snapshot).groupBy("board_token").agg(F.count("*").alias("live_count"))
-    tracked = (
-        state.filter(is_active(F.col("is_active"))).groupBy("board_token").agg(F.count("*").alias("tracked_count"))
+    live = live_ids(snapshot).withColumn("_live", F.lit(1))
+    tracked = state.filter(is_active(F.col("is_active"))).groupBy(
+        "board_token", posting_key(F.col("posting_id")).alias("posting_id"),
+    ).agg(F.count("*").alias("_tracked"))
+    # One meeting of both sides; each has a row per board and id.
+    met = tracked.join(live, ["board_token", "posting_id"], "full_outer")
+    gone = F.col("_live").isNull() & F.col("posting_id").isNotNull()
+    report = met.groupBy("board_token").agg(
+        F.count("_live").alias("live_count"), F.coalesce(F.sum("_tracked"), F.lit(0)).alias("tracked_count"),
+        F.coalesce(F.sum(F.when(gone, F.col("_tracked"))), F.lit(0)).alias("_gone"),
     )
-    stale = find_stale(state, snapshot).groupBy("board_token").agg(F.count("*").alias("stale_count"))
-    report = tracked.join(live, "board_token", "full_outer")
     if boards is not None:
         report = boards.select("board_token").distinct().join(report, "board_token", "full_outer")
-    report = report.join(stale, "board_token", "left")
     skipped = F.coalesce("live_count", F.lit(0)) == 0
+    report = report.withColumn("stale_count", F.when(skipped, F.lit(0)).otherwise(F.col("_gone")))
     return report.select(
         "board_token", F.coalesce("live_count", F.lit(0)).alias("live_count"),
         F.when(skipped, F.lit(0)).otherwise(F.coalesce("tracked_count", F.lit(0))).alias("tracked_active_count"),

@@ -72,9 +72,9 @@ def queue_order(order: str) -> list[Column]:
 
 
 def work_queue(candidates: DataFrame, order: str = "oldest", limit: int = 3) -> DataFrame:
-    """The head of the queue, 1 to 50 rows."""
-    if not 1 <= limit <= 50:
-        raise ValueError("limit must be from 1 to 50")
+    """The head of the queue."""
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     return candidates.orderBy(*queue_order(order)).limit(limit)
 
 
@@ -84,10 +84,12 @@ def stale_candidates(queue: DataFrame, scan_started: Column) -> DataFrame:
     return queue.filter(done.isNull() | (done < scan_started))
 
 
-def fresh_scan(runs: DataFrame, started_after: Column) -> DataFrame:
-    """The newest of the last five runs since a time that is finished; empty when there is none."""
-    recent = runs.filter(F.col("started_at") >= started_after).orderBy(F.desc("started_at"), F.desc("run_id")).limit(5)
-    return recent.filter(F.col("completed_at").isNotNull()).orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+def fresh_scan(runs: DataFrame, started_after: Column, owner: str | None = None) -> DataFrame:
+    """The newest finished scan of all boards since a time, of one owner where one is named; empty when there is none."""
+    done = runs.filter((F.col("started_at") >= started_after) & F.col("completed_at").isNotNull() & (F.col("board_token") == B.ALL_BOARDS))
+    if owner is not None:
+        done = done.filter(F.col("owner_id") == owner)
+    return done.orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
 
 
 def dashboard_view(

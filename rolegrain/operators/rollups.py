@@ -181,20 +181,20 @@ def run_health(submitted: Column, blocked: Column, errors: Column, assistance: C
 
 def safe_result(result: Column) -> Column:
     """Queue result reduced to operational fields with known vocabulary."""
-    status, outcome = C.safe_text(result["queue_status"], 40), C.safe_text(result["outcome"], 40)
+    status, outcome = C.safe_text(result["queue_status"]), C.safe_text(result["outcome"])
     no = F.lit(False)
     return F.struct(
-        C.safe_text(result["board_token"], 120).alias("board_token"),
-        C.safe_text(result["posting_id"], 80).alias("posting_id"),
-        C.safe_text(result["company"], 300).alias("company"), C.safe_text(result["title"], 500).alias("title"),
+        C.safe_text(result["board_token"]).alias("board_token"),
+        C.safe_text(result["posting_id"]).alias("posting_id"),
+        C.safe_text(result["company"]).alias("company"), C.safe_text(result["title"]).alias("title"),
         F.when(status.isin(B.QUEUE_STATUSES), status).otherwise(F.lit("ERROR")).alias("queue_status"),
         F.when(outcome.isin(B.QUEUE_OUTCOMES), outcome).alias("outcome"),
         F.coalesce(result["challenge_detected"], no).alias("challenge_detected"),
         C.nonneg_int(result["ready_count"]).alias("ready_count"),
         C.nonneg_int(result["required_human_count"]).alias("required_human_count"),
         F.coalesce(result["browser_modified"], no).alias("browser_modified"),
-        C.safe_text(result["application_status_after"], 80).alias("application_status_after"),
-        C.safe_text(result["error_type"], 160).alias("error_type"),
+        C.safe_text(result["application_status_after"]).alias("application_status_after"),
+        C.safe_text(result["error_type"]).alias("error_type"),
         no.alias("submit_clicked_by_agent"), no.alias("application_submitted"),
     )
 
@@ -207,21 +207,21 @@ def run_report_problem() -> Column:
             F.coalesce("submit_clicked_by_agent", no) | F.coalesce("application_submitted", no),
             F.lit("SUBMISSION_INVARIANT"),
         ),
-        F.when(C.safe_text(F.col("run_id"), 120).isNull(), F.lit("RUN_ID_MISSING")),
+        F.when(C.safe_text(F.col("run_id")).isNull(), F.lit("RUN_ID_MISSING")),
         F.when(
-            ~F.coalesce(C.safe_text(F.col("order"), 40), F.lit("oldest")).isin(B.QUEUE_ORDERS), F.lit("INVALID_ORDER")
+            ~F.coalesce(C.safe_text(F.col("order")), F.lit("oldest")).isin(B.QUEUE_ORDERS), F.lit("INVALID_ORDER")
         ),
     )
 
 
-def sanitize_run_reports(reports: DataFrame, now: Column, max_results: int = 50) -> DataFrame:
-    """Storable run rows: fields clamped, counters recomputed from the kept results.
+def sanitize_run_reports(reports: DataFrame, now: Column, max_results: int | None = None) -> DataFrame:
+    """Storable run rows: fields cleaned, counters over all results, of which ``max_results`` are kept if it is given.
 
     Rows that ``run_report_problem`` names are left out; select them with it
     to report the violations.
     """
     kept = reports.filter(run_report_problem().isNull()).withColumn(
-        "_safe", F.transform(F.slice(F.coalesce("results", F.array()), 1, max_results), safe_result)
+        "_safe", F.transform(F.coalesce("results", F.array()), safe_result)
     )
 
     def count(name: str) -> Column:
@@ -232,14 +232,14 @@ def sanitize_run_reports(reports: DataFrame, now: Column, max_results: int = 50)
         return F.size(F.filter("_safe", hit))
 
     return kept.select(
-        C.safe_text(F.col("run_id"), 120).alias("run_key"), F.lit(1).alias("runner_version"),
+        C.safe_text(F.col("run_id")).alias("run_key"), F.lit(1).alias("runner_version"),
         F.lit("COMPLETED").alias("status"), F.coalesce("persist", F.lit(False)).alias("persist_handoffs"),
-        C.safe_text(F.col("board_token_filter"), 120).alias("board_token_filter"),
-        F.coalesce(C.safe_text(F.col("order"), 40), F.lit("oldest")).alias("queue_order"),
-        F.least(F.lit(50), F.greatest(F.lit(1), C.nonneg_int(F.col("limit"), 1))).alias("queue_limit"),
+        C.safe_text(F.col("board_token_filter")).alias("board_token_filter"),
+        F.coalesce(C.safe_text(F.col("order")), F.lit("oldest")).alias("queue_order"),
+        C.nonneg_int(F.col("limit"), 1).alias("queue_limit"),
         F.coalesce("include_in_progress", F.lit(False)).alias("include_in_progress"),
-        C.safe_text(F.col("started_at"), 80).alias("started_at"),
-        C.safe_text(F.col("completed_at"), 80).alias("completed_at"),
+        C.safe_text(F.col("started_at")).alias("started_at"),
+        C.safe_text(F.col("completed_at")).alias("completed_at"),
         C.nonneg_double(F.col("total_seconds")).alias("total_seconds"),
         F.size("_safe").alias("selected_count"), count("completed").alias("completed_count"),
         count("needs_assistance").alias("needs_assistance_count"),
@@ -247,7 +247,7 @@ def sanitize_run_reports(reports: DataFrame, now: Column, max_results: int = 50)
         count("errors").alias("error_count"), count("challenge_count").alias("challenge_count"),
         count("browser_modified_count").alias("browser_modified_count"), F.lit(0).alias("submitted_count"),
         F.lit(False).alias("submit_clicked_by_agent"), F.lit(False).alias("application_submitted"),
-        F.col("_safe").alias("results"), now.alias("updated_at"),
+        (F.col("_safe") if max_results is None else F.slice("_safe", 1, max_results)).alias("results"), now.alias("updated_at"),
     )
 
 

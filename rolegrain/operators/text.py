@@ -144,9 +144,15 @@ def pretty_name(name: Column) -> Column:
     return C.title_case(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
+#: A whole date, then perhaps a time of day and a zone.
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def parse_utc(value: Column) -> Column:
-    """ISO timestamp in UTC; no zone means UTC, anything unreadable is null."""
-    return F.try_to_timestamp(C.strip(value))
+    """ISO timestamp in UTC; no zone means UTC; parts of a date and anything else unreadable are null."""
+    text = C.strip(value)
+    seconds = F.regexp_replace(text, r"^(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00")
+    return F.when(text.rlike(ISO_DATE), F.try_to_timestamp(seconds))
 
 
 def board_token(value: Column) -> Column:
@@ -189,7 +195,7 @@ def export_scan_summary(runs: DataFrame) -> DataFrame:
     """Allow-listed columns of a run row; missing counters become 0."""
     return runs.select(
         "board_token", "started_at", "completed_at",
-        *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in SCAN_SUMMARY_COUNTS],
+        *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in SCAN_SUMMARY_COUNTS],
         F.coalesce(F.col("total_seconds").cast("double"), F.lit(0.0)).alias("total_seconds"),
     )
 
@@ -208,8 +214,8 @@ def export_queue_result(results: DataFrame) -> DataFrame:
         "board_token", F.coalesce(F.col("posting_id").cast("string"), F.lit("")).alias("posting_id"), "company",
         "title", "queue_status", "outcome",
         F.coalesce("challenge_detected", F.lit(False)).alias("challenge_detected"),
-        F.coalesce(F.col("ready_count").cast("int"), F.lit(0)).alias("ready_count"),
-        F.coalesce(F.col("required_human_count").cast("int"), F.lit(0)).alias("required_human_count"),
+        F.coalesce(F.col("ready_count").cast("bigint"), F.lit(0)).alias("ready_count"),
+        F.coalesce(F.col("required_human_count").cast("bigint"), F.lit(0)).alias("required_human_count"),
         F.coalesce("browser_modified", F.lit(False)).alias("browser_modified"),
         F.lit(False).alias("submit_clicked_by_agent"),
         F.lit(False).alias("application_submitted"),

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from ...operators import text as X
 from ...rules import boards as B
 from ...rules import scoring as S
-from ...session import spread
 
-LONG_TEXTS = ("documents", "pages")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -35,8 +33,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(frame) if name in LONG_TEXTS else frame
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- literals ---------------------------------------------------------------
@@ -242,7 +239,7 @@ EVALUATIONS = f"""evaluations AS (
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.col("o_orderkey").alias("run_id"), F.lit("multi").alias("board_token"), F.col("o_orderdate").alias("started_at"),
+        F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("single")).otherwise(F.lit("multi")).alias("board_token"), F.col("o_orderdate").alias("started_at"),
         F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderdate")).alias("completed_at"),
         F.floor(F.col("o_totalprice") / 1000).cast("int").alias("jobs_discovered"),
         F.pmod("o_orderkey", F.lit(50)).cast("int").alias("target_role_jobs"),
@@ -257,7 +254,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RUNS = """runs AS (
-  SELECT o_orderkey AS run_id, 'multi' AS board_token, o_orderdate AS started_at,
+  SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 5 = 0 THEN 'single' ELSE 'multi' END AS board_token, o_orderdate AS started_at,
          CASE WHEN o_orderpriority <> '3-MEDIUM' THEN o_orderdate END AS completed_at,
          CAST(floor(o_totalprice / 1000) AS INTEGER) AS jobs_discovered, CAST(o_orderkey % 50 AS INTEGER) AS target_role_jobs,
          CAST(o_orderkey % 40 AS INTEGER) AS us_compatible_jobs, CAST(o_orderkey % 30 AS INTEGER) AS jobs_eligible,

@@ -53,7 +53,7 @@ _OK = "CASE WHEN queue_status IN ('COMPLETED', 'BLOCKED', 'ERROR') THEN queue_st
 HISTORY = f"""totals AS (SELECT run, sum(o_totalprice) / 3e5 - 8 AS seconds, CAST(max(o_orderdate) AS DATE) AS started_on FROM results GROUP BY 1),
 history AS (
   SELECT 'run-' || CAST(run AS VARCHAR) AS run_key, {b.pick_sql(['oldest', 'fit', 'random', 'oldest'], 'run')} AS queue_order,
-    CAST(least(50, greatest(1, run % 60)) AS INTEGER) AS queue_limit, CASE WHEN seconds >= 0 THEN {b.round2_sql('seconds', 3)} ELSE 0.0 END AS total_seconds,
+    CAST(run % 60 AS BIGINT) AS queue_limit, CASE WHEN seconds >= 0 THEN {b.round2_sql('seconds', 3)} ELSE 0.0 END AS total_seconds,
     CAST(started_on AS VARCHAR) AS started_at, CAST(count(*) AS INTEGER) AS selected_count,
     CAST(count(*) FILTER ({_OK} = 'COMPLETED') AS INTEGER) AS completed_count,
     CAST(count(*) FILTER (outcome = 'NEEDS_ASSISTANCE') AS INTEGER) AS needs_assistance_count,

@@ -122,10 +122,8 @@ def c7(spark, sf_dir):
 @b.query("c7_location_split", b.with_ctes(b.POSTINGS, LOCATED) + """
 SELECT location_status AS bucket, count(*) AS postings FROM located GROUP BY 1""")
 def c7_split(spark, sf_dir):
-    us, unknown, non_us = L.split_by_location(b.postings(spark, sf_dir))
-    return us.unionByName(unknown).unionByName(non_us).groupBy(F.col("location_status").alias("bucket")).agg(
-        F.count("*").alias("postings")
-    )
+    marked = L.with_location_status(b.postings(spark, sf_dir))
+    return marked.groupBy(F.col("location_status").alias("bucket")).agg(F.count("*").alias("postings"))
 
 
 def _mention_ctes() -> list[str]:

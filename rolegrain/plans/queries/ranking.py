@@ -14,7 +14,7 @@ from ...operators import scoring as P
 from ...operators import similarity as M
 from ...rules import scoring as S
 from ...rules import titles as T
-from ...session import cut
+from ...session import stored
 from . import bindings as b
 from .requirements import UNIVERSE, some, some_sql
 
@@ -346,7 +346,7 @@ def g6(spark, sf_dir):
   SELECT 'low_confidence', posting_id, final_score, confidence FROM best WHERE confidence < 75)
 SELECT queue, posting_id, final_score AS score, confidence FROM q""")
 def g7(spark, sf_dir):
-    queues = Q.route_queues(cut(best(spark, sf_dir).select("posting_id", "score", "confidence", "route")))
+    queues = Q.route_queues(stored(best(spark, sf_dir).select("posting_id", "score", "confidence", "route")))
     frames = [f.select(F.lit(n).alias("queue"), "posting_id", "score", "confidence") for n, f in queues.items()]
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
@@ -369,7 +369,7 @@ def h4_missing(spark, sf_dir):
 
 def _models(spark, sf_dir):
     """The neutral model as current, the evidence model as proposed, each with its own profile."""
-    both = cut(_neutral(scored(spark, sf_dir)).select(
+    both = stored(_neutral(scored(spark, sf_dir)).select(
         *KEYS, "doc_id", "profile", "profile_order", "selection_score", "final_score", "confidence", "route", "n", "n_selection"
     ))
     neutral = both.withColumns({"selection_score": F.col("n_selection"), "final_score": F.col("n.final_score")})

@@ -97,7 +97,7 @@ def b10(spark, sf_dir):
     return t.select("doc_id", X.context_window(F.col("text"), F.col("s"), F.col("s") + 2, 140).alias("context"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1 : doc_id % 12]"
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')"
 
 
 @b.query("b11_list_rendering", f"""
@@ -110,7 +110,7 @@ SELECT doc_id,
       || ' | matched: ' || items[1] END AS grouped
 FROM w""")
 def b11(spark, sf_dir):
-    items = F.slice(C.words(F.col("text")), 1, (F.col("doc_id") % 12).cast("int"))
+    items = F.when(F.col("doc_id") % 12 == 0, C.empty_strings()).otherwise(C.words(F.col("text")))
     t = b.documents(spark, sf_dir).withColumn("items", items)
     return t.select(
         "doc_id", X.format_list(F.col("items"), 8).alias("listed"),
@@ -133,27 +133,27 @@ _K = "regexp_extract(props, '\"k\": ([0-9]+)', 1)"
 
 
 @b.query("b13_safe_values", f"""
-SELECT event_id, left(nullif(trim(event_type), ''), 5) AS kind,
-       greatest(0, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' WHEN event_id % 3 = 1 THEN '-' ELSE '' END || {_K} AS INTEGER), 7)) AS whole,
+SELECT event_id, nullif(trim(event_type), '') AS kind,
+       greatest(0, coalesce(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' WHEN event_id % 3 = 1 THEN '-' ELSE '' END || {_K} || CASE WHEN event_id % 5 = 0 THEN '0000000000' ELSE '' END AS BIGINT), 7)) AS whole,
        CASE WHEN value - 20 >= 0 THEN {b.round2_sql('value - 20', 3)} ELSE 0.0 END AS number,
        array_to_string(list_distinct_ordered, '|') AS listed
-FROM (SELECT *, CASE WHEN event_type = 'click' THEN ['click', 'a'] ELSE [event_type, 'click', 'a'] END AS list_distinct_ordered FROM events)""")
+FROM (SELECT *, CASE WHEN event_type = 'click' THEN ['click', 'a', 'beyond'] ELSE [event_type, 'click', 'a', 'beyond'] END AS list_distinct_ordered FROM events)""")
 def b13(spark, sf_dir):
     e = b.table(spark, sf_dir, "events")
     k = F.regexp_extract("props", '"k": ([0-9]+)', 1)
     sign = F.when(F.col("event_id") % 3 == 0, F.lit("x")).when(F.col("event_id") % 3 == 1, F.lit("-")).otherwise(F.lit(""))
     values = F.array("event_type", F.lit(" click "), F.lit("  "), F.lit("a"), F.lit(None).cast("string"), F.lit("a "), F.lit("beyond"))
     return e.select(
-        "event_id", C.safe_text(F.concat(F.lit(" "), "event_type", F.lit("\n")), 5).alias("kind"),
-        C.nonneg_int(F.concat(sign, k), 7).alias("whole"), C.nonneg_double(F.col("value") - 20).alias("number"),
-        F.array_join(C.safe_list(values, 6, 100), "|").alias("listed"),
+        "event_id", C.safe_text(F.concat(F.lit(" "), "event_type", F.lit("\n"))).alias("kind"),
+        C.nonneg_int(F.concat(sign, k, F.when(F.col("event_id") % 5 == 0, F.lit("0" * 10)).otherwise(F.lit(""))), 7).alias("whole"), C.nonneg_double(F.col("value") - 20).alias("number"),
+        F.array_join(C.safe_list(values), "|").alias("listed"),
     )
 
 
 @b.query("b14_parse_utc", """
 SELECT event_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT)
          - CASE WHEN event_id % 4 = 2 THEN 7200 ELSE 0 END AS seconds
-FROM events WHERE event_id % 4 <> 3 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 4 = 3""")
+FROM events WHERE event_id % 8 NOT IN (3, 4, 5, 6, 7) UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 8 IN (3, 4, 5, 6, 7)""")
 def b14(spark, sf_dir):
     e, key = b.table(spark, sf_dir, "events"), F.col("event_id")
     plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
@@ -161,6 +161,9 @@ def b14(spark, sf_dir):
         F.when(key % 4 == 0, F.concat(plain, F.lit("Z"))).when(key % 4 == 1, plain)
         .when(key % 4 == 2, F.concat(plain, F.lit("+02:00"))).otherwise(F.concat(F.lit("soon "), plain))
     )
+    # Parts of a date and of a time are no timestamps.
+    part = F.element_at(F.array(*map(F.lit, ["2026", "2026-09", "12:30", "T10"])), (key % 4).cast("int") + 1)
+    text = F.when(key % 8 >= 4, part).otherwise(text)
     return e.select("event_id", F.unix_timestamp(X.parse_utc(text)).alias("seconds"))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import applications as A
 from ..operators import eligibility as G
 from ..operators import experience as E
@@ -17,7 +18,7 @@ from ..operators import requirements as Q
 from ..operators import similarity as M
 from ..operators import text as X
 from ..rules import boards as B
-from ..session import cut
+from ..session import stored
 
 KEYS = ("board_token", "posting_id")
 
@@ -96,18 +97,20 @@ def run(
     """
     job_id = F.sha2(F.concat_ws("/", *KEYS), 256) if new_job_id is None else new_job_id
     # Everything below reads the annotated frame: keep it once, without the raw content.
-    annotated = cut(annotate(postings).drop("content", "offices", "metadata"))
+    # A posting that a snapshot holds twice is one posting.
+    annotated = stored(C.last_per_key(annotate(postings).drop("content", "offices", "metadata"), KEYS))
     passed = survivors(annotated)
     flagged = passed.filter(F.col("eligibility.decision") == "NEEDS_ASSISTANCE")
     eligible = passed.filter(F.col("eligibility.decision") == "PASS")
     scored = score(eligible, profiles, profile_chunks, posting_chunks)
-    best = cut(K.best_profile(scored, KEYS))
+    best = stored(K.best_profile(scored, KEYS))
 
     seen = passed.filter(F.col("eligibility.decision") != "SKIP").select(
         *KEYS, job_id.alias("job_id"), "company", "title", X.location_display(F.col("location")).alias("location"),
         "url", F.col("job_profile").alias("detected_profile"),
     )
-    closed = J.sync_lifecycle(jobs, postings, now).drop("changed")
+    stale = J.find_stale(jobs, annotated.select(*KEYS))
+    closed = J.sync_lifecycle(jobs, annotated, now, stale).drop("changed")
     known = jobs.select(*KEYS, F.col("job_id").alias("_old"))
     seen = seen.join(known, list(KEYS), "left").withColumn("job_id", F.coalesce("_old", "job_id")).drop("_old")
     next_jobs = J.upsert_postings(closed, seen, now)
@@ -129,7 +132,7 @@ def run(
         "application_id", F.col("assistance_reason").alias("reason")
     )
     return {
-        "annotated": annotated, "scored": scored, "best": best, "stale": J.find_stale(jobs, postings),
+        "annotated": annotated, "scored": scored, "best": best, "stale": stale,
         "jobs": next_jobs.drop("changed"), "evaluations": A.save_evaluations(evaluations, evaluated),
         "applications": next_applications,
         "requests": A.open_assistance_requests(requests, wanted, now).drop("changed"),

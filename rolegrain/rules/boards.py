@@ -21,3 +21,6 @@ QUEUE_ORDERS = ["oldest", "newest", "fit"]
 ELIGIBILITY_TAG = "ELIGIBILITY:"
 BROWSER_TAG = "BROWSER:"
 ELIGIBILITY_QUESTION = "Please review this job's eligibility requirements before application."
+
+# Fixed value: the board token of a scan over all boards.
+ALL_BOARDS = "multi"

@@ -18,7 +18,7 @@ BOARD_DOCUMENT = (
 )
 
 MENTION = (
-    "struct<type: string, match: string, min_years: int, max_years: int, preferred: boolean, "
+    "struct<type: string, match: string, min_years: bigint, max_years: bigint, preferred: boolean, "
     "text: string, start: int, end: int>"
 )
 FINDING = "struct<category: string, reason: string, evidence: string>"
@@ -40,7 +40,7 @@ INSPECTION = (
 
 QUEUE_RESULT = (
     "struct<board_token: string, posting_id: string, company: string, title: string, queue_status: string, "
-    "outcome: string, challenge_detected: boolean, ready_count: int, required_human_count: int, "
+    "outcome: string, challenge_detected: boolean, ready_count: bigint, required_human_count: bigint, "
     "browser_modified: boolean, application_status_after: string, error_type: string>"
 )
 QUEUE_REPORT = (

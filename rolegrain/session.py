@@ -55,26 +55,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1``."""
     return df.limit(limit + 1).count() <= limit
 
 
-def spread(df: DataFrame, most: int = 200) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than there are cores.
-
-    For work that is heavy per row; a table of many files is left as it is.
-    """
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the checkpoint folder for tables a job writes and reads back."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

@@ -116,3 +116,10 @@ def test_mentions_against_sequential_model(spark):
         assert got == expected, text
         years = [m[2] for m in expected if not m[4]]
         assert row.status == ("REJECT" if any(y >= 5 for y in years) else "REVIEW" if 4 in years else "ACCEPT")
+
+
+def test_years_of_any_size_and_script(spark):
+    texts = ["99999999999 years of experience", "٣ years of experience", "9" * 30 + " years of experience", "5 years of experience"]
+    frame = E.with_mentions(spark.createDataFrame(list(enumerate(texts)), "n int, text string"))
+    got = {r.n: (r.mentions[0].min_years, r.status) for r in frame.withColumn("status", E.classify_experience(F.col("mentions"))).collect()}
+    assert got == {0: (99999999999, "REJECT"), 1: (3, "ACCEPT"), 2: ((1 << 63) - 1, "REJECT"), 3: (5, "REJECT")}

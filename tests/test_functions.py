@@ -88,3 +88,27 @@ def test_html_reader():
     assert read_html("<div>a<br>b<!-- c --></div>") == ("a b", None)
     assert read_html("<p>a<p>b</p></p> tail") == ("a b tail", ["a b"])
     assert read_html("") == ("", []) == read_html(None)
+
+
+def test_very_many_matches(spark):
+    """More matches than a block of running lengths holds, on both sides of the border."""
+    for count in (255, 256, 257, 1500):
+        text = "é" + " ".join(f"{n} years" for n in range(count))
+        got = values(spark, lambda x: find_all(x, C.java(r"(\d+)\s*years\b")), [text, None])
+        assert [tuple(s) for s in got[0]] == [(m.start(), m.end(), m.group(0)) for m in re.finditer(r"\d+ years", text)]
+        assert got[1] is None
+
+
+def test_values_are_not_cut(spark):
+    long = "x" * 9000
+    assert values(spark, C.safe_text, [f" {long} ", "  ", None]) == [long, None, None]
+    listed = [f"v{i % 400}" for i in range(800)] + [" ", None]
+    assert values(spark, C.safe_list, [listed], "array<string>") == [[f"v{i}" for i in range(400)]]
+    assert values(spark, lambda x: C.safe_list(x, 2, 1), [[" ", "ab", "a", "c", "d"]], "array<string>") == [["a", "c"]]
+    assert values(spark, lambda x: C.nonneg_int(x, 7), ["3000000000", "-5", "x", None]) == [3000000000, 0, 7, 7]
+
+
+def test_parts_of_a_date_are_no_timestamps(spark):
+    rows = ["2026", "2026-09", "12:30", "T10", "2026-09-04", "2026-09-04T01:02:03Z", "2026-09-04 01:02+02:00", "2026-13-04", None]
+    got = values(spark, lambda x: F.unix_timestamp(X.parse_utc(x)), rows)
+    assert got == [None, None, None, None, 1788480000, 1788483723, 1788476520, None, None]

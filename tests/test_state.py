@@ -79,3 +79,48 @@ def test_status_feed(spark):
     feed = spark.createDataFrame([(1, "APPLIED", at(1)), (1, "OA", at(2))], "job_id int, status string, changed_at timestamp")
     out = {r.job_id: (r.status, r.applied_at, r.last_updated_at) for r in A.change_statuses(state, feed).collect()}
     assert out == {1: ("OA", at(1), at(2)), 2: ("PENDING", None, OLD)}
+
+
+def test_a_posting_seen_twice_is_one_row(spark):
+    schema = "board_token string, posting_id string, title string, is_active boolean, last_seen_at timestamp, updated_at timestamp"
+    state = spark.createDataFrame([("a", "9", "old", True, OLD, OLD)], schema)
+    seen = spark.createDataFrame(
+        [("a", "1", "first", dt.datetime(2024, 1, 1)), ("a", "1", "last", dt.datetime(2024, 1, 2)), ("a", "9", "new", dt.datetime(2024, 1, 1))],
+        "board_token string, posting_id string, title string, fetched_at timestamp",
+    )
+    now = F.to_timestamp(F.lit(STAMP))
+    for _ in range(2):
+        state = J.upsert_postings(state, seen, now).drop("changed")
+    assert sorted((r.posting_id, r.title) for r in state.collect()) == [("1", "last"), ("9", "new")]
+
+
+def test_owners_do_not_meet(spark):
+    schema = "owner_id string, board_token string, posting_id string, title string, is_active boolean, last_seen_at timestamp, updated_at timestamp"
+    state = spark.createDataFrame([("x", "a", "1", "old", True, OLD, OLD), ("y", "a", "1", "old", True, OLD, OLD)], schema)
+    seen = spark.createDataFrame([("x", "a", "1", "new"), ("x", "a", "2", "new")], "owner_id string, board_token string, posting_id string, title string")
+    out = J.upsert_postings(state, seen, F.to_timestamp(F.lit(STAMP)))
+    assert sorted((r.owner_id, r.posting_id, r.title, r.changed) for r in out.collect()) == [
+        ("x", "1", "new", True), ("x", "2", "new", True), ("y", "1", "old", False)]
+    gone = spark.createDataFrame([("x", "a", "2"), ("y", "b", "1")], "owner_id string, board_token string, posting_id string")
+    assert [(r.owner_id, r.posting_id) for r in J.find_stale(state, gone).collect()] == [("x", "1")]
+    history = spark.createDataFrame([("x", "run", 1), ("y", "run", 1)], "owner_id string, run_key string, n int")
+    runs = spark.createDataFrame([("x", "run", 2), ("x", "run", 3)], "owner_id string, run_key string, n int")
+    rows = A.upsert_run_history(history, runs, [F.desc("n")]).collect()
+    assert sorted((r.owner_id, r.n) for r in rows) == [("x", 3), ("y", 1)]
+    saved = A.save_evaluations(
+        spark.createDataFrame([("x", 1, 1, 5.0), ("y", 1, 1, 5.0)], "owner_id string, run_id int, job_id int, score double"),
+        spark.createDataFrame([("x", 1, 1, 7.0), ("x", 1, 1, 6.0)], "owner_id string, run_id int, job_id int, score double"),
+    )
+    assert sorted((r.owner_id, r.score) for r in saved.collect()) == [("x", 7.0), ("y", 5.0)]
+
+
+def test_fresh_scan_is_a_finished_scan_of_all_boards(spark):
+    from rolegrain.operators import queues as Q
+
+    at = lambda d: dt.datetime(2024, 2, d)
+    rows = [("x", i, "multi", at(i), at(i) if i < 3 else None) for i in range(1, 12)] + [("x", 20, "acme", at(20), at(20)), ("y", 21, "multi", at(21), at(21))]
+    runs = spark.createDataFrame(rows, "owner_id string, run_id int, board_token string, started_at timestamp, completed_at timestamp")
+    since = F.to_timestamp(F.lit("2024-01-01"))
+    assert [r.run_id for r in Q.fresh_scan(runs, since, "x").collect()] == [2]
+    assert [r.run_id for r in Q.fresh_scan(runs, since).collect()] == [21]
+    assert Q.fresh_scan(runs, F.to_timestamp(F.lit("2024-03-01"))).count() == 0
