@@ -536,6 +536,32 @@ def sanitize_handoffs(packets: DataFrame, page: Sequence[str] = ("page_id",), ma
     )
 
 
+def read_packets(requests: DataFrame) -> DataFrame:
+    """Open browser requests whose stored packet can be shown, with its items, counts and shown answers.
+
+    Another source, a resolved request, another version or a missing packet leave nothing to show.  Items that are null are
+    dropped.  A stored count is rounded half up; a missing or negative one is replaced by the number of items.
+    """
+    stored = requests.filter(
+        (F.col("source") == "BROWSER") & ~F.coalesce("resolved", F.lit(False)) & (F.col("handoff_version") == R.PACKET_VERSION)
+        & F.col("handoff").isNotNull()
+    )
+
+    def items(name: str) -> Column:
+        kept = F.filter(F.coalesce(F.col("handoff")[name], F.array().cast(_ITEMS)), lambda i: i.isNotNull())
+        return F.transform(kept, lambda i: i.withField("display_answer", safe_display_answer(i["answer_key"], i["display_answer"])))
+
+    def count(name: str, fallback: Column) -> Column:
+        number = F.col("handoff.summary")[name].try_cast("double")
+        return F.when(number >= 0, F.floor(number + F.lit(0.5))).otherwise(fallback.cast("bigint"))
+
+    shown = stored.withColumns({"ready_items": items("deterministic_ready"), "human_items": items("human_assistance")})
+    return shown.withColumns({
+        "ready_count": count("ready_count", F.size("ready_items")),
+        "required_human_count": count("required_human_count", F.size(F.filter("human_items", lambda i: F.coalesce(i["required"], F.lit(False))))),
+    })
+
+
 def assistance_reason(summary: Column, safety: Column) -> Column:
     """Compact reason, for instance "BROWSER: CAPTCHA + REQUIRED_QUESTIONS=2"."""
     count = summary["required_human_count"]

@@ -72,10 +72,11 @@ def queue_order(order: str) -> list[Column]:
 
 
 def work_queue(candidates: DataFrame, order: str = "oldest", limit: int = 3) -> DataFrame:
-    """The head of the queue."""
+    """The head of the queue, numbered by ``place``."""
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    return candidates.orderBy(*queue_order(order)).limit(limit)
+    head = candidates.orderBy(*queue_order(order)).limit(limit)
+    return head.withColumn("place", F.row_number().over(Window.orderBy(*queue_order(order))))
 
 
 def stale_candidates(queue: DataFrame, scan_started: Column) -> DataFrame:
@@ -151,14 +152,16 @@ def queue_membership(view: DataFrame) -> DataFrame:
     return view.select("*", F.explode(names).alias("queue"))
 
 
-def route_queues(scored: DataFrame) -> dict[str, DataFrame]:
-    """Manual and agent queues by score, low confidence by confidence and score."""
-    score = [F.desc("score"), F.asc("posting_id")]
-    return {
-        "manual": scored.filter(F.col("route") == "MANUAL_PRIORITY").orderBy(*score),
-        "agent": scored.filter(F.col("route") == "AGENT_APPLY").orderBy(*score),
-        "low_confidence": scored.filter(F.col("confidence") < S.MANUAL_CONFIDENCE).orderBy(F.asc("confidence"), *score),
-    }
+def route_membership(scored: DataFrame) -> DataFrame:
+    """One row per (queue, posting): manual, agent, low confidence, in a single pass.
+
+    Readers order a queue by score and posting id, the low-confidence one by confidence first.
+    """
+    names = F.array_compact(F.array(
+        F.when(F.col("route") == "MANUAL_PRIORITY", F.lit("manual")), F.when(F.col("route") == "AGENT_APPLY", F.lit("agent")),
+        F.when(F.col("confidence") < S.MANUAL_CONFIDENCE, F.lit("low_confidence")),
+    ))
+    return scored.select("*", F.explode(names).alias("queue"))
 
 
 def recent_runs(runs: DataFrame, limit: int = 30, key: str = "run_id") -> DataFrame:

@@ -53,8 +53,13 @@ def pair_with_profiles(
     return salted.join(spread, ["job_profile", "_salt"]).drop("_salt")
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Add every score, the route and the explanation to (posting, profile) rows.
+def with_explanation(scored: DataFrame) -> DataFrame:
+    """Add the explanation to scored rows."""
+    return scored.withColumn("explanation", P.explanation({name: F.col(name) for name in scored.columns}))
+
+
+def score_pairs(pairs: DataFrame, explain: bool = True) -> DataFrame:
+    """Add every score, the route and (unless only winners get one) the explanation to (posting, profile) rows.
 
     Needs ``required_skills``, ``preferred_skills``, ``requirement_groups``,
     ``mentions``, ``skills`` (of the profile), ``role_score`` and
@@ -84,8 +89,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     })
     scored = scored.withColumns({"final_score": c("fit.score"), "confidence": c("fit.confidence")})
     scored = scored.withColumn("route", P.route(c("final_score"), c("confidence"), available["required"]))
-    row = {name: c(name) for name in scored.columns}
-    return scored.withColumn("explanation", P.explanation(row))
+    return with_explanation(scored) if explain else scored
 
 
 def rank_profiles(scored: DataFrame, keys: Sequence[str], order: str = "profile_order") -> DataFrame:

@@ -1,7 +1,7 @@
 """Similarity of posting text and profiles from chunk vectors.
 
-Vectors are input columns.  The numeric work is a matrix product per Arrow
-batch while the profile vectors are few, and a shuffled join otherwise.
+Vectors are input columns.  The numeric work is a matrix product per pair of a
+bucket of postings and a slice of profiles, whatever their number.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..rules import scoring as S
-from ..session import BROADCAST_ROWS, fits
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,57 +36,44 @@ def _rows_of_unit_length(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms > 0, norms, 1.0)
 
 
-def _best_per_profile(matrix: np.ndarray, starts: np.ndarray):
-    @F.pandas_udf("array<double>")
-    def best(vectors: pd.Series) -> pd.Series:
-        if vectors.empty:
-            return pd.Series([], dtype=object)
-        left = _rows_of_unit_length(np.array(vectors.tolist(), dtype=np.float64))
-        return pd.Series(list(np.maximum.reduceat(left @ matrix.T, starts, axis=1)))
-
-    return best
-
-
-def best_chunk_scores(
-    chunks: DataFrame, profile_chunks: DataFrame, keys: Sequence[str], limit: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Best cosine of every posting chunk per profile: keys, ``chunk_no``, ``profile``, ``best``."""
-    if fits(profile_chunks, limit):
-        rows = profile_chunks.select("profile", "vec").orderBy("profile").collect()
-        if not rows:
-            return chunks.select(*keys, "chunk_no", F.lit("").alias("profile"), F.lit(0.0).alias("best")).limit(0)
-        names = sorted({r["profile"] for r in rows})
-        starts = np.searchsorted(np.array([r["profile"] for r in rows]), names)
-        matrix = _rows_of_unit_length(np.array([r["vec"] for r in rows], dtype=np.float64))
-        scored = chunks.withColumn("_best", _best_per_profile(matrix, starts)(F.col("vec")))
-        named = F.arrays_zip(F.array(*map(F.lit, names)).alias("profile"), F.col("_best").alias("best"))
-        return scored.select(*keys, "chunk_no", F.inline(named).alias("profile", "best"))
-
-    # Too many profile vectors to send along: both sides are spread over a grid of
-    # cells, so each task meets one slice of either side, and slices meet by equi-join.
-    cells = max(2, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    left = chunks.select(
-        *keys, "chunk_no", unit(F.col("vec")).alias("_left"),
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_cell"),
-    )
-    right = profile_chunks.select(
-        "profile", unit(F.col("vec")).alias("_right"), F.pmod(F.xxhash64("profile", "vec"), F.lit(cells)).cast("int").alias("_cell")
-    )
-    row_salt = F.pmod(F.xxhash64(*keys, "chunk_no"), F.lit(cells)).cast("int")
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    pairs = left.withColumn("_salt", row_salt).join(right, ["_cell", "_salt"])
-    return pairs.groupBy(*keys, "chunk_no", "profile").agg(F.max(dot(F.col("_left"), F.col("_right"))).alias("best"))
+#: Posting chunks per bucket and profile vectors per slice, about: what one block product takes.
+CHUNKS, VECTORS = 4096, 2048
 
 
 def semantic_scores(
     chunks: DataFrame, profile_chunks: DataFrame, keys: Sequence[str], top: int = S.TOP_CHUNKS,
-    limit: int = BROADCAST_ROWS,
+    per_bucket: int = CHUNKS, per_slice: int = VECTORS,
 ) -> DataFrame:
     """Mean of the best chunk scores in percent: keys, ``profile``, ``semantic_raw``.
 
-    The bound on the rank is applied in every task before the shuffle.
+    Postings are dealt to buckets and profiles to slices, each with all its vectors.  A bucket meets a slice in one block
+    product; it yields the finished mean per posting and profile, so no chunk-profile pair becomes a row.
     """
-    best = best_chunk_scores(chunks, profile_chunks, keys, limit)
-    strongest = C.first_by_rank(best, [*keys, "profile"], [F.desc("best"), F.asc("chunk_no")], top)
-    mean = strongest.groupBy(*keys, "profile").agg(F.avg("best").alias("_mean"))
-    return mean.select(*keys, "profile", C.round2(F.col("_mean") * 100.0).alias("semantic_raw"))
+    buckets = max(1, -(-chunks.count() // per_bucket))
+    slices = max(1, -(-profile_chunks.count() // per_slice))
+    left = chunks.select(
+        *keys, F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"),
+    )
+    right = profile_chunks.select(
+        "profile", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("profile"), F.lit(slices)).cast("int").alias("_slice"),
+        F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket"),
+    )
+    names = list(keys)
+
+    def meet(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in [*names, "profile"]} | {"_mean": pd.Series(dtype=float)})
+        other = other.sort_values("profile", kind="stable")
+        profiles, starts = np.unique(other["profile"].to_numpy(str), return_index=True)
+        product = _rows_of_unit_length(np.array(own["vec"].tolist(), float)) @ _rows_of_unit_length(np.array(other["vec"].tolist(), float)).T
+        best = np.maximum.reduceat(product, starts, axis=1)
+        groups = own.groupby(names, sort=False, dropna=False)
+        rows = [own.iloc[[place[0]]][names].assign(_n=n) for n, place in enumerate(groups.indices.values())]
+        means = np.stack([-np.sort(-best[place], axis=0)[:top].mean(axis=0) for place in groups.indices.values()])
+        keyed = pd.concat(rows).loc[lambda f: f.index.repeat(len(profiles))]
+        return keyed[names].assign(profile=np.tile(profiles, len(rows)), _mean=means.ravel())
+
+    schema = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in names) + ", profile string, _mean double"
+    met = left.groupBy("_bucket", "_slice").cogroup(right.groupBy("_bucket", "_slice")).applyInPandas(meet, schema)
+    return met.select(*names, "profile", C.round2(F.col("_mean") * 100.0).alias("semantic_raw"))

@@ -17,11 +17,6 @@ def with_parsed_html(df: DataFrame, content: str = "content", into: str = "parse
     return df.withColumn(into, parse_html(F.col(content)))
 
 
-def clean_text(content: Column) -> Column:
-    """Escaped HTML to plain text with single blanks."""
-    return parse_html(content)["text"]
-
-
 def strip_tags(text: Column) -> Column:
     """Light HTML strip used before eligibility rules: tags, two entities, white space, lower case."""
     bare = F.regexp_replace(text, "<[^>]+>", " ")

@@ -169,13 +169,13 @@ def e6(spark, sf_dir):
 
 
 @b.query("g5_work_queue", QUEUE + """
-, heads AS ((SELECT 'fit' AS kind, job_id FROM candidates ORDER BY score DESC, application_created_at NULLS LAST, CAST(job_id AS VARCHAR) LIMIT 20)
-UNION ALL (SELECT 'newest', job_id FROM candidates ORDER BY application_created_at DESC NULLS LAST, CAST(job_id AS VARCHAR) DESC LIMIT 20)
-UNION ALL (SELECT 'oldest', job_id FROM candidates ORDER BY application_created_at NULLS LAST, CAST(job_id AS VARCHAR) LIMIT 20))
-SELECT kind, job_id FROM heads""")
+, heads AS ((SELECT 'fit' AS kind, job_id, row_number() OVER (ORDER BY score DESC, application_created_at NULLS LAST, CAST(job_id AS VARCHAR)) AS place FROM candidates QUALIFY place <= 60)
+UNION ALL (SELECT 'newest', job_id, row_number() OVER (ORDER BY application_created_at DESC NULLS LAST, CAST(job_id AS VARCHAR) DESC) AS place FROM candidates QUALIFY place <= 60)
+UNION ALL (SELECT 'oldest', job_id, row_number() OVER (ORDER BY application_created_at NULLS LAST, CAST(job_id AS VARCHAR)) AS place FROM candidates QUALIFY place <= 60))
+SELECT kind, job_id, CAST(place AS INTEGER) AS place FROM heads""")
 def g5(spark, sf_dir):
     found = candidates(spark, sf_dir)
-    heads = [Q.work_queue(found, o, 20).select(F.lit(o).alias("kind"), "job_id") for o in ("fit", "newest", "oldest")]
+    heads = [Q.work_queue(found, o, 60).select(F.lit(o).alias("kind"), "job_id", "place") for o in ("fit", "newest", "oldest")]
     return heads[0].unionByName(heads[1]).unionByName(heads[2])
 
 

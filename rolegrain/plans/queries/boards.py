@@ -137,7 +137,14 @@ def h2_routed(spark, sf_dir):
     return summary.select("company", "board_token", "manual", "agent")
 
 
-@b.query("b15_daily_report")
+@b.query("b15_daily_report", A.QUEUE + """
+, head AS (SELECT * FROM candidates ORDER BY score DESC, application_created_at NULLS LAST, CAST(job_id AS VARCHAR) LIMIT 10),
+scan AS (SELECT jobs_discovered FROM runs WHERE started_at >= TIMESTAMP '1998-01-01' AND completed_at IS NOT NULL AND board_token = 'multi'
+  ORDER BY started_at DESC, run_id DESC LIMIT 1),
+facts AS (SELECT (SELECT CAST(jobs_discovered AS BIGINT) FROM scan) AS jobs_discovered, (SELECT CAST(count(*) AS INTEGER) FROM head) AS selected,
+  (SELECT count(*) FROM head WHERE completed_at IS NULL OR completed_at < TIMESTAMP '1998-01-01') AS stale)
+SELECT 'daily' AS run_key, CASE WHEN coalesce(jobs_discovered, 0) <= 0 THEN 'BLOCKED_NO_FRESH_SCAN' WHEN selected = 0 THEN 'COMPLETED_NO_CANDIDATES'
+  WHEN stale > 0 THEN 'BLOCKED_STALE_QUEUE' ELSE 'QUEUE_READY' END AS status, selected, jobs_discovered FROM facts""")
 def daily_report(spark, sf_dir):
     report = daily.daily_report(
         b.applications(spark, sf_dir), b.jobs(spark, sf_dir), b.evaluations(spark, sf_dir), b.runs(spark, sf_dir),

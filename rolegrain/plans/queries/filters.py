@@ -176,6 +176,21 @@ def c9(spark, sf_dir):
     return p.select("doc_id", E.classify_experience(F.col("mentions")).alias("experience_status"))
 
 
+@b.query("c9_experience_split", b.with_ctes(b.POSTINGS, *MENTION_CTES) + """
+SELECT doc_id, experience_status AS part FROM experience""")
+def c9_split(spark, sf_dir):
+    parts = E.split_by_experience(b.postings(spark, sf_dir).select("doc_id", "body"), "body")
+    frames = [f.select("doc_id", F.lit(n).alias("part")) for n, f in zip(("ACCEPT", "REVIEW", "REJECT"), parts, strict=True)]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@b.query("c5_employment_split", b.with_ctes(b.POSTINGS, STRUCTURED, EMPLOYMENT) + """
+SELECT doc_id, decision <> 'REJECT' AS kept FROM employment""")
+def c5_split(spark, sf_dir):
+    kept, rejected = L.split_by_employment(b.postings(spark, sf_dir))
+    return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(rejected.select("doc_id", F.lit(False).alias("kept")))
+
+
 @b.query("c14_profile", P + f"""
 SELECT doc_id, {b.case_sql([(b.matches_sql('title', pack), b.q(name)) for name, pack in T.PROFILE_PACKS], b.q(T.DEFAULT_PROFILE))} AS job_profile
 FROM p""")

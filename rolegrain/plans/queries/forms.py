@@ -1,4 +1,4 @@
-"""Recorded form fields: one form per customer, wordings by customer number, whole documents as context."""
+"""Recorded form fields: one form per customer, wordings by customer number."""
 
 from __future__ import annotations
 
@@ -258,6 +258,31 @@ def k6(spark, sf_dir):
     )
 
 
+@b.query("k6_read_packets", HANDOFFS + """
+SELECT page_id, CASE WHEN page_id % 7 IN (1, 2) THEN ready ELSE CAST(floor(ready + CASE WHEN page_id % 7 = 3 THEN 0.75 ELSE 0.5 END) AS BIGINT) END AS ready_count,
+  blocking AS required_human_count, ready AS ready_items, human AS human_items,
+  (SELECT count(*) FROM resolved r WHERE r.page_id = reasons.page_id AND answer IS NOT NULL) AS shown_answers
+FROM reasons WHERE page_id % 7 <> 0 AND page_id % 11 <> 0 AND page_id % 13 <> 0 AND page_id % 17 <> 0""")
+def k6_read(spark, sf_dir):
+    safe, key = K.sanitize_handoffs(handoffs(spark, sf_dir)), F.col("page_id")
+    count = F.col("summary.ready_count").cast("double")
+    given = F.when(key % 7 == 1, F.lit("-1")).when(key % 7 == 2, F.lit("many")).when(key % 7 == 3, (count + 0.25).cast("string")).otherwise(count.cast("string"))
+    packet = F.struct(
+        # A null among the items is dropped on reading.
+        F.concat("deterministic_ready", F.array(F.lit(None))).alias("deterministic_ready"), "human_assistance",
+        F.struct(given.alias("ready_count"), F.lit(None).cast("string").alias("required_human_count")).alias("summary"),
+    )
+    requests = safe.select(
+        "page_id", F.when(key % 11 == 0, F.lit("ELIGIBILITY")).otherwise(F.lit("BROWSER")).alias("source"), (key % 13 == 0).alias("resolved"),
+        F.when(key % 17 == 0, F.lit(2)).otherwise(F.lit(1)).alias("handoff_version"), F.when(key % 7 != 0, packet).alias("handoff"),
+    )
+    shown = F.filter(F.concat("ready_items", "human_items"), lambda i: i["display_answer"].isNotNull())
+    return K.read_packets(requests).select(
+        "page_id", "ready_count", "required_human_count", F.size("ready_items").cast("bigint").alias("ready_items"),
+        F.size("human_items").cast("bigint").alias("human_items"), F.size(shown).cast("bigint").alias("shown_answers"),
+    )
+
+
 @b.query("k7_assistance_texts", HANDOFFS + """
 SELECT page_id, 'BROWSER: ' || coalesce(nullif(array_to_string(list_filter([CASE WHEN challenge THEN 'CAPTCHA' END,
     CASE WHEN blocking > 0 THEN 'REQUIRED_QUESTIONS=' || CAST(blocking AS VARCHAR) END, CASE WHEN mismatches > 0 THEN 'POLICY_MISMATCH' END,

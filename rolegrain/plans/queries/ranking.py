@@ -168,7 +168,7 @@ def e3(spark, sf_dir):
 
 @b.query("e3_semantic_scores_shuffled", _E3)
 def e3_shuffled(spark, sf_dir):
-    return M.semantic_scores(*chunk_frames(spark, sf_dir), ["posting_id"], limit=0)
+    return M.semantic_scores(*chunk_frames(spark, sf_dir), ["posting_id"], per_bucket=64, per_slice=4)
 
 
 @b.query("e4_group_match", ALL + """
@@ -314,7 +314,8 @@ def g1_best(spark, sf_dir):
 
 
 def best(spark, sf_dir):
-    return R.best_profile(scored(spark, sf_dir), KEYS).select(
+    slim = R.score_pairs(pairs(spark, sf_dir), explain=False)
+    return R.with_explanation(R.best_profile(slim, KEYS)).select(
         *KEYS, "doc_id", "profile", F.col("final_score").alias("score"), "confidence", "route",
         F.size("explanation.warnings").alias("warning_count"), F.col("available.required").alias("has_required"),
         "explanation.component_availability", "role_score", "semantic_score",
@@ -346,9 +347,7 @@ def g6(spark, sf_dir):
   SELECT 'low_confidence', posting_id, final_score, confidence FROM best WHERE confidence < 75)
 SELECT queue, posting_id, final_score AS score, confidence FROM q""")
 def g7(spark, sf_dir):
-    queues = Q.route_queues(stored(best(spark, sf_dir).select("posting_id", "score", "confidence", "route")))
-    frames = [f.select(F.lit(n).alias("queue"), "posting_id", "score", "confidence") for n, f in queues.items()]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return Q.route_membership(best(spark, sf_dir)).select("queue", "posting_id", "score", "confidence")
 
 
 @b.query("h4_routing_summary", b.with_ctes(*SCORED) + """

@@ -82,7 +82,7 @@ def score(
     pairs = pairs.join(raw, [*keys, "profile"], "left").withColumn(
         "semantic_raw", F.coalesce("semantic_raw", F.lit(0.0))
     )
-    return K.score_pairs(pairs)
+    return K.score_pairs(pairs, explain=False)
 
 
 def run(
@@ -103,7 +103,7 @@ def run(
     flagged = passed.filter(F.col("eligibility.decision") == "NEEDS_ASSISTANCE")
     eligible = passed.filter(F.col("eligibility.decision") == "PASS")
     scored = score(eligible, profiles, profile_chunks, posting_chunks)
-    best = stored(K.best_profile(scored, KEYS))
+    best = stored(K.with_explanation(K.best_profile(scored, KEYS)))
 
     seen = passed.filter(F.col("eligibility.decision") != "SKIP").select(
         *KEYS, job_id.alias("job_id"), "company", "title", X.location_display(F.col("location")).alias("location"),

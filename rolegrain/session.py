@@ -7,9 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 10_000
+#: Bytes up to which it is.
+BROADCAST_BYTES = 32 << 20
 
 
 def build(app: str = "rolegrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -55,9 +58,10 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``limit`` rows of ``size`` bytes in all (as JSON); reads no more than ``limit + 1`` rows."""
+    head = df.limit(limit + 1).agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return head["rows"] <= limit and (head["bytes"] or 0) <= size
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

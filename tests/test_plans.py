@@ -87,4 +87,3 @@ def test_whole_scan(spark, sf_dir):
 def test_html_goes_only_to_survivors(spark, sf_dir):
     annotated = scan.annotate(b.postings(spark, sf_dir))
     assert annotated.filter(~scan.passes_short_rules() & (F.length("parsed.text") > 0)).count() == 0
-    assert X.clean_text is not None

@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "conversations").split()
 ROWS_ONLY = {
     "b1_clean_html", "b4_logical_lines", "d8_parenthetical_groups", "d9_inline_examples", "d10_line_structure",
-    "d14_requirements", "b15_daily_report", "k1_grouped_fields",
+    "d14_requirements", "k1_grouped_fields",
 }
 QUICK = [
     "b11_list_rendering", "b13_safe_values", "b14_parse_utc", "e9_fresh_scan", "c7_location_split", "k6_safe_packets", "k7_assistance_texts",

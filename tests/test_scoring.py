@@ -56,8 +56,8 @@ def test_similarity_paths_agree_with_plain_python(spark):
         for name in {n for n, _ in profiles}:
             best = sorted((max(cosine(v, w) for n, w in profiles if n == name) for q, _, v in chunks if q == p), reverse=True)[:5]
             expected[p, name] = sum(best) / len(best) * 100
-    for limit in (100, 3):
-        rows = M.semantic_scores(left, right, ["posting_id"], limit=limit).collect()
+    for size in (100, 3):
+        rows = M.semantic_scores(left, right, ["posting_id"], per_bucket=size, per_slice=size).collect()
         assert len(rows) == len(expected)
         for r in rows:
             assert abs(r.semantic_raw - expected[r.posting_id, r.profile]) <= 0.0051
