@@ -20,6 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Keys of the tables with long texts, and the number of files below which they are dealt out by key.
+LONG_TEXTS, FEW_FILES = {"documents": "doc_id", "pages": "page_id"}, 8
+
+
 def query(name: str, sql: str | None = None):
     """Register a query with the SQL that must give the same rows."""
 
@@ -33,7 +37,11 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # The given long-text tables may come as one file of one row group, which no reader setting can split.
+    # A table of at least as many files as there are cores is read as it lies.
+    key, cores = LONG_TEXTS.get(name), spark.sparkContext.defaultParallelism
+    return frame.repartition(cores, key) if key and len(frame.inputFiles()) < min(cores, FEW_FILES) else frame
 
 
 # --- literals ---------------------------------------------------------------

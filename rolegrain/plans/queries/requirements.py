@@ -322,6 +322,20 @@ l AS (SELECT posting_id AS d, board_token, line_no AS p, line, heading IS NOT NU
       FROM (SELECT *, CASE WHEN heading IS NULL THEN {skills_sql('line')} ELSE [] END AS skills FROM inlined))"""
 
 
+@b.query("b1_known_pages", b.with_ctes(b.POSTINGS) + f"""
+SELECT posting_id, {b.squash_sql("heading || ' ' || line_1 || ' ' || line_2 || ' ' || text")} AS text FROM p""")
+def b1_known(spark, sf_dir):
+    """Pages whose text is known, through the same reader as ``b1_clean_html``."""
+    return X.with_parsed_html(b.postings(spark, sf_dir), "content").select("posting_id", "parsed.text")
+
+
+@b.query("b4_known_lines", b.with_ctes(b.POSTINGS, PAGE_LINES) + "SELECT posting_id, CAST(line_no AS INTEGER) AS line_no, line FROM page_lines")
+def b4_known(spark, sf_dir):
+    """The same for ``b4_logical_lines``."""
+    pages = X.with_parsed_html(b.postings(spark, sf_dir), "content").select("posting_id", "parsed")
+    return X.explode_lines(pages, X.logical_lines(F.col("parsed"))).select("posting_id", "line_no", "line")
+
+
 @b.query("d13_evidence", b.with_ctes(b.POSTINGS, PAGE_LINES, STATE) + """
 SELECT board_token, d AS posting_id, CAST(p AS INTEGER) AS line_no, section, reason AS classification_reason,
        array_to_string(skills, '|') AS skills, line AS text FROM state WHERE sk""")
