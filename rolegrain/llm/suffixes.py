@@ -48,23 +48,39 @@ KEY = ["doc_id", "text_hash"]
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling; ``text`` are integers whose last is unique."""
+    """Suffixes in order, by prefix doubling; ``text`` are integers whose last is unique.
+
+    Only suffixes that are still tied are sorted again, in the order they have, which a merge sort uses.
+    """
     n = len(text)
-    rank, step = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
-    base = int(rank.max()) + 2
-    if base < 1 << 15:  # four symbols at once
-        padded = np.concatenate([rank + 1, np.zeros(3, np.int64)])
-        packed = ((padded[:-3] * base + padded[1:-2]) * base + padded[2:-1]) * base + padded[3:]
-        rank, step = np.unique(packed, return_inverse=True)[1].astype(np.int64), 4
-    while rank.max() < n - 1:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        pair = rank * (n + 1) + ahead
-        order = np.argsort(pair)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(pair[order]) != 0)])
+    symbols, symbol = np.unique(text, return_inverse=True)
+    step = max(1, min(8, int(61 / np.log2(len(symbols) + 1))))  # so many symbols fit in one key
+    padded = np.concatenate([symbol + 1, np.zeros(step - 1, np.int64)])
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key = key * (len(symbols) + 1) + padded[i : i + n]
+    order = np.argsort(key)
+    sorted_key = key[order]
+    place = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+    rank = np.empty(n, np.int64)
+    rank[order] = place
+    while place[-1] < n - 1:
+        tied = np.zeros(n, bool)
+        same = place[1:] == place[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+        at = np.flatnonzero(tied)
+        items = order[at]
+        ahead = np.where(items + step < n, rank[np.minimum(items + step, n - 1)] + 1, 0)
+        pair = place[at] * (n + 1) + ahead
+        again = np.argsort(pair, kind="stable")
+        order[at], pair = items[again], pair[again]
+        first = np.ones(n, bool)
+        first[at[1:]] = pair[1:] != pair[:-1]
+        place = np.cumsum(first) - 1
+        rank[order] = place
         step *= 2
-    return np.argsort(rank)
+    return order
 
 
 def long_boundaries(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
