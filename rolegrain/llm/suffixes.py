@@ -276,7 +276,7 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, group: int) -> DataF
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
     """``doc_id, text_hash, spans``: byte ranges that start at a repeated string, unordered and overlapping."""
-    found = anchored(docs, length, gram or length // 2)
+    found = stored(anchored(docs, length, gram or length // 2))
     often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
     found = stored(found.join(often, "anchor", "left_semi"))
     runs_ = stored(repeats(found, docs, length, group).groupBy("anchor", "kind").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
