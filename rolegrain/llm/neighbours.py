@@ -42,6 +42,8 @@ def usable(vector: Column) -> Column:
 
 def nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query the ids and cosines of its ``k`` best verified rows of this shard."""
+    # Powers of two change no cosine, and keep squares of very large and very small components finite.
+    rows, queries = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (rows, queries))
     width = rows.shape[1]
     lines = np.random.default_rng(seed).standard_normal((width, LINES))
     lines *= np.sqrt(width) / np.linalg.norm(lines, axis=0)

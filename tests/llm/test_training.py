@@ -195,6 +195,12 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.search(table.filter("1 = 0"), table, k=3).count() == 0
 
 
+def test_neighbours_of_extreme_vectors():
+    rows = np.array([[1e300, 1e300], [1e-300, 0.0], [0.0, 5e-324], [3.0, 4.0]])
+    found = dict(zip(*[x.tolist() for x in next(iter(neighbours.nearest(rows, np.arange(4), np.array([[1.0, 0.0]]), np.array([9]), 4, 7)))[1:]], strict=True))
+    assert {i: round(c, 6) for i, c in found.items()} == {0: 0.707107, 1: 1.0, 2: 0.0, 3: 0.6}
+
+
 def test_pipeline_stages(spark, sf_dir, documents, tokenizer):
     """Every stage on what the one before it kept, against a plain model of its decision."""
     docs, seen = documents, {}
