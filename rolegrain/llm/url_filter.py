@@ -121,10 +121,11 @@ def judge(
     content = encode(rules)
     lengths = sorted({len(normal(r)) - len(normal(r).partition("/")[0]) for r, _ in rules}, reverse=True)
     name = f"url-rules-{xxhash.xxh3_128_hexdigest(content)}.bin"
-    staged = os.path.join(tempfile.mkdtemp(), name)
-    with open(staged, "wb") as file:
-        file.write(content)
-    spark.sparkContext.addFile(staged)
+    if not any(file.endswith(name) for file in spark.sparkContext.listFiles):  # one list is sent once per session
+        staged = os.path.join(tempfile.mkdtemp(), name)
+        with open(staged, "wb") as file:
+            file.write(content)
+        spark.sparkContext.addFile(staged)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = DigestArray(SparkFiles.get(name))
