@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK64 = (1 << 64) - 1
@@ -83,6 +84,15 @@ def sliding_argmin(keys: np.ndarray, window: int, rightmost: bool = False) -> np
     return ((low - least) if rightmost else least).astype(np.int64)
 
 
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of its buffers."""
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, cuts = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return out
+
+
 def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of items whose sizes sum to at most ``limit``, or single items beyond it."""
     start, total = 0, 0

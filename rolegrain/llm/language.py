@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import pieces
+from .hashing import lists, pieces
 
 BUCKETS, WIDTH = 1 << 14, 16
 ORDERS = (2, 3, 4)
@@ -181,9 +181,10 @@ def fit(docs: DataFrame, usable: Column, label: str = "lang", sample: int = SAMP
 
     table = drawn.select(F.col("doc_id").cast("long"), F.col(label).cast("string"), F.col("text").cast("string")).mapInArrow(
         work, "doc_id long, label string, buckets array<int>, counts array<float>",
-    ).toArrow().to_pylist()
-    table.sort(key=lambda r: (r["doc_id"] or 0, r["label"], r["buckets"]))
-    return train([(np.array(r["buckets"], np.int32), np.array(r["counts"], np.float32)) for r in table], [r["label"] for r in table])
+    ).toArrow()
+    names, bags = table["label"].to_pylist(), list(zip(lists(table["buckets"]), lists(table["counts"]), strict=True))
+    order = sorted(range(len(names)), key=lambda i: (table["doc_id"][i].as_py() or 0, names[i], bags[i][0].tobytes()))
+    return train([bags[i] for i in order], [names[i] for i in order])
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:

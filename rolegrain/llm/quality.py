@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import restored, shielded
-from .hashing import SpanHash, pieces
+from .hashing import SpanHash, lists, pieces
 
 BUCKETS, RANK, BINS = 1 << 13, 8, 10
 #: Labelled rows that are drawn for training, about.
@@ -173,15 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
 
     table = texts.select("doc_id", "label", "text", "stated_length").mapInArrow(
         work, "doc_id long, label int, buckets array<int>, weights array<float>, statistics array<double>",
-    ).toArrow().to_pylist()
-    if not table:
+    ).toArrow()
+    if not table.num_rows:
         return None
-    table.sort(key=lambda r: (r["doc_id"], r["label"], r["statistics"]))
-    known = np.array([r["label"] for r in table])
-    back = np.array([1 / share[x] for x in known.tolist()])
-    return train(
-        [(np.array(r["buckets"], np.int32), np.array(r["weights"], np.float32)) for r in table], np.array([r["statistics"] for r in table]), known, back / back.mean(),
-    )
+    known, statistics = table["label"].to_numpy(), np.stack(lists(table["statistics"]))
+    bags = list(zip(lists(table["buckets"]), lists(table["weights"]), strict=True))
+    ids = table["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], known[i], statistics[i].tolist()))
+    back = np.array([1 / share[x] for x in known[order].tolist()])
+    return train([bags[i] for i in order], statistics[order], known[order], back / back.mean())
 
 
 def score(docs: DataFrame, machine: Machine | None, keep: list[str]) -> DataFrame:
