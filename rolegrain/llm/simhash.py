@@ -262,6 +262,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 8) -> DataFrame:
     """
     groups = near_duplicates(docs, shingle, radius)
     keep = stored(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept = docs.join(keep.select("doc_id"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    # The same plan at every size: both sides are laid out by id, the kept ids are never sent to all tasks.
+    kept = docs.join(keep.select("doc_id").hint("merge"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
     repeated = keep.filter("n > 1").limit(1).count() > 0
     return kept.dropDuplicates(["doc_id"]) if repeated else kept
