@@ -46,7 +46,7 @@ class WordTokens:
     """Token ids of texts as little-endian unsigned 32-bit bytes; equal to ``Tokenizer.encode`` without special tokens."""
 
     #: Words remembered before the memory is cleared.
-    KEEP = 800_000
+    KEEP = 500_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
