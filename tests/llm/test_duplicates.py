@@ -175,3 +175,46 @@ def test_simhash_of_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: (x is None, x)) == [1, 3, 4, 5, 7, 9, 10, None]
     assert simhash.near_duplicates(none).count() == 0
+
+
+def plain_shingles(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def plain_similar(texts):
+    """Label per text: components of all pairs whose Jaccard similarity is 0.8 or more."""
+    sets, label = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(label[i], label[j])
+            changed |= label[i] != label[j]
+            label[i] = label[j] = low
+    return label, pairs
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Pairs around the limit, a chain, a group of near copies, and a passage that unlike texts share."""
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    changed = lambda own, places: [f"new{rng.integers(1 << 40)}" if i in places else w for i, w in enumerate(own)]
+    texts = []
+    for share in (0.01, 0.015, 0.02, 0.022, 0.025, 0.03) * 6:
+        own = words(int(rng.integers(100, 400)))
+        texts += [own, changed(own, set(rng.integers(0, len(own), max(1, int(share * len(own)))).tolist()))]
+    chain = words(200)
+    for at in range(6):
+        texts.append(chain := changed(chain, {30 * at + 5, 30 * at + 15}))
+    base, passage = words(150), words(60)
+    texts += [changed(base, {int(rng.integers(150))}) for _ in range(40)] + [words(40) + passage + words(40) for _ in range(40)]
+    texts = [" ".join(t) for t in texts] + ["one two three", "One  two three", "one two three four", " \n", "", None]
+    label, pairs = plain_similar(texts)
+    assert len(pairs) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    roots = {r["doc_id"]: r["root"] for r in simhash.similar_groups(docs).collect()}
+    found = [roots[i] for i in range(len(texts))]
+    assert [found.index(r) for r in found] == [label.index(x) for x in label]
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(set(label))
