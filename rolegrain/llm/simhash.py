@@ -255,16 +255,19 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of ``docs`` per group of near-duplicates: that with the smallest id; of repeated rows one.
+    """One row of ``docs`` per group of near-duplicates: that with the smallest id (null last), then text hash; of equal rows one.
 
     Near-duplicates are found exactly, on the whole shingle sets: fingerprints of texts with a similarity of 0.8 differ by 9 to
     14 bits, which no radius covers that keeps shards small.
     """
     rows = stored(similar_groups(docs, shingle))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = rows.join(least, "root")
-    keep = stored(groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
-    # The same plan at every size: both sides are laid out by id, the kept ids are never sent to all tasks.
-    kept = docs.join(keep.select("doc_id").hint("merge"), docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    # An id does not name a row: ids may be null or repeated. Equal ids with equal texts are in one group.
+    places = rows.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = places.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash", "n")).alias("at"))
+    keep = stored(first.select(F.col("at.doc_id").alias("id_"), F.col("at.text_hash").alias("hash_"), "at.n"))
+    texts = docs.withColumn("hash_of_", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    # The same plan at every size: both sides are laid out by key, the kept keys are never sent to all tasks.
+    same = (texts["hash_of_"] == keep["hash_"]) & texts["doc_id"].cast("long").eqNullSafe(keep["id_"])
+    kept = texts.join(keep.select("id_", "hash_").hint("merge"), same, "left_semi")
     repeated = keep.filter("n > 1").limit(1).count() > 0
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return (kept.dropDuplicates(["doc_id", "hash_of_"]) if repeated else kept).drop("hash_of_")

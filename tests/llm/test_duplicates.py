@@ -218,3 +218,16 @@ def test_similar_texts_against_all_pairs(spark):
     found = [roots[i] for i in range(len(texts))]
     assert [found.index(r) for r in found] == [label.index(x) for x in label]
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(set(label))
+
+
+def test_keep_first_keeps_rows_not_ids(spark):
+    """Several documents without an id, and one id with two texts."""
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (None, text("d") + " more"), (3, text("d")),
+        (5, text("e")), (5, text("f")), (5, text("f")), (4, text("f") + " more"), (None, None), (None, ""), (6, text("g")), (6, text("h")), (7, text("g")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in simhash.keep_first(docs).collect()), key=str)
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (3, text("d")), (5, text("e")), (4, text("f") + " more"), (None, ""), (6, text("g")), (6, text("h"))]
+    assert kept == sorted(want, key=str)
