@@ -16,6 +16,9 @@ Strings of ``length`` bytes are compared where they can be equal, and nowhere el
    same steps again; blocks that are still too many are compared string by string in an aggregate.
 5. Repeated strings are joined with the segments' places and cut out of their documents.
 
+Passages of so many words take the same steps on texts in which every word is a code of ``CODE`` letters, so their number of
+bytes does not matter. Words are maximal runs of characters other than ASCII white space, compared as they are written.
+
 Defined cases: a null text is an empty one; texts shorter than ``length`` lose nothing; of equal rows each is a place of its
 own, so all lose their repeated bytes; ids may be null or repeated; an empty table gives no rows.
 """
@@ -23,6 +26,7 @@ own, so all lose their repeated bytes; ids may be null or repeated; an empty tab
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +48,12 @@ TEXT = 1 << 20
 #: Strings per block of a divided segment.
 BLOCK = 25
 
+#: Letters of a word's code.
+CODE = 8
+
 KEY = ["doc_id", "text_hash"]
+#: A word.
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -295,14 +304,52 @@ def merged(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     return both[first, 0], reach[np.concatenate([first[1:] - 1, [len(both) - 1]])]
 
 
-def with_spans(docs: DataFrame, length: int, group: int) -> DataFrame:
-    """``docs`` with the byte ranges to remove in ``spans``."""
-    spans = stored(removed_spans(docs, length, None, group)).withColumnsRenamed({k: f"{k}_" for k in KEY})
+def coded(text: str | None) -> str:
+    """``CODE`` letters per word; only the first is upper case."""
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    digests = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words))
+    letters = ((digests[:, None] >> np.arange(0, 4 * CODE, 4, dtype=np.uint32)) & np.uint32(15)).astype(np.uint8) + np.uint8(ord("a"))
+    letters[:, 0] -= np.uint8(32)
+    return letters.tobytes().decode("ascii")
+
+
+def removed_words(docs: DataFrame, words: int, group: int = GROUP) -> DataFrame:
+    """``doc_id, text_hash, word_spans``: as ``removed_spans``, for passages of ``words`` words and in numbers of words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([coded(x.as_py()) for x in batch.column(1)], pa.string())], ["doc_id", "text"])
+
+    texts = keyed(docs).withColumn("row", F.xxhash64(*KEY))
+    length = words * CODE
+    found = stored(removed_spans(texts.select("row", "text").mapInArrow(work, "doc_id long, text string"), length, None, group))
+    # Only strings that start with a word count.
+    whole = F.transform("spans", lambda s: F.struct(F.ceil(s["low"] / CODE).alias("low"), (F.floor((s["high"] - length) / CODE) + words).alias("high")))
+    found = found.select(F.col("doc_id").alias("row"), F.filter(whole, lambda s: s["high"] - s["low"] >= words).alias("word_spans"))
+    return texts.select("row", *KEY).distinct().join(found, "row").select(*KEY, "word_spans")
+
+
+def with_spans(docs: DataFrame, length: int, group: int, words: int | None = None) -> DataFrame:
+    """``docs`` with the byte ranges to remove in ``spans``, and the ranges of words in ``word_spans`` if ``words`` are given."""
+    spans = stored(removed_spans(docs, length, None, group))
+    if words:
+        passages = removed_words(docs, words, group).select(*KEY, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "word_spans")
+        both = spans.select(*KEY, "spans", F.lit(None).cast(passages.schema["word_spans"].dataType).alias("word_spans")).union(passages)
+        spans = stored(both.groupBy(*KEY).agg(*[F.first(c, True).alias(c) for c in ("spans", "word_spans")]))
+    spans = spans.withColumnsRenamed({k: f"{k}_" for k in KEY})
     texts = docs.withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = (texts["text_hash"] == spans["text_hash_"]) & texts["doc_id"].cast("long").eqNullSafe(spans["doc_id_"])
     return texts.join(spans, same, "left").drop("text_hash", "text_hash_", "doc_id_")
 
 
+def in_bytes(text: bytes, word_spans: list[dict] | None) -> list[dict]:
+    """Ranges of words as ranges of bytes, each with the white space behind it."""
+    if not word_spans:
+        return []
+    starts = [m.start() for m in WORD.finditer(text)] + [len(text)]
+    return [{"low": starts[s["low"]], "high": starts[s["high"]]} for s in word_spans]
+
+
 def apply_cut(joined: DataFrame, keep: list[str], body: bool) -> DataFrame:
     """Cuts ``spans`` out of ``text``; ``keep`` columns come along, ``body`` adds the remaining text."""
     fields = [f for f in joined.schema.fields if f.name in keep]
@@ -310,11 +357,10 @@ def apply_cut(joined: DataFrame, keep: list[str], body: bool) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(len(fields)), batch.column(len(fields) + 1)
             rows = []
-            for text, own in zip(texts, spans, strict=True):
+            for text, own, *passages in zip(*batch.columns[len(fields) :], strict=True):
                 text = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                low, high = merged(own.as_py())
+                low, high = merged((own.as_py() or []) + [s for p in passages for s in in_bytes(text, p.as_py())])
                 edges = [0, *np.stack([low, high], axis=1).ravel().tolist(), len(text)]
                 rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((len(text), len(text) - len(rest), len(low), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
@@ -323,7 +369,8 @@ def apply_cut(joined: DataFrame, keep: list[str], body: bool) -> DataFrame:
             made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)][: 5 if body else 4]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *made], [f.name for f in fields] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(made)])
 
-    return joined.select(*[f.name for f in fields], F.col("text").cast("string"), "spans").mapInArrow(work, schema)
+    ranges = [c for c in ("spans", "word_spans") if c in joined.columns]
+    return joined.select(*[f.name for f in fields], F.col("text").cast("string"), *ranges).mapInArrow(work, schema)
 
 
 def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -332,10 +379,13 @@ def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, group: int =
     return apply_cut(with_spans(narrow, length, group), keep, False)
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """``docs`` with what remains of every text, and ``n_chars`` (if there) of that; cut characters go as a whole."""
+def cut_texts(docs: DataFrame, length: int = LENGTH, group: int = GROUP, words: int | None = None) -> DataFrame:
+    """``docs`` with what remains of every text, and ``n_chars`` (if there) of that; cut characters go as a whole.
+
+    ``words`` also cuts every passage of so many words that starts elsewhere too.
+    """
     needed = ["doc_id", "text"]
     safe = shielded(docs, needed)
-    done = apply_cut(with_spans(safe, length, group), [c for c in safe.columns if c != "text"], True).withColumnRenamed("kept", "text")
+    done = apply_cut(with_spans(safe, length, group, words), [c for c in safe.columns if c != "text"], True).withColumnRenamed("kept", "text")
     out = restored(done, docs, needed)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -1,13 +1,16 @@
 """Winnowing, repeated byte strings, SimHash."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 
+import corpus_pipeline
 from rolegrain.llm import queries, simhash, suffixes, winnowing
 
 
@@ -231,3 +234,36 @@ def test_keep_first_keeps_rows_not_ids(spark):
     kept = sorted(((r["doc_id"], r["text"] or "") for r in simhash.keep_first(docs).collect()), key=str)
     want = [(None, text("a")), (None, text("b")), (None, text("c")), (3, text("d")), (5, text("e")), (4, text("f") + " more"), (None, ""), (6, text("g")), (6, text("h"))]
     assert kept == sorted(want, key=str)
+
+
+def plain_words_removed(texts, words):
+    """What remains when every passage of ``words`` words that starts twice goes, with the white space behind it."""
+    own = [[(m.group(), m.start()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen = {}
+    for row in own:
+        for i in range(len(row) - words + 1):
+            part = tuple(w for w, _ in row[i : i + words])
+            seen[part] = seen.get(part, 0) + 1
+    out = []
+    for text, row in zip(texts, own, strict=True):
+        kept, starts = np.ones(len(text), bool), [s for _, s in row] + [len(text)]
+        for i in range(len(row) - words + 1):
+            if seen[tuple(w for w, _ in row[i : i + words])] > 1:
+                kept[starts[i] : starts[i + words]] = False
+        out.append(bytes(b for b, k in zip(text, kept, strict=True) if k).decode())
+    return out
+
+
+def test_passages_of_over_50_words(spark, sf_dir):
+    """Passages of 51 words go however short the words are, those of 50 stay."""
+    rng = np.random.default_rng(9)
+    words = lambda n, size=7: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé"), int(rng.integers(1, size)))) for _ in range(n)]
+    passages = [words(51), words(51, 2), words(50), words(50, 4), words(51, 11), words(57)]
+    rows = [" ".join(words(30) + p + words(30)) for p in passages for _ in range(3)]
+    rows += ["\n ".join(["x", *passages[0], "y"]), " ".join(passages[0]), " ".join(passages[1][:-1]), "", " ", None, rows[3], "k " * 60]
+    rows = [(i if i % 4 else None, t) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
+    want = plain_words_removed([(t or "").encode() for _, t in rows], 51)
+    assert sum(len(t or "") - len(w) for (_, t), w in zip(rows, want, strict=True)) > 2000
+    assert sorted(map(str, got)) == sorted(str(Row(doc_id=i, text=w)) for (i, _), w in zip(rows, want, strict=True))
