@@ -5,8 +5,9 @@ shingle is one shingle, a text without words (or null) is the empty set. A set o
 
 The search is exact. Two sets that are so alike share at least 4/5 of the shingles of either, so in any order of all shingles
 they share one among the first ``n - ceil(4n/5) + 1`` of each (prefix filter). The order takes shingles that are common in a
-sample last, which keeps lists of sets short; the sample has no influence on the result. Candidates are compared on their
-whole sets. Equal sets are one node, so copies cost nothing. First every list's sets are compared with its least one only;
+sample last, which keeps lists of sets short; the sample has no influence on the result. If the shorter reach of two prefixes
+ends in A's, what A and B share beyond the prefixes is in A's rest, so both prefixes must share the rest of the needed shingles:
+pairs in fewer lists are not alike. The others are compared on their whole sets. Equal sets are one node, so copies cost nothing. First every list's sets are compared with its least one only;
 what this links needs no more comparison with each other, so a large group of near copies does not cost the square of its size.
 """
 
@@ -30,6 +31,8 @@ ALIKE = (4, 5)
 SAMPLE, LISTED = 20_000, 1 << 16
 #: Pairs that a task returns at a time, about.
 PAIRS = 1 << 18
+#: Bits of the filter for texts that are read again (a multiple of 32,768).
+FILTER = 1 << 24
 
 
 def hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -130,20 +133,30 @@ def lists(nodes: DataFrame) -> DataFrame:
     return placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "shingle long, node long, size int")
 
 
-def close(one: str, other: str) -> Column:
-    """Can sets of these sizes be alike?"""
-    return (F.least(one, other) * ALIKE[1]) >= (F.greatest(one, other) * ALIKE[0])
+def shared_at_least(one: Column, other: Column) -> Column:
+    """How many shingles the prefixes of sets of these sizes share if the sets are alike."""
+    needed = F.ceil((one + other) * ALIKE[0] / (ALIKE[0] + ALIKE[1]) - 1e-6)
+    rest = F.floor(F.greatest(one, other) * ALIKE[0] / ALIKE[1] + 1e-6)  # n - prefix = ceil(4n/5) - 1 <= 4n/5
+    return needed - rest
 
 
 def first_pairs(found: DataFrame) -> DataFrame:
-    """``one, other``: every node of a list with the list's least node."""
+    """``one, other``: nodes of a list with the list's least node, if they share enough lists in which it is that."""
     least = stored(found.groupBy("shingle").agg(F.min(F.struct("node", "size")).alias("least")))
-    pairs = found.join(least, "shingle").select(F.col("least.node").alias("one"), F.col("node").alias("other"), F.col("least.size").alias("least"), "size")
-    return pairs.filter((F.col("one") < F.col("other")) & close("least", "size")).select("one", "other").distinct()
+    pairs = found.join(least, "shingle").filter(F.col("least.node") < F.col("node"))
+    sizes = [F.col("least.size").alias("one_size"), F.col("size").alias("other_size")]
+    return shared_enough(pairs.select(F.col("least.node").alias("one"), F.col("node").alias("other"), *sizes, F.lit(1).alias("n")))
+
+
+def shared_enough(pairs: DataFrame) -> DataFrame:
+    """``one, other`` of ``one, other, one_size, other_size, n`` that have sizes and lists enough to be alike."""
+    close = F.least("one_size", "other_size") * ALIKE[1] >= F.greatest("one_size", "other_size") * ALIKE[0]
+    counted = pairs.filter(close).groupBy("one", "other").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("one_size", "other_size")])
+    return counted.filter(F.col("n") >= shared_at_least(F.col("one_size"), F.col("other_size"))).select("one", "other")
 
 
 def open_pairs(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """``one, other``: all pairs of a list that ``roots`` has not linked."""
+    """``one, other``: all pairs that share enough lists and that ``roots`` has not linked."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -159,9 +172,11 @@ def open_pairs(found: DataFrame, roots: DataFrame) -> DataFrame:
                 mate = own + 1 + np.arange(len(own)) - np.repeat(done[at:to] - count[at:to] - (done[at - 1] if at else 0), count[at:to])
                 a, b = rows[own], rows[mate]
                 keep = (a[:, 3] != b[:, 3]) & (a[:, 2] * ALIKE[1] >= b[:, 2] * ALIKE[0])
-                one, other = np.minimum(a[keep, 1], b[keep, 1]), np.maximum(a[keep, 1], b[keep, 1])
-                both = np.unique(np.stack([one, other], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["one", "other"])
+                a, b = a[keep], b[keep]
+                swap = a[:, 1] > b[:, 1]
+                a[swap], b[swap] = b[swap], a[swap]
+                both, n = np.unique(np.stack([a[:, 1], b[:, 1], a[:, 2], b[:, 2]], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*np.ascontiguousarray(both.T), n)], ["one", "other", "one_size", "other_size", "n"])
                 at = to
 
         rest = np.zeros((0, 4), np.int64)
@@ -178,16 +193,29 @@ def open_pairs(found: DataFrame, roots: DataFrame) -> DataFrame:
     # Lists within one group are done.
     mixed = stored(named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
     ordered = named.join(mixed, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    return ordered.mapInArrow(work, "one long, other long").distinct()
+    return shared_enough(ordered.mapInArrow(work, "one long, other long, one_size long, other_size long, n long"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """``src, dst``: those of ``pairs`` that are alike, compared on their whole sets."""
 
+    row = F.xxhash64("id", "hash")
+    asked = pairs.select(F.col("one").alias("node")).union(pairs.select("other")).distinct()
+    keys = nodes.join(asked, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("hash"))
+    wanted = stored(keys.select("node", row.alias("row")))
+    # The driver sees one bit per row at most, in FILTER bits: texts that nobody asks for are not sent.
+    place = F.pmod("row", F.lit(FILTER)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for m in maps:
+        bits[(m["at"] - 1) * 4096 : m["at"] * 4096] = np.frombuffer(bytes(m["bits"]), np.uint8)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(x.as_py(), shingle)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "own"])
+            at = batch.column(0).to_numpy() % FILTER
+            keep = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            sets = [np.unique(hashes(x.as_py(), shingle)).tobytes() for x in keep.column(1)]
+            yield pa.RecordBatch.from_arrays([keep.column(0), pa.array(sets, pa.binary())], ["row", "own"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,12 +223,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
             keep = pa.array([alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in sets], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
 
-    asked = pairs.select(F.col("one").alias("node")).union(pairs.select("other")).distinct()
-    wanted = stored(nodes.join(asked, "node").select("node", F.col("at.doc_id").alias("id"), F.col("at.text_hash").alias("hash")))
-    texts = keyed(docs)
-    # Rows with equal keys all answer; one is enough.
-    rows = texts.join(wanted, (texts["text_hash"] == wanted["hash"]) & texts["doc_id"].eqNullSafe(wanted["id"])).select("node", "text")
-    sets = stored(rows.dropDuplicates(["node"]).mapInArrow(read, "node long, own binary"))
+    texts = keyed(docs).select(F.xxhash64("doc_id", "text_hash").alias("row"), "text").mapInArrow(read, "row long, own binary")
+    # Equal rows all answer; one is enough.
+    sets = stored(texts.join(wanted, "row").select("node", "own").dropDuplicates(["node"]))
     left = pairs.join(sets.select(F.col("node").alias("one"), F.col("own").alias("one_set")), "one")
     both = left.join(sets.select(F.col("node").alias("other"), F.col("own").alias("other_set")), "other")
     return both.select("one", "other", "one_set", "other_set").mapInArrow(compare, "src long, dst long")
