@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ...operators import text as X
 from ...session import scratch_path
-from ...sources import companies, reports, snapshots
+from ...sources import board_files, companies, reports, snapshots
 from . import bindings as b
 
-_BLOCK = 100  # entries per landed document
+_BLOCK = 100  # entries per landed company list
+_PAGE = 1000  # postings per landed board file
 
 
 @b.query("a1_companies", """
@@ -38,8 +40,8 @@ def a1(spark, sf_dir):
     return companies.enabled_companies(companies.parse_companies(documents)).select("name", "board_token")
 
 
-def _documents(spark, sf_dir):
-    """Snapshot documents of at most 100 jobs, as a board page would be landed."""
+def _landed(spark, sf_dir):
+    """Folder of board files of up to 1,000 jobs, as a fetcher lands them: one document without line breaks inside the array."""
     p = b.postings(spark, sf_dir)
     office = F.get("offices", F.lit(0))
     job = F.struct(
@@ -55,12 +57,20 @@ def _documents(spark, sf_dir):
             F.when(F.col("doc_id") % 3 == 0, F.get(m["value"], F.lit(0))).otherwise(F.to_json(m["value"])).alias("value"),
         )).alias("metadata"),
     )
-    return p.groupBy("board_token", F.floor(F.col("doc_id") / _BLOCK).alias("_page")).agg(
-        F.to_json(F.struct(
-            "board_token", F.lit("run-1").alias("run_id"), F.lit("SUCCESS").alias("fetch_status"),
-            F.collect_list(job).alias("jobs"),
-        )).alias("value")
+    page = F.floor(F.col("doc_id") / _PAGE)
+    rows = p.select("board_token", page.alias("page"), "doc_id", F.to_json(job).alias("job")).withColumn("board", F.sha2(F.coalesce("board_token", F.lit("")), 256))
+    within = Window.partitionBy("board", "page")
+    ordered = within.orderBy("doc_id")
+    head = F.to_json(F.struct("board_token", F.lit("run-1").alias("run_id")))
+    begin = F.concat(F.expr("left(head, length(head) - 1)"), F.lit(', "fetch_status": "SUCCESS", "jobs": ['))
+    line = F.concat(
+        F.when(F.row_number().over(ordered) == 1, begin).otherwise(F.lit(",")), "job",
+        F.when(F.row_number().over(ordered) == F.count("*").over(within), F.lit(']}')).otherwise(F.lit("")),
     )
+    path = scratch_path(spark, f"landed-{uuid.uuid4().hex}")
+    lines = rows.withColumn("head", head).select("board", "page", "doc_id", line.alias("value"))
+    lines.sortWithinPartitions("board", "page", "doc_id").select("board", "page", "value").write.partitionBy("board", "page").option("lineSep", " ").text(path)
+    return path
 
 
 @b.query("a2_snapshot_postings", b.with_ctes(b.POSTINGS) + """
@@ -68,7 +78,7 @@ SELECT board_token, company, posting_id, title, url, location, len(text) AS text
        field, CASE WHEN doc_id % 3 = 0 THEN value_1 ELSE value_1 || '|' || value_2 END AS field_values
 FROM p""")
 def a2(spark, sf_dir):
-    p = snapshots.postings_from_documents(_documents(spark, sf_dir))
+    p = snapshots.read_snapshots(spark, _landed(spark, sf_dir))
     start = F.length(F.substring_index("content", "&lt;p&gt;", 1)) + F.length(F.lit("&lt;p&gt;"))
     office, field = F.get("offices", F.lit(0)), F.get("metadata", F.lit(0))
     return p.select(
@@ -81,7 +91,7 @@ def a2(spark, sf_dir):
 
 @b.query("a2_fetch_status", "SELECT DISTINCT source AS board_token, 'SUCCESS' AS fetch_status FROM documents")
 def a2_status(spark, sf_dir):
-    return snapshots.fetch_status(_documents(spark, sf_dir))
+    return board_files.read_boards(spark, _landed(spark, sf_dir))[1]
 
 
 @b.query("a3_profile_corpus", """

@@ -10,12 +10,14 @@ POSTING = (
 )
 
 # One job of a board snapshot as it is landed; loosely typed parts stay JSON text.
-BOARD_DOCUMENT = (
-    "struct<board_token: string, company: string, run_id: string, fetched_at: timestamp, fetch_status: string, "
-    "jobs: array<struct<id: string, title: string, absolute_url: string, content: string, company_name: string, "
+BOARD_JOB = (
+    "struct<id: string, title: string, absolute_url: string, content: string, company_name: string, "
     "location: struct<name: string>, offices: array<struct<name: string, location: string>>, "
-    "metadata: array<struct<name: string, value: string>>>>>"
+    "metadata: array<struct<name: string, value: string>>>"
 )
+_BOARD_FIELDS = "board_token: string, company: string, run_id: string, fetched_at: timestamp, fetch_status: string"
+BOARD_HEADER = f"struct<{_BOARD_FIELDS}>"
+BOARD_DOCUMENT = f"struct<{_BOARD_FIELDS}, jobs: array<{BOARD_JOB}>>"
 
 MENTION = (
     "struct<type: string, match: string, min_years: bigint, max_years: bigint, preferred: boolean, "

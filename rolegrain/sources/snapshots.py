@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schemas import BOARD_DOCUMENT
+from .board_files import read_boards
 
 
 def _office(office: Column) -> Column:
@@ -30,12 +31,8 @@ def _metadata(item: Column) -> Column:
     )
 
 
-def postings_from_documents(documents: DataFrame, text: str = "value") -> DataFrame:
-    """Posting rows out of snapshot documents; a document without jobs gives none."""
-    doc = documents.select(F.from_json(F.col(text), BOARD_DOCUMENT).alias("doc"))
-    jobs = doc.select("doc.*").select(
-        "board_token", F.col("company").alias("_company"), "run_id", "fetched_at", F.explode("jobs").alias("job")
-    )
+def posting_columns(jobs: DataFrame) -> DataFrame:
+    """Posting rows out of ``job`` structs beside their document's own fields (its company as ``_company``)."""
     return jobs.select(
         "board_token", F.coalesce("job.company_name", "_company").alias("company"),
         C.strip(F.col("job.id")).alias("posting_id"), "job.title", F.col("job.absolute_url").alias("url"),
@@ -44,19 +41,34 @@ def postings_from_documents(documents: DataFrame, text: str = "value") -> DataFr
     )
 
 
+def postings_from_documents(documents: DataFrame, text: str = "value") -> DataFrame:
+    """Posting rows out of snapshot documents held as rows; a document without jobs gives none.
+
+    A document is one value here and so one task's work; ``board_files.read_boards`` reads files of any size.
+    """
+    doc = documents.select(F.from_json(F.col(text), BOARD_DOCUMENT).alias("doc"))
+    return posting_columns(doc.select("doc.*").select(
+        "board_token", F.col("company").alias("_company"), "run_id", "fetched_at", F.explode("jobs").alias("job")
+    ))
+
+
+def status_of(documents: DataFrame, failed: Column, jobs: Column) -> DataFrame:
+    """Status per board from its documents: failed where one of them is, else by whether jobs came."""
+    count = F.sum(F.greatest(F.coalesce(jobs, F.lit(0)), F.lit(0)))
+    return documents.groupBy("board_token").agg(
+        F.when(F.bool_or(failed), F.lit("FETCH_FAILED")).when(count > 0, F.lit("SUCCESS")).otherwise(F.lit("NO_JOBS")).alias("fetch_status")
+    )
+
+
 def fetch_status(documents: DataFrame, text: str = "value") -> DataFrame:
     """Status per board: FETCH_FAILED where a document says so, else by whether jobs came."""
     doc = documents.select(F.from_json(F.col(text), BOARD_DOCUMENT).alias("doc")).select("doc.*")
-    failed = F.bool_or(F.coalesce(F.col("fetch_status") == "FETCH_FAILED", F.lit(False)))
-    jobs = F.sum(F.greatest(F.coalesce(F.size("jobs"), F.lit(0)), F.lit(0)))
-    return doc.groupBy("board_token").agg(
-        F.when(failed, F.lit("FETCH_FAILED")).when(jobs > 0, F.lit("SUCCESS")).otherwise(F.lit("NO_JOBS")).alias("fetch_status")
-    )
+    return status_of(doc, F.coalesce(F.col("fetch_status") == "FETCH_FAILED", F.lit(False)), F.size("jobs"))
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Landed snapshot files, one document each."""
-    return postings_from_documents(spark.read.text(path, wholetext=True))
+    """Posting rows of landed snapshot files, one document each, of any size."""
+    return read_boards(spark, path)[0]
 
 
 def profile_corpus(profiles: DataFrame, text: str = "text") -> DataFrame:
