@@ -13,13 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.literals import required_literals
+from ..functions.matcher import Matcher, matches, matches_each
 from ..rules import skills as S
 from ..schemas import GROUP
 from . import text as X
 
 KEYS = ("board_token", "posting_id")
-_LOW = "(?Ud)"
 _GROUPS = f"array<{GROUP}>"
 
 
@@ -32,42 +31,26 @@ def _skill_patterns() -> dict[str, list[str]]:
     return dict(sorted(packs.items()))
 
 
-def _rule_sql(low: str, skill: str, pack: Sequence[str]) -> str:
-    """The skill where one of its patterns occurs; a needed literal is looked for first."""
-    literals = required_literals(pack)
-    rule = f"{low} rlike r'{C.one_regex(pack, _LOW)}'"
-    if literals:
-        rule = f"({' or '.join(f'contains({low}, {chr(39)}{x}{chr(39)})' for x in literals)}) and {rule}"
-    return f"if({rule}, '{skill}', null)"
-
+def _line_matcher() -> Matcher:
+    """Skills, those directly followed by "(is) preferred", and cues of a line."""
+    tail = r"\s*(?:is\s+)?preferred\b"
+    preferred = {skill: f"(?:{'|'.join(pack)}){tail}" for skill, pack in {**S.SKILLS, "Go": [S.GO_WORD]}.items()}
+    cues = {"boilerplate": S.BOILERPLATE, "preferred": S.PREFERRED_LINES, "required": S.REQUIRED_LINES, "continues": S.CONTINUATIONS}
+    return Matcher({"skills": _skill_patterns(), "cues": cues}, {"preferred": ("skills", "preferred", preferred)})
 
-def skills_sql(low: str) -> str:
-    """SQL text: sorted skills in the lower-cased text ``low``, a column or lambda variable.
 
-    It is text because it is used in several places and parses much faster
-    than some hundred column calls.
-    """
-    hits = ", ".join(_rule_sql(low, skill, pack) for skill, pack in _skill_patterns().items())
-    return f"array_compact(array({hits}))"
+_LINE, _SKILLS = matches(_line_matcher()), Matcher({"skills": _skill_patterns()})
+_TEXT_SKILLS, _PIECE_SKILLS = matches(_SKILLS), matches_each(_SKILLS, "skills")
 
 
 def with_skills(df: DataFrame, text: str, into: str = "skills") -> DataFrame:
     """Add the sorted, distinct skills named in a text column."""
-    lowered = df.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    return C.pinned(lowered, {into: F.expr(skills_sql("_low"))}).drop("_low")
+    return df.withColumn("_found", _TEXT_SKILLS(F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumn(into, F.col("_found.skills")).drop("_found")
 
 
-def preferred_sql(low: str, skills: str) -> str:
-    """SQL text: skills directly followed by "(is) preferred"."""
-    tail = r"\s*(?:is\s+)?preferred\b"
-    packs = {**S.SKILLS, "Go": [S.GO_WORD]}
-    hits = ", ".join(
-        f"if({low} rlike r'{_LOW}(?:{'|'.join(pack)}){tail}', '{skill}', null)" for skill, pack in sorted(packs.items())
-    )
-    return (
-        f"if(contains({low}, 'preferred'), array_intersect(array_compact(array({hits})), {skills}), "
-        "cast(array() as array<string>))"
-    )
+def with_preferred(df: DataFrame, text: str, into: str = "preferred") -> DataFrame:
+    """Add the skills that a text column names directly in front of "(is) preferred"."""
+    return df.withColumn("_found", _LINE(F.lower(F.coalesce(F.col(text), F.lit(""))))).withColumn(into, F.col("_found.preferred")).drop("_found")
 
 
 # --- headings and line classes ----------------------------------------------
@@ -221,6 +204,57 @@ def make_group(section: Column, skills: Column, kind: str, text: Column, min_mat
     )
 
 
+_PARTS = "array<struct<skills: array<string>, listed: boolean, example: boolean>>"
+
+
+def with_parts(lines: DataFrame, line: str = "line", skills: str = "base_skills") -> DataFrame:
+    """Add ``_parts``: what a line holds by itself, before any state is known.
+
+    ``struct<count, either, inner, behind, clauses>``: the count of "at least N of", whether it says "one of", its
+    parentheses, the skills behind an example marker, and the skills of its OR clauses.  The skills of all these pieces of a
+    line come from one call.
+    """
+    base, low = F.col(skills), F.col("_low")
+    none = C.empty_strings()
+    first, second = (C.java(m) for m in S.EXAMPLE_MARKERS)
+    tail = F.when(low.rlike(first), F.get(F.split(low, first, 2), F.lit(1))).when(
+        low.rlike(second), F.get(F.split(low, second, 2), F.lit(1))
+    )
+    or_clauses = F.filter(F.split(low, C.java(S.AND_SPLIT)), lambda c: c.rlike(C.java(S.OR_CLAUSE)))
+    named = F.size(base) >= 1
+    lines = lines.withColumn("_low", F.lower(line)).withColumns({
+        "_count": F.when(named & F.contains(F.col("_low"), F.lit("least")), at_least_count(F.col(line))),
+        "_either": named & F.coalesce(F.col("_low").rlike(C.java(S.ONE_OF)), F.lit(False)),
+    })
+    free = named & ((F.size(base) < 2) | (F.col("_count").isNull() & ~F.col("_either")))
+    lines = C.pinned(lines, {"_pieces": F.when(free, F.struct(
+        F.when(F.contains(low, F.lit("(")), F.regexp_extract_all(low, F.lit(S.PARENTHESES), F.lit(1))).otherwise(none).alias("inner"),
+        F.coalesce(F.array_compact(F.array(tail)), none).alias("tail"),
+        F.when(low.rlike(C.java(S.OR_CLAUSE)), or_clauses).otherwise(none).alias("clauses"),
+    ))})
+    asked = F.concat("_pieces.inner", "_pieces.tail", "_pieces.clauses")
+    lines = lines.withColumn("_answers", _PIECE_SKILLS(F.when(F.size(asked) > 0, asked)))
+    inner, behind, clauses = (F.size(F.col("_pieces")[n]) for n in ("inner", "tail", "clauses"))
+
+    def answers(start: Column, count: Column) -> Column:
+        part = F.transform(F.slice("_answers", start, count), lambda found: F.array_intersect(found, base))
+        return F.when(F.coalesce(count, F.lit(0)) > 0, part)
+
+    def in_parentheses(part: Column, here: Column) -> Column:
+        listed = F.contains(part, F.lit(",")) | F.contains(part, F.lit("/")) | part.rlike(C.java(S.OR_WORD))
+        return F.struct(
+            here.alias("skills"), ((F.size(here) >= 2) & listed).alias("listed"),
+            C.any_of(part, S.EXAMPLE_IN_PARENTHESES).alias("example"),
+        )
+
+    parts = F.filter(F.zip_with("_pieces.inner", answers(F.lit(1), inner), in_parentheses), lambda p: F.size(p["skills"]) > 0)
+    return lines.withColumn("_parts", F.struct(
+        F.col("_count").alias("count"), F.col("_either").alias("either"), F.coalesce(parts, F.array().cast(_PARTS)).alias("inner"),
+        F.coalesce(F.get(answers(inner + F.lit(1), behind), F.lit(0)), none).alias("behind"),
+        F.coalesce(answers(inner + behind + F.lit(1), clauses), F.array().cast("array<array<string>>")).alias("clauses"),
+    )).drop("_low", "_count", "_either", "_pieces", "_answers")
+
+
 def with_structure(
     lines: DataFrame, line: str = "line", skills: str = "base_skills", section: str = "section",
     forced: str = "forced_min",
@@ -231,63 +265,30 @@ def with_structure(
     parenthetical examples, inline examples and OR clauses, each looking only
     at skills that nothing before has taken.
     """
+    if "_parts" not in lines.columns:
+        lines = with_parts(lines, line, skills)
     base, text, kind = F.col(skills), F.col(line), F.col("_mode")
-    low = F.col("_low")
     no_skills = C.empty_strings()
-    lines = lines.withColumn("_low", F.lower(text)).withColumn("_count", at_least_count(text))
     many = F.size(base) >= 2
     lines = lines.withColumn("_mode", C.ladder(
         [
             (F.size(base) < 1, F.lit("none")),
             (many & F.col(forced).isNotNull(), F.lit("forced")),
-            (many & F.col("_count").isNotNull(), F.lit("count")),
-            (many & F.coalesce(low.rlike(C.java(S.ONE_OF)), F.lit(False)), F.lit("either")),
+            (many & F.col("_parts.count").isNotNull(), F.lit("count")),
+            (many & F.col("_parts.either"), F.lit("either")),
         ],
         F.lit("free"),
     ))
 
-    lines = lines.withColumn("_texts", F.when(
-        (kind == "free") & F.contains(low, F.lit("(")), F.regexp_extract_all(low, F.lit(S.PARENTHESES), F.lit(1))
-    ))
-    found = F.expr(f"transform(_texts, t -> array_intersect({skills_sql('t')}, {skills}))")
-
-    def in_parentheses(part: Column, here: Column) -> Column:
-        listed = F.contains(part, F.lit(",")) | F.contains(part, F.lit("/")) | part.rlike(C.java(S.OR_WORD))
-        return F.struct(
-            here.alias("skills"), ((F.size(here) >= 2) & listed).alias("listed"),
-            C.any_of(part, S.EXAMPLE_IN_PARENTHESES).alias("example"),
-        )
+    def skills_of(chosen: Column) -> Column:
+        return F.flatten(F.transform(chosen, lambda p: p["skills"]))
 
-    parts = F.filter(F.zip_with("_texts", found, in_parentheses), lambda p: F.size(p["skills"]) > 0)
-    nothing = F.array().cast("array<struct<skills: array<string>, listed: boolean, example: boolean>>")
-    lines = lines.withColumn("_parts", F.coalesce(parts, nothing))
-    part_skills = F.flatten(
-        F.transform(F.filter("_parts", lambda p: p["listed"] | p["example"]), lambda p: p["skills"])
-    )
+    inner = F.col("_parts.inner")
     lines = lines.withColumns({
-        "_taken": F.array_distinct(part_skills),
-        "_single": F.flatten(
-            F.transform(F.filter("_parts", lambda p: ~p["listed"] & p["example"]), lambda p: p["skills"])
-        ),
+        "_taken": F.array_distinct(skills_of(F.filter(inner, lambda p: p["listed"] | p["example"]))),
+        "_single": skills_of(F.filter(inner, lambda p: ~p["listed"] & p["example"])),
     })
-
-    first, second = (C.java(m) for m in S.EXAMPLE_MARKERS)
-    tail = F.when(low.rlike(first), F.get(F.split(low, first, 2), F.lit(1))).when(
-        low.rlike(second), F.get(F.split(low, second, 2), F.lit(1))
-    )
-    lines = lines.withColumn("_tail", F.when(kind == "free", tail))
-    lines = lines.withColumn(
-        "_inline",
-        F.when(
-            F.col("_tail").isNotNull(),
-            F.array_intersect(F.expr(skills_sql("_tail")), F.array_except(base, "_taken")),
-        ).otherwise(no_skills),
-    )
-
-    or_clauses = F.filter(F.split(low, C.java(S.AND_SPLIT)), lambda c: c.rlike(C.java(S.OR_CLAUSE)))
-    lines = lines.withColumn("_texts", F.when((kind == "free") & low.rlike(C.java(S.OR_CLAUSE)), or_clauses))
-    clauses = F.expr(f"transform(_texts, t -> array_intersect({skills_sql('t')}, {skills}))")
-    lines = lines.withColumn("_clauses", F.coalesce(clauses, F.array().cast("array<array<string>>")))
+    lines = lines.withColumn("_inline", F.array_except("_parts.behind", "_taken"))
 
     def take(state: Column, clause: Column) -> Column:
         fresh = F.array_except(clause, state["taken"])
@@ -300,7 +301,7 @@ def with_structure(
     begin = F.struct(
         F.array_union("_taken", "_inline").alias("taken"), F.array().cast("array<array<string>>").alias("found")
     )
-    lines = lines.withColumn("_or", F.aggregate("_clauses", begin, take))
+    lines = lines.withColumn("_or", F.aggregate("_parts.clauses", begin, take))
 
     where = F.col(section)
 
@@ -309,7 +310,7 @@ def with_structure(
 
     one = F.lit(1)
     free_groups = F.concat(
-        F.transform(F.filter("_parts", lambda p: p["listed"]), lambda p: group(p["skills"], "example_group", one)),
+        F.transform(F.filter("_parts.inner", lambda p: p["listed"]), lambda p: group(p["skills"], "example_group", one)),
         F.when(F.size("_inline") >= 2, F.array(group(F.col("_inline"), "example_group", one))).otherwise(
             F.array().cast(_GROUPS)
         ),
@@ -319,19 +320,18 @@ def with_structure(
         "groups": C.ladder(
             [
                 (kind == "forced", F.array(group(base, "minimum_count", F.col(forced)))),
-                (kind == "count", F.array(group(base, "minimum_count", F.col("_count")))),
+                (kind == "count", F.array(group(base, "minimum_count", F.col("_parts.count")))),
                 (kind == "either", F.array(group(base, "alternative", one))),
                 (kind == "free", free_groups),
             ],
             F.array().cast(_GROUPS),
         ).cast(_GROUPS),
         "standalone": F.when(kind == "free", F.array_sort(F.array_except(base, F.col("_or.taken")))).otherwise(no_skills),
-        "non_scoring": F.array_sort(F.array_distinct(F.concat(
+        "non_scoring": F.when(kind == "free", F.array_sort(F.array_distinct(F.concat(
             F.col("_single"), F.when(F.size("_inline") == 1, F.col("_inline")).otherwise(no_skills)
-        ))),
+        )))).otherwise(no_skills),
     })
-    return lines.drop("_low", "_count", "_mode", "_parts", "_taken", "_single", "_tail", "_inline", "_clauses", "_or",
-                      "_texts")
+    return lines.drop("_mode", "_parts", "_taken", "_single", "_inline", "_or")
 
 
 # --- per posting ------------------------------------------------------------
@@ -347,26 +347,28 @@ def line_flags(lines: DataFrame, line: str = "line") -> DataFrame:
         "inline": F.col("_inline.section"), line: F.coalesce(F.col("_inline.rest"), raw),
     }).drop("_inline", "_normal").withColumn("_low", F.lower(line))
     body = F.col("heading").isNull()
-    marked = marked.withColumns({
-        "boiler": C.any_of_lower(low, S.BOILERPLATE),
-        "wants_preferred": C.any_of_lower(low, S.PREFERRED_LINES),
-        "wants_required": C.any_of_lower(low, S.REQUIRED_LINES),
-        "continues": F.coalesce(low.rlike(C.one_regex(S.CONTINUATIONS, _LOW)), F.lit(False)),
+    marked = marked.withColumn("_found", _LINE(low))
+
+    def cue(name: str) -> Column:
+        return F.array_contains("_found.cues", name)
+
+    def of_body(names: Column) -> Column:
+        return F.when(body, names).otherwise(C.empty_strings())
+
+    return marked.withColumns({
+        "boiler": cue("boilerplate"), "wants_preferred": cue("preferred"), "wants_required": cue("required"), "continues": cue("continues"),
         "min_count": F.when(body & F.contains(low, F.lit("least")), at_least_count(raw)),
-    })
-    marked = C.pinned(
-        marked, {"skills": F.when(body & raw.isNotNull(), F.expr(skills_sql("_low"))).otherwise(C.empty_strings())}
-    )
-    return marked.withColumn("has_skills", F.size("skills") > 0).drop("_low")
+        "skills": of_body(F.col("_found.skills")), "preferred_overrides": of_body(F.col("_found.preferred")),
+        "has_skills": body & (F.size("_found.skills") > 0),
+    }).withColumn("base_skills", F.array_except("skills", "preferred_overrides")).drop("_found", "_low")
 
 
 def read_lines(lines: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Line rows (keys, ``line_no``, ``line``) with section, reason, skills and structure."""
-    state = carry_sections(line_flags(lines), keys)
-    state = state.withColumn("_low", F.lower("line"))
-    state = state.withColumn("preferred_overrides", F.expr(preferred_sql("_low", "skills"))).drop("_low")
-    state = state.withColumn("base_skills", F.array_except("skills", "preferred_overrides"))
-    return with_structure(state)
+    """Line rows (keys, ``line_no``, ``line``) with section, reason, skills and structure.
+
+    What a line says by itself comes first; behind the one shuffle of the windows everything is built-in.
+    """
+    return with_structure(carry_sections(with_parts(line_flags(lines)), keys))
 
 
 def evidence_rows(read: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -483,11 +485,9 @@ def collect_requirements(read: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
 def extract_requirements(postings: DataFrame, keys: Sequence[str] = KEYS, parsed: str = "parsed") -> DataFrame:
     """Requirements of postings whose ``parsed`` column comes from the HTML reader.
 
-    Postings are laid out by key once, as lines still folded in an array; the
-    windows and the final grouping all work in that layout.
+    Lines are read where their page lies; then they are laid out by posting once, for the windows and the final grouping.
     """
-    folded = postings.select(*keys, X.logical_lines(F.col(parsed)).alias("_lines")).repartition(*keys)
-    lines = folded.select(*keys, F.posexplode_outer("_lines").alias("line_no", "line"))
+    lines = postings.select(*keys, F.posexplode_outer(X.logical_lines(F.col(parsed))).alias("line_no", "line"))
     return collect_requirements(read_lines(lines, keys), keys)
 
 

@@ -211,8 +211,8 @@ WITH l AS (SELECT doc_id, 'Cloud work (' || {b.pick_sql(['AWS', 'Kafka', 'React'
 SELECT doc_id, array_to_string({_PREFERRED}, '|') AS preferred FROM l""")
 def d7(spark, sf_dir):
     p = b.postings(spark, sf_dir)
-    lines = R.with_skills(p.select("doc_id", _preferred_lines(p).alias("line")), "line").withColumn("low", F.lower("line"))
-    return lines.select("doc_id", F.array_join(F.expr(R.preferred_sql("low", "skills")), "|").alias("preferred"))
+    lines = R.with_preferred(p.select("doc_id", _preferred_lines(p).alias("line")), "line")
+    return lines.select("doc_id", _joined("preferred"))
 
 
 def _structured(spark, sf_dir):
@@ -341,7 +341,7 @@ SELECT board_token, d AS posting_id, CAST(p AS INTEGER) AS line_no, section, rea
        array_to_string(skills, '|') AS skills, line AS text FROM state WHERE sk""")
 def d13(spark, sf_dir):
     page = _page(spark, sf_dir)
-    lines = X.explode_lines(page.select(*KEYS, "parsed").repartition(*KEYS), X.logical_lines(F.col("parsed")))
+    lines = X.explode_lines(page.select(*KEYS, "parsed"), X.logical_lines(F.col("parsed")))
     rows = R.evidence_rows(R.read_lines(lines.drop("parsed"), KEYS), KEYS)
     return rows.select(*KEYS, "line_no", "section", "classification_reason", _joined("skills"), "text")
 
