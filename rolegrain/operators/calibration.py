@@ -77,17 +77,21 @@ def compare_models(current: DataFrame, proposed: DataFrame, keys: Sequence[str])
 
     Both need ``route``, ``profile``, ``score`` and ``confidence``.
     """
-    old = current.select(*keys, F.col("route").alias("_route"), F.col("profile").alias("_profile"))
-    both = proposed.join(old, list(keys))
+    old = current.select(*keys, F.col("route").alias("current_route"), F.col("profile").alias("current_profile"))
+    return count_changes(proposed.join(old, list(keys)))
+
+
+def count_changes(both: DataFrame) -> DataFrame:
+    """The same counts over rows that hold both models: ``current_route`` and ``current_profile`` beside the proposed model's columns."""
     manual = "MANUAL_PRIORITY"
     over = F.col("score") >= S.MANUAL_THRESHOLD
     return both.agg(
         F.count("*").alias("compared"),
-        F.count_if(F.col("_route") == manual).alias("current_manual"),
+        F.count_if(F.col("current_route") == manual).alias("current_manual"),
         F.count_if(F.col("route") == manual).alias("proposed_manual"),
         F.count_if(over).alias("fit_above_threshold"),
-        F.count_if(F.col("_route") != F.col("route")).alias("route_changes"),
-        F.count_if(F.col("_profile") != F.col("profile")).alias("profile_changes"),
+        F.count_if(F.col("current_route") != F.col("route")).alias("route_changes"),
+        F.count_if(F.col("current_profile") != F.col("profile")).alias("profile_changes"),
         F.count_if(over & (F.col("route") != manual)).alias("evidence_held"),
         F.count_if(F.col("confidence") < S.MANUAL_CONFIDENCE).alias("low_confidence"),
     )

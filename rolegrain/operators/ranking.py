@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -14,6 +14,11 @@ from . import experience as E
 from . import scoring as P
 
 SALTS = 64
+#: Fields of a scored row.
+FIELDS = (
+    "profile", "profile_order", "filename", "skills", "role_score", "semantic_raw", "required", "preferred", "required_min", "required_score",
+    "preferred_score", "semantic_score", "experience_score", "available", "fit", "selection_score", "final_score", "confidence", "route",
+)
 
 
 def role_alignment(spark: SparkSession) -> DataFrame:
@@ -46,7 +51,8 @@ def pair_with_profiles(
     """
     jobs = F.explode(F.array(*map(F.lit, S.ROLE_ALIGNMENT))).alias("job_profile")
     listed = with_role_score(profiles.select("*", jobs))
-    if fits(profiles, limit):
+    # What is sent is measured: every profile once per posting profile.
+    if fits(listed, limit * len(S.ROLE_ALIGNMENT)):
         return postings.join(F.broadcast(listed), "job_profile")
     salted = postings.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
     spread = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -92,6 +98,88 @@ def score_pairs(pairs: DataFrame, explain: bool = True) -> DataFrame:
     return with_explanation(scored) if explain else scored
 
 
+def _scored_row(p: Column, raw: Column, extra: Callable[[Column], dict[str, Column]]) -> Column:
+    """The columns of ``score_pairs`` for the posting of the row and one profile, as a struct; every step is computed once."""
+    c = F.col
+    roles = F.create_map(*[
+        F.lit(x) for job, scores in S.ROLE_ALIGNMENT.items() for profile, score in zip(S.PROFILES, scores, strict=True)
+        for x in (f"{job}/{profile}", float(score))
+    ])
+    found = F.struct(
+        p["profile"].alias("profile"), p["profile_order"].alias("profile_order"), p["filename"].alias("filename"), p["skills"].alias("skills"),
+        F.coalesce(F.try_element_at(roles, F.concat("job_profile", F.lit("/"), p["profile"])), F.lit(S.DEFAULT_ROLE_SCORE)).alias("role_score"),
+        raw.cast("double").alias("semantic_raw"),
+        P.coverage(c("required_skills"), c("requirement_groups"), p["skills"], "required").alias("required"),
+        P.coverage(c("preferred_skills"), c("requirement_groups"), p["skills"], "preferred").alias("preferred"),
+        E.required_years(c("mentions")).alias("required_min"),
+    )
+
+    def scores(r: Column) -> Column:
+        flags = P.availability(r["required"]["units"], r["preferred"]["units"], r["required_min"])
+        values = F.struct(
+            P.requirement_score(r["required"]["units"], r["required"]["satisfied"]).alias("required_score"),
+            P.requirement_score(r["preferred"]["units"], r["preferred"]["satisfied"]).alias("preferred_score"),
+            P.normalize_semantic(r["semantic_raw"]).alias("semantic_score"), E.experience_score(r["required_min"]).alias("experience_score"),
+            F.struct(*[flag.alias(name) for name, flag in flags.items()]).alias("available"),
+        )
+        return C.let(values, lambda v: weigh(r, v))
+
+    def weigh(r: Column, v: Column) -> Column:
+        available = {name: v["available"][name] for name in (*S.FIT_WEIGHTS,)}
+        both = F.struct(
+            P.fit_score({name: v[f"{name}_score"] for name in S.FIT_WEIGHTS}, available).alias("fit"),
+            P.selection_score(r["role_score"], v["semantic_score"], v["required_score"], available["required"]).alias("selection_score"),
+        )
+        return C.let(both, lambda w: row(r, v, w))
+
+    def row(r: Column, v: Column, w: Column) -> Column:
+        final, confidence = w["fit"]["score"], w["fit"]["confidence"]
+        parts = [r[n].alias(n) for n in FIELDS[:9]] + [v[n].alias(n) for n in FIELDS[9:14]] + [
+            w["fit"].alias("fit"), w["selection_score"].alias("selection_score"), final.alias("final_score"), confidence.alias("confidence"),
+            P.route(final, confidence, v["available"]["required"]).alias("route"),
+        ]
+        return F.struct(*parts)
+
+    def extended(whole: Column) -> Column:
+        more = extra(whole)
+        return F.struct(*[whole[name].alias(name) for name in FIELDS], *[value.alias(name) for name, value in more.items()]) if more else whole
+
+    return C.let(C.let(found, scores), extended)
+
+
+def with_scored_profiles(
+    postings: DataFrame, profiles: DataFrame, raw: Callable[[Column], Column], extra: Callable[[Column], dict[str, Column]] = lambda row: {},
+    into: str = "scored",
+) -> DataFrame:
+    """Add an array with one scored row per profile; the profile list is a value of the plan, so nothing is joined or shuffled.
+
+    ``raw`` gives the raw similarity of the posting to a profile struct, ``extra`` further fields of a scored row.
+    """
+    listed = profiles.agg(F.array_sort(F.collect_list(F.struct("profile_order", "profile", "filename", "skills"))).alias("listed"))
+    known = C.pinned(postings, {"_listed": listed.scalar()})
+    return C.pinned(known, {into: F.transform("_listed", lambda p: _scored_row(p, raw(p), extra))}).drop("_listed")
+
+
+def chosen(scored: Column, by: Sequence[str] = ("selection_score", "final_score")) -> Column:
+    """The scored row that is first by these fields, then by profile order."""
+    places = F.transform(scored, lambda s, i: F.struct(*[s[name].alias(name) for name in by], (-s["profile_order"]).alias("order"), i.alias("place")))
+    return F.get(scored, F.array_max(places)["place"])
+
+
+def best_of_profiles(
+    postings: DataFrame, profiles: DataFrame, keys: Sequence[str], raw: Callable[[Column], Column], limit: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The posting's columns with the scored row of the profile to use.
+
+    Profiles are scored and chosen inside the posting's row; a list that does not fit is paired, scored and ranked instead.
+    """
+    if fits(profiles, limit):
+        ranked = with_scored_profiles(postings, profiles, raw, into="_scored")
+        return C.pinned(ranked, {"_best": chosen(F.col("_scored"))}).drop("_scored").select(*postings.columns, "_best.*").filter(F.col("profile").isNotNull())
+    pairs = pair_with_profiles(postings, profiles, keys, limit)
+    return best_profile(score_pairs(pairs.withColumn("semantic_raw", raw(F.struct(*profiles.columns))), explain=False), keys)
+
+
 def rank_profiles(scored: DataFrame, keys: Sequence[str], order: str = "profile_order") -> DataFrame:
     """Add ``rank``: selection score, then fit, then profile order. Rank 1 is the profile to use."""
     window = Window.partitionBy(*keys).orderBy(F.desc("selection_score"), F.desc("final_score"), F.asc(order))

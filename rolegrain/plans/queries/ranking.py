@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions import columns as C
 from ...operators import calibration as K
 from ...operators import experience as E
 from ...operators import filters as L
@@ -14,7 +15,6 @@ from ...operators import scoring as P
 from ...operators import similarity as M
 from ...rules import scoring as S
 from ...rules import titles as T
-from ...session import stored
 from . import bindings as b
 from .requirements import UNIVERSE, some, some_sql
 
@@ -56,10 +56,13 @@ def required_postings(spark, sf_dir):
     )
 
 
+def raw_similarity(profile):
+    return F.pmod(F.col("doc_id") * 31 + profile["profile_order"] * 17, F.lit(500)) / 10.0 + 20.0
+
+
 def pairs(spark, sf_dir):
     paired = R.pair_with_profiles(required_postings(spark, sf_dir), profiles(spark), KEYS)
-    raw = F.pmod(F.col("doc_id") * 31 + F.col("profile_order") * 17, F.lit(500)) / 10.0 + 20.0
-    return paired.withColumn("semantic_raw", raw)
+    return paired.withColumn("semantic_raw", raw_similarity(F.struct("profile_order")))
 
 
 def scored(spark, sf_dir):
@@ -168,7 +171,7 @@ def e3(spark, sf_dir):
 
 @b.query("e3_semantic_scores_shuffled", _E3)
 def e3_shuffled(spark, sf_dir):
-    return M.semantic_scores(*chunk_frames(spark, sf_dir), ["posting_id"], per_bucket=64, per_slice=4)
+    return M.semantic_in_blocks(*chunk_frames(spark, sf_dir), ["posting_id"], per_bucket=64, per_slice=4)
 
 
 @b.query("e4_group_match", ALL + """
@@ -310,12 +313,22 @@ def g1(spark, sf_dir):
 
 @b.query("g1_best_profile", ALL + "SELECT doc_id, profile, selection_score, final_score, route FROM best")
 def g1_best(spark, sf_dir):
-    return R.best_profile(scored(spark, sf_dir), KEYS).select("doc_id", "profile", "selection_score", "final_score", "route")
+    return chosen_rows(spark, sf_dir).select("doc_id", "profile", "selection_score", "final_score", "route")
+
+
+@b.query("g1_best_profile_paired", ALL + "SELECT doc_id, profile, selection_score, final_score, route FROM best")
+def g1_best_paired(spark, sf_dir):
+    """The same for a list that does not fit a task: paired, scored and ranked."""
+    ranked = R.best_of_profiles(required_postings(spark, sf_dir), profiles(spark), KEYS, raw_similarity, limit=0)
+    return ranked.select("doc_id", "profile", "selection_score", "final_score", "route")
+
+
+def chosen_rows(spark, sf_dir):
+    return R.best_of_profiles(required_postings(spark, sf_dir), profiles(spark), KEYS, raw_similarity)
 
 
 def best(spark, sf_dir):
-    slim = R.score_pairs(pairs(spark, sf_dir), explain=False)
-    return R.with_explanation(R.best_profile(slim, KEYS)).select(
+    return R.with_explanation(chosen_rows(spark, sf_dir)).select(
         *KEYS, "doc_id", "profile", F.col("final_score").alias("score"), "confidence", "route",
         F.size("explanation.warnings").alias("warning_count"), F.col("available.required").alias("has_required"),
         "explanation.component_availability", "role_score", "semantic_score",
@@ -367,14 +380,19 @@ def h4_missing(spark, sf_dir):
 
 
 def _models(spark, sf_dir):
-    """The neutral model as current, the evidence model as proposed, each with its own profile."""
-    both = stored(_neutral(scored(spark, sf_dir)).select(
-        *KEYS, "doc_id", "profile", "profile_order", "selection_score", "final_score", "confidence", "route", "n", "n_selection"
-    ))
-    neutral = both.withColumns({"selection_score": F.col("n_selection"), "final_score": F.col("n.final_score")})
-    current = R.best_profile(neutral, KEYS).select(*KEYS, "profile", F.col("n.route").alias("route"))
-    proposed = R.best_profile(both, KEYS).withColumn("score", F.col("final_score"))
-    return current, proposed
+    """The neutral model as current, the evidence model as proposed, each with its own profile, in one row per posting."""
+
+    def neutral(r):
+        flags = {n: r["available"][n] for n in S.FIT_WEIGHTS}
+        fit = P.neutral_fit({n: r[f"{n}_score"] for n in S.FIT_WEIGHTS}, flags)
+        return {"n": fit, "n_score": fit["final_score"], "n_selection": P.neutral_selection(r["role_score"], r["semantic_score"], r["required_score"], flags["required"])}
+
+    rows = R.with_scored_profiles(required_postings(spark, sf_dir), profiles(spark), raw_similarity, neutral)
+    rows = C.pinned(rows, {"old": R.chosen(F.col("scored"), ("n_selection", "n_score")), "new": R.chosen(F.col("scored"))})
+    return rows.select(
+        *KEYS, F.col("old.n.route").alias("current_route"), F.col("old.profile").alias("current_profile"),
+        "new.profile", "new.route", "new.confidence", F.col("new.final_score").alias("score"),
+    )
 
 
 _MODELS = b.with_ctes(*SCORED, NEUTRAL) + """, old AS (SELECT board_token, posting_id, profile AS old_profile,
@@ -390,7 +408,7 @@ SELECT count(*) AS compared, count(*) FILTER (old_route = 'MANUAL_PRIORITY') AS
   count(*) FILTER (final_score >= 85 AND route <> 'MANUAL_PRIORITY') AS evidence_held,
   count(*) FILTER (confidence < 75) AS low_confidence FROM both_models""")
 def h14(spark, sf_dir):
-    return K.compare_models(*_models(spark, sf_dir), KEYS)
+    return K.count_changes(_models(spark, sf_dir))
 
 
 @b.query("i2_review_set", _MODELS + """
@@ -399,6 +417,4 @@ def h14(spark, sf_dir):
   (SELECT board_token, posting_id, 2 FROM both_models ORDER BY final_score DESC, board_token, posting_id LIMIT 5))
 SELECT board_token, posting_id, min(part) AS part FROM parts GROUP BY 1, 2""")
 def i2(spark, sf_dir):
-    current, proposed = _models(spark, sf_dir)
-    compared = proposed.join(current.select(*KEYS, F.col("route").alias("current_route")), KEYS)
-    return K.review_set(compared).select(*KEYS, "part")
+    return K.review_set(_models(spark, sf_dir)).select(*KEYS, "part")
