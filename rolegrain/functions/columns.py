@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .literals import required_literals
 
@@ -180,10 +181,16 @@ def owned(keys: Sequence[str], *frames: DataFrame) -> list[str]:
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str] = ("fetched_at", "created_at")) -> DataFrame:
-    """One row per key: the newest by the first of these columns that there is, then the largest in the other columns."""
+    """One row per key: the newest by the first of these columns that there is, then the largest in the short columns.
+
+    Short columns are numbers, dates and flags, in their order; texts and nested values only decide by one hash of them all.
+    """
     stamp = [c for c in newest if c in df.columns and c not in keys][:1]
-    sortable = [f.name for f in df.schema.fields if f.name not in (*keys, *stamp) and "map<" not in f.dataType.simpleString()]
-    return first_by_rank(df, keys, [F.desc_nulls_last(c) for c in [*stamp, *sortable]] or [F.lit(0).asc()])
+    others = [f for f in df.schema.fields if f.name not in (*keys, *stamp) and "map<" not in f.dataType.simpleString()]
+    short = [f.name for f in others if isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    long_ = [f.name for f in others if f.name not in short]
+    order = [F.desc_nulls_last(c) for c in [*stamp, *short]] + ([F.xxhash64(*long_).desc()] if long_ else [])
+    return first_by_rank(df, keys, order or [F.lit(0).asc()])
 
 
 def first_by_rank(df, keys: Sequence[str], order: Sequence[Column], limit: int = 1, rank: str | None = None):

@@ -37,8 +37,9 @@ def save_evaluations(history: DataFrame, new: DataFrame, key: Sequence[str] = ("
 
 
 def _merge(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """State joined with change rows; ``_had`` and ``_has`` tell the sides apart."""
-    return state.withColumn("_had", F.lit(True)).join(changes.withColumn("_has", F.lit(True)), "job_id", "full_outer")
+    """State joined with change rows, per owner where both name one; ``_had`` and ``_has`` tell the sides apart."""
+    key = C.owned(["job_id"], state, changes)
+    return state.withColumn("_had", F.lit(True)).join(changes.withColumn("_has", F.lit(True)), key, "full_outer")
 
 
 def _apply(merged: DataFrame, values: dict[str, Column], changed: Column, now: Column) -> DataFrame:
@@ -61,7 +62,7 @@ def ensure_applications(state: DataFrame, routed: DataFrame, now: Column) -> Dat
     New ones start PENDING.  Open ones follow the route and lose eligibility
     assistance; progressed ones are never touched.
     """
-    merged = _merge(state, routed.select("job_id", F.col("route").alias("_route")))
+    merged = _merge(state, routed.select(*C.owned(["job_id"], state, routed), F.col("route").alias("_route")))
     is_new, is_open = F.col("_had").isNull(), F.coalesce(_open(F.col("status")), F.lit(False))
     method = F.when(F.col("_route") == "MANUAL_PRIORITY", F.lit("MANUAL")).otherwise(F.lit("AGENT"))
     clears = F.coalesce("needs_assistance", F.lit(False)) & _tagged(F.col("assistance_reason"), B.ELIGIBILITY_TAG)
@@ -78,7 +79,7 @@ def ensure_applications(state: DataFrame, routed: DataFrame, now: Column) -> Dat
 
 def ensure_assistance(state: DataFrame, flagged: DataFrame, now: Column) -> DataFrame:
     """Application in assistance per flagged job (``job_id``, ``reason``), with the same protection."""
-    merged = _merge(state, flagged.select("job_id", F.col("reason").alias("_reason")))
+    merged = _merge(state, flagged.select(*C.owned(["job_id"], state, flagged), F.col("reason").alias("_reason")))
     tagged = F.concat(F.lit(B.ELIGIBILITY_TAG + " "), F.col("_reason"))
     is_open = F.coalesce(_open(F.col("status")), F.lit(False))
     differs = ~F.coalesce("needs_assistance", F.lit(False)) | ~F.col("assistance_reason").eqNullSafe(tagged)
@@ -93,12 +94,11 @@ def ensure_assistance(state: DataFrame, flagged: DataFrame, now: Column) -> Data
 
 def open_assistance_requests(requests: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     """Requests plus one per wanted (``application_id``, ``reason``) that no unresolved one covers."""
-    pending = requests.filter(~F.coalesce("resolved", F.lit(False))).select("application_id", "reason")
-    missing = wanted.select("application_id", "reason").distinct().join(
-        pending, ["application_id", "reason"], "left_anti"
-    )
+    key = C.owned(["application_id", "reason"], requests, wanted)
+    pending = requests.filter(~F.coalesce("resolved", F.lit(False))).select(*key)
+    missing = wanted.select(*key).distinct().join(pending, key, "left_anti")
     added = missing.select(
-        "application_id", "reason", F.lit(B.ELIGIBILITY_QUESTION).alias("question"), F.lit(False).alias("resolved"),
+        *key, F.lit(B.ELIGIBILITY_QUESTION).alias("question"), F.lit(False).alias("resolved"),
         F.lit("ELIGIBILITY").alias("source"), now.alias("updated_at"), F.lit(True).alias("changed"),
     )
     return requests.withColumn("changed", F.lit(False)).unionByName(added, allowMissingColumns=True)

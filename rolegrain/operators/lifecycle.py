@@ -79,27 +79,29 @@ def sync_lifecycle(state: DataFrame, snapshot: DataFrame, now: Column, stale: Da
 
 
 def lifecycle_report(state: DataFrame, snapshot: DataFrame, boards: DataFrame | None = None) -> DataFrame:
-    """Per board: live, tracked active, stale, and whether it was skipped. Writes nothing.
+    """Per board, and owner where both sides name one: live, tracked active, stale, and whether it was skipped. Writes nothing.
 
     ``boards`` adds boards that are to be reported although nothing is known of them.
     """
-    live = live_ids(snapshot).withColumn("_live", F.lit(1))
+    board = C.owned(["board_token"], state, snapshot)
+    live = live_ids(snapshot).select(*board, "posting_id").distinct().withColumn("_live", F.lit(1))
     tracked = state.filter(is_active(F.col("is_active"))).groupBy(
-        "board_token", posting_key(F.col("posting_id")).alias("posting_id"),
+        *board, posting_key(F.col("posting_id")).alias("posting_id"),
     ).agg(F.count("*").alias("_tracked"))
     # One meeting of both sides; each has a row per board and id.
-    met = tracked.join(live, ["board_token", "posting_id"], "full_outer")
+    met = tracked.join(live, [*board, "posting_id"], "full_outer")
     gone = F.col("_live").isNull() & F.col("posting_id").isNotNull()
-    report = met.groupBy("board_token").agg(
+    report = met.groupBy(*board).agg(
         F.count("_live").alias("live_count"), F.coalesce(F.sum("_tracked"), F.lit(0)).alias("tracked_count"),
         F.coalesce(F.sum(F.when(gone, F.col("_tracked"))), F.lit(0)).alias("_gone"),
     )
     if boards is not None:
-        report = boards.select("board_token").distinct().join(report, "board_token", "full_outer")
+        named = [c for c in board if c in boards.columns]
+        report = boards.select(*named).distinct().join(report, named, "full_outer")
     skipped = F.coalesce("live_count", F.lit(0)) == 0
     report = report.withColumn("stale_count", F.when(skipped, F.lit(0)).otherwise(F.col("_gone")))
     return report.select(
-        "board_token", F.coalesce("live_count", F.lit(0)).alias("live_count"),
+        *board, F.coalesce("live_count", F.lit(0)).alias("live_count"),
         F.when(skipped, F.lit(0)).otherwise(F.coalesce("tracked_count", F.lit(0))).alias("tracked_active_count"),
         F.coalesce("stale_count", F.lit(0)).alias("stale_count"), skipped.alias("skipped"),
         F.when(skipped, F.lit("EMPTY_LIVE_SET")).alias("reason"),
@@ -107,13 +109,15 @@ def lifecycle_report(state: DataFrame, snapshot: DataFrame, boards: DataFrame |
 
 
 def lifecycle_totals(report: DataFrame) -> DataFrame:
-    """Boards inspected, boards skipped, postings that would close."""
-    return report.agg(
+    """Boards inspected, boards skipped, postings that would close; a row per owner where the report names owners."""
+    counts = [
         F.count_if(~F.col("skipped")).alias("boards_inspected"), F.count_if("skipped").alias("boards_skipped"),
         F.coalesce(F.sum("stale_count"), F.lit(0)).alias("would_close"),
-    )
+    ]
+    return report.groupBy(C.OWNER).agg(*counts) if C.OWNER in report.columns else report.agg(*counts)
 
 
 def resolve_job_ids(wanted: DataFrame, state: DataFrame) -> DataFrame:
-    """Internal job id by natural key; rows without one drop out."""
-    return wanted.join(state.select(*KEY, "job_id"), list(KEY))
+    """Internal job id by natural key, per owner where both sides name one; rows without one drop out."""
+    key = C.owned(KEY, wanted, state)
+    return wanted.join(state.select(*key, "job_id"), key)

@@ -53,6 +53,8 @@ def _best_per_profile(chunks: np.ndarray, vectors: np.ndarray, starts: np.ndarra
 def _profile_vectors(profile_chunks: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Profile names in order, unit vectors sorted by profile, and where each profile's vectors start."""
     table = profile_chunks.select(F.col("profile").cast("string"), F.col("vec").cast("array<double>")).toArrow().sort_by("profile")
+    if not table.num_rows:
+        return [], np.zeros((0, 0)), np.zeros(0, int)
     names, starts = np.unique(np.array(table.column(0).to_pylist(), str), return_index=True)
     return names.tolist(), _rows_of_unit_length(np.array(table.column(1).to_pylist(), float)), starts
 
@@ -92,15 +94,16 @@ def _best_chunks(chunks: DataFrame, keys: Sequence[str], vectors: np.ndarray, st
 
 
 def semantic_by_posting(
-    chunks: DataFrame, profile_chunks: DataFrame, keys: Sequence[str], top: int = S.TOP_CHUNKS, limit: int = VECTORS,
+    chunks: DataFrame, profile_chunks: DataFrame, keys: Sequence[str], top: int = S.TOP_CHUNKS,
+    per_bucket: int = CHUNKS, per_slice: int = VECTORS,
 ) -> DataFrame:
     """Mean of the best chunk scores in percent, one row per posting: keys and ``semantic``, an ``array<struct<profile, semantic_raw>>``.
 
-    A profile list of at most ``limit`` vectors that fits a broadcast goes to the postings: vectors stay where they are, and
-    only the best ``top`` scores per profile that a task has met are shuffled.  Longer lists are met in blocks.
+    A profile list of one slice that fits a broadcast goes to the postings: vectors stay where they are, and only the best
+    ``top`` scores per profile that a task has met are shuffled.  Longer lists are met in blocks.
     """
-    if not fits(profile_chunks, limit):
-        rows = semantic_in_blocks(chunks, profile_chunks, keys, top)
+    if not fits(profile_chunks, per_slice):
+        rows = semantic_in_blocks(chunks, profile_chunks, keys, top, per_bucket, per_slice)
         return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("profile", "semantic_raw"))).alias("semantic"))
     names, vectors, starts = _profile_vectors(profile_chunks)
     if not names:
@@ -118,10 +121,11 @@ def semantic_by_posting(
 
 
 def semantic_scores(
-    chunks: DataFrame, profile_chunks: DataFrame, keys: Sequence[str], top: int = S.TOP_CHUNKS, limit: int = VECTORS,
+    chunks: DataFrame, profile_chunks: DataFrame, keys: Sequence[str], top: int = S.TOP_CHUNKS,
+    per_bucket: int = CHUNKS, per_slice: int = VECTORS,
 ) -> DataFrame:
     """The same, one row per posting and profile: keys, ``profile``, ``semantic_raw``."""
-    return semantic_by_posting(chunks, profile_chunks, keys, top, limit).select(*keys, F.inline("semantic"))
+    return semantic_by_posting(chunks, profile_chunks, keys, top, per_bucket, per_slice).select(*keys, F.inline("semantic"))
 
 
 def semantic_in_blocks(

@@ -63,26 +63,32 @@ def survivors(annotated: DataFrame) -> DataFrame:
     return annotated.filter(passes_short_rules() & F.col("experience_status").isin("ACCEPT", "REVIEW"))
 
 
+def one_row_per_posting(annotated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A posting that a snapshot holds twice is one posting; rows without an id cannot be told apart and all stay."""
+    row = F.when(F.col("posting_id").isNull(), F.monotonically_increasing_id())
+    return C.last_per_key(annotated.withColumn("_row", row), [*keys, "_row"]).drop("_row")
+
+
 def score(
     passed: DataFrame, profiles: DataFrame, profile_chunks: DataFrame, posting_chunks: DataFrame,
     keys: Sequence[str] = KEYS, requirements: DataFrame | None = None,
 ) -> DataFrame:
-    """Scored (posting, profile) rows of eligible postings.
+    """Eligible postings with their requirements and ``semantic``, the raw similarity to every profile.
 
-    ``profiles`` has ``profile``, ``profile_order``, ``filename`` and
-    ``skills``; the chunk frames carry vectors.  A posting without chunks gets
-    similarity 0.
+    ``profiles`` has ``profile``, ``profile_order``, ``filename`` and ``skills`` and serves all owners; the chunk frames carry
+    vectors.  A posting without chunks has similarity 0.
     """
     found = Q.extract_requirements(passed, keys) if requirements is None else requirements
-    slim = passed.select(*keys, "title", "job_profile", "mentions")
-    pairs = K.pair_with_profiles(slim.join(found, list(keys)), profiles, keys)
-    raw = M.semantic_scores(
-        posting_chunks.join(passed.select(*keys), list(keys), "left_semi"), profile_chunks, keys
-    )
-    pairs = pairs.join(raw, [*keys, "profile"], "left").withColumn(
-        "semantic_raw", F.coalesce("semantic_raw", F.lit(0.0))
-    )
-    return K.score_pairs(pairs, explain=False)
+    slim = passed.select(*keys, "title", "job_profile", "mentions").join(found, list(keys))
+    chunk_keys = [k for k in keys if k in posting_chunks.columns]
+    own = posting_chunks.join(passed.select(*chunk_keys).distinct(), chunk_keys, "left_semi")
+    return slim.join(M.semantic_by_posting(own, profile_chunks, chunk_keys), chunk_keys, "left")
+
+
+def raw_similarity(profile: Column) -> Column:
+    """Similarity of the row's posting to a profile, 0 where none is known."""
+    known = F.map_from_entries(F.col("semantic"))
+    return F.coalesce(F.try_element_at(known, profile["profile"]), F.lit(0.0))
 
 
 def run(
@@ -90,49 +96,55 @@ def run(
     jobs: DataFrame, evaluations: DataFrame, applications: DataFrame, requests: DataFrame,
     run_id: str, now: Column, new_job_id: Column | None = None,
 ) -> dict[str, DataFrame]:
-    """One scan over a full snapshot: funnel frame, scores and the next version of every table.
+    """One scan over a full snapshot: funnel frame, best scores and the next version of every table.
 
-    Job ids of new postings are derived from the natural key, so a repeated
-    run gives the same ids.
+    Where postings have an ``owner_id``, every table has one, and owners never meet: it is part of every key and of new job
+    ids, which are derived from the natural key, so a repeated run gives the same ids.  Postings without an id are counted in
+    the funnel; nothing can be tracked of them.
     """
-    job_id = F.sha2(F.concat_ws("/", *KEYS), 256) if new_job_id is None else new_job_id
+    for name, table in (("jobs", jobs), ("evaluations", evaluations), ("applications", applications), ("requests", requests)):
+        if (C.OWNER in table.columns) != (C.OWNER in postings.columns):
+            raise ValueError(f"either postings and {name} both have {C.OWNER}, or none of them")
+    keys = C.owned(KEYS, postings)
+    owner = [k for k in keys if k == C.OWNER]
+    job_id = F.sha2(F.concat_ws("/", *keys), 256) if new_job_id is None else new_job_id
     # Everything below reads the annotated frame: keep it once, without the raw content.
-    # A posting that a snapshot holds twice is one posting.
-    annotated = stored(C.last_per_key(annotate(postings).drop("content", "offices", "metadata"), KEYS))
-    passed = survivors(annotated)
+    named = postings.withColumn("posting_id", J.posting_key(F.col("posting_id")))
+    annotated = stored(one_row_per_posting(annotate(named).drop("content", "offices", "metadata"), keys))
+    passed = survivors(annotated).filter(F.col("posting_id").isNotNull())
     flagged = passed.filter(F.col("eligibility.decision") == "NEEDS_ASSISTANCE")
     eligible = passed.filter(F.col("eligibility.decision") == "PASS")
-    scored = score(eligible, profiles, profile_chunks, posting_chunks)
-    best = stored(K.with_explanation(K.best_profile(scored, KEYS)))
+    ready = score(eligible, profiles, profile_chunks, posting_chunks, keys)
+    best = stored(K.with_explanation(K.best_of_profiles(ready, profiles, keys, raw_similarity)).drop("semantic"))
 
     seen = passed.filter(F.col("eligibility.decision") != "SKIP").select(
-        *KEYS, job_id.alias("job_id"), "company", "title", X.location_display(F.col("location")).alias("location"),
+        *keys, job_id.alias("job_id"), "company", "title", X.location_display(F.col("location")).alias("location"),
         "url", F.col("job_profile").alias("detected_profile"),
     )
-    stale = J.find_stale(jobs, annotated.select(*KEYS))
+    stale = J.find_stale(jobs, annotated.select(*keys))
     closed = J.sync_lifecycle(jobs, annotated, now, stale).drop("changed")
-    known = jobs.select(*KEYS, F.col("job_id").alias("_old"))
-    seen = seen.join(known, list(KEYS), "left").withColumn("job_id", F.coalesce("_old", "job_id")).drop("_old")
+    known = jobs.select(*keys, F.col("job_id").alias("_old"))
+    seen = seen.join(known, keys, "left").withColumn("job_id", F.coalesce("_old", "job_id")).drop("_old")
     next_jobs = J.upsert_postings(closed, seen, now)
 
-    ids = seen.select(*KEYS, "job_id")
-    evaluated = best.join(ids, list(KEYS)).select(
-        F.lit(run_id).alias("run_id"), "job_id", F.col("final_score").alias("score"), "selection_score", "confidence",
+    ids = seen.select(*keys, "job_id")
+    evaluated = best.join(ids, keys).select(
+        *owner, F.lit(run_id).alias("run_id"), "job_id", F.col("final_score").alias("score"), "selection_score", "confidence",
         "route", F.col("profile").alias("selected_resume"), F.col("filename").alias("selected_resume_file"),
         "role_score", "required_score", "preferred_score", "semantic_score", "experience_score", "explanation",
         now.alias("created_at"),
     )
-    flagged_jobs = flagged.join(ids, list(KEYS)).select("job_id", F.col("eligibility.reason").alias("reason"))
+    flagged_jobs = flagged.join(ids, keys).select(*owner, "job_id", F.col("eligibility.reason").alias("reason"))
     routed = A.ensure_applications(applications, evaluated, now).drop("changed")
     next_applications = A.ensure_assistance(routed, flagged_jobs, now).drop("changed").withColumn(
         "application_id", F.coalesce(F.col("application_id").cast("string"), F.col("job_id").cast("string"))
     )
     still_open = next_applications.filter(F.col("status").isin(B.OPEN_STATUSES))
-    wanted = still_open.join(flagged_jobs.select("job_id"), "job_id", "left_semi").select(
-        "application_id", F.col("assistance_reason").alias("reason")
+    wanted = still_open.join(flagged_jobs.select(*owner, "job_id"), [*owner, "job_id"], "left_semi").select(
+        *owner, "application_id", F.col("assistance_reason").alias("reason")
     )
     return {
-        "annotated": annotated, "scored": scored, "best": best, "stale": stale,
+        "annotated": annotated, "scored": ready, "best": best, "stale": stale,
         "jobs": next_jobs.drop("changed"), "evaluations": A.save_evaluations(evaluations, evaluated),
         "applications": next_applications,
         "requests": A.open_assistance_requests(requests, wanted, now).drop("changed"),

@@ -84,6 +84,45 @@ def test_whole_scan(spark, sf_dir):
     assert plain.count() == parsed.count()
 
 
+def scan_tables(spark, sf_dir, owners=False):
+    """Empty state tables."""
+    jobs = b.jobs(spark, sf_dir).withColumn("job_id", F.col("job_id").cast("string")).limit(0)
+    applications = b.applications(spark, sf_dir).withColumn("job_id", F.col("job_id").cast("string")).limit(0)
+    evaluations = spark.createDataFrame([], "run_id string, job_id string")
+    requests = b.requests(spark, sf_dir).withColumn("application_id", F.col("application_id").cast("string")).limit(0)
+    tables = [jobs, evaluations, applications, requests]
+    return [t.withColumn("owner_id", F.lit("x")) for t in tables] if owners else tables
+
+
+def test_owners_stay_apart_in_a_scan(spark, sf_dir):
+    schema = ("owner_id string, board_token string, posting_id string, company string, title string, url string, content string, "
+              "location struct<name: string>, offices array<struct<name: string, location_values: array<string>>>, "
+              "metadata array<struct<name: string, value: array<string>>>")
+    page = "&lt;p&gt;You must have experience with Python.&lt;/p&gt;"
+    rows = [(o, "acme", i, "c", "Software Engineer", "u", page, ("Austin, Texas",), [], []) for o in "xy" for i in ("1", "2", None, " ", "1")]
+    rows = [r for r in rows if r[:3] != ("y", "acme", "2")]
+    postings = spark.createDataFrame(rows, schema)
+    vectors = spark.createDataFrame([("acme", "1", [1.0, 0.0])], "board_token string, posting_id string, vec array<double>")
+    profile = spark.createDataFrame([(ranking.S.PROFILES[0], [1.0, 0.0])], "profile string, vec array<double>")
+    state = scan_tables(spark, sf_dir, owners=True)
+    out = scan.run(postings, ranking.profiles(spark), profile, vectors, *state, "r1", b.now())
+    assert sorted((r.owner_id, str(r.posting_id)) for r in out["annotated"].collect()) == [
+        ("x", "1"), ("x", "2"), ("x", "None"), ("x", "None"), ("y", "1"), ("y", "None"), ("y", "None")]
+    first = {(r.owner_id, r.posting_id): r.job_id for r in out["jobs"].collect()}
+    assert set(first) == {("x", "1"), ("x", "2"), ("y", "1")} and len(set(first.values())) == 3
+    for name in ("evaluations", "applications"):
+        assert sorted((r.owner_id, r.job_id) for r in out[name].collect()) == sorted((o, j) for (o, _), j in first.items())
+    assert {(r.owner_id, r.posting_id): r.semantic_raw for r in out["best"].collect()}[("x", "2")] == 0.0
+    # The second scan: one owner's posting is gone, the other's is not touched.
+    later = postings.filter("not (owner_id = 'x' and posting_id = '1')")
+    state = [out[n] for n in ("jobs", "evaluations", "applications", "requests")]
+    again = scan.run(later, ranking.profiles(spark), profile, vectors, *state, "r2", b.now())
+    rows = {(r.owner_id, r.posting_id): (r.is_active, r.job_id) for r in again["jobs"].collect()}
+    assert rows == {k: (k != ("x", "1"), j) for k, j in first.items()}
+    with pytest.raises(ValueError, match="owner_id"):
+        scan.run(postings, ranking.profiles(spark), profile, vectors, *scan_tables(spark, sf_dir), "r1", b.now())
+
+
 def test_html_goes_only_to_survivors(spark, sf_dir):
     annotated = scan.annotate(b.postings(spark, sf_dir))
     assert annotated.filter(~scan.passes_short_rules() & (F.length("parsed.text") > 0)).count() == 0

@@ -124,3 +124,29 @@ def test_fresh_scan_is_a_finished_scan_of_all_boards(spark):
     assert [r.run_id for r in Q.fresh_scan(runs, since, "x").collect()] == [2]
     assert [r.run_id for r in Q.fresh_scan(runs, since).collect()] == [21]
     assert Q.fresh_scan(runs, F.to_timestamp(F.lit("2024-03-01"))).count() == 0
+
+
+def test_reports_and_ids_per_owner(spark):
+    tracked = spark.createDataFrame(
+        [("x", "a", "1", True, 11), ("x", "a", "2", True, 12), ("y", "a", "1", True, 21), ("y", "b", "1", True, 22)],
+        "owner_id string, board_token string, posting_id string, is_active boolean, job_id int",
+    )
+    live = spark.createDataFrame([("x", "a", "1"), ("y", "a", "1"), ("y", "a", "3")], "owner_id string, board_token string, posting_id string")
+    report = J.lifecycle_report(tracked, live)
+    rows = {(r.owner_id, r.board_token): (r.live_count, r.tracked_active_count, r.stale_count, r.skipped) for r in report.collect()}
+    assert rows == {("x", "a"): (1, 2, 1, False), ("y", "a"): (2, 1, 0, False), ("y", "b"): (0, 0, 0, True)}
+    totals = {r.owner_id: (r.boards_inspected, r.boards_skipped, r.would_close) for r in J.lifecycle_totals(report).collect()}
+    assert totals == {"x": (1, 0, 1), "y": (1, 1, 0)}
+    assert sorted((r.owner_id, r.job_id) for r in J.resolve_job_ids(live, tracked).collect()) == [("x", 11), ("y", 21)]
+    # Without owners on one side the report counts boards alone, each id once.
+    alone = J.lifecycle_report(tracked.drop("owner_id"), live)
+    assert {r.board_token: (r.live_count, r.tracked_active_count) for r in alone.collect()} == {"a": (2, 3), "b": (0, 0)}
+
+
+def test_last_per_key_reads_texts_as_one_hash(spark):
+    from rolegrain.functions import columns as C
+
+    df = spark.createDataFrame([(1, OLD, 5, "long" * 99), (1, OLD, 7, "b"), (1, OLD, 7, "b"), (2, None, 1, None)], "k int, fetched_at timestamp, n int, t string")
+    kept = C.last_per_key(df, ["k"])
+    assert sorted((r.k, r.n) for r in kept.collect()) == [(1, 7), (2, 1)]
+    assert "xxhash64" in kept._jdf.queryExecution().optimizedPlan().toString()
