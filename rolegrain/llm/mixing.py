@@ -1,12 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, with built-in column functions only.
 
-Every source is a queue of its shuffled documents, served ``passes`` times at most. A document's virtual finish time is the
-words its source has served up to and including it, divided by the source's target. Documents are served in the order of
-virtual finish times; at virtual time 1 every source has had its target and the total budget is used up, so the order is
-truncated there, and the document in service at that moment is taken in part (or as a whole if more than half was served).
+Every source is a queue of its shuffled documents, served ``passes`` times at most. The virtual finish time of copy ``n`` of a
+document is the words its source has served by then, ``n`` whole passes and the documents up to and including it, divided by
+the source's target. Copies are served in the order of virtual finish times; at virtual time 1 every source has had its target
+and the total budget is used up, so the order is truncated there, and the document in service at that moment is taken in part
+(or as a whole if more than half was served).
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, ordered last; equal
-rows are separate documents; sources without words get target 0; an empty table gives an empty mix.
+rows are separate documents; of equal finish times the smaller document is served first; texts of any length are only counted;
+sources without words get target 0; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -51,14 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     )
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2, seed: str = "mix", whole: bool = False,
-) -> DataFrame:
-    """Rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_taken`` and ``mix_finish``.
-
-    ``mix_taken`` counts words with repeats; ``mix_finish`` is the virtual finish time of the first pass. With ``whole`` a
-    document is never cut. Rows come in the order of service.
-    """
+def served(docs: DataFrame, weights: tuple[int, ...], share: float, passes: int, seed: str, whole: bool) -> DataFrame:
+    """Rows of ``docs`` (columns of other names than ``mix_...``) with ``mix_size``, ``mix_source_size``, ``mix_target``,
+    ``mix_taken`` and ``mix_upto``, the words its source has served in the first pass up to and including the document."""
     own = [F.col(c) for c in docs.columns]
     # A key without nulls, in the order of the sources: null sorts as the empty string and is moved to the end.
     source = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
@@ -81,17 +78,37 @@ def mix(
         start = F.col("mix_upto") - size + n * F.col("mix_source_size")
         part = F.greatest(F.lit(0), F.least(size, F.floor(goal).cast("long") - start))
         taken = taken + (F.when(part * 2 > size, size).otherwise(F.lit(0)) if whole else part)
-    finish = F.when(goal > 0, F.col("mix_upto") / goal)
-    return (
-        joined.withColumn("mix_taken", taken.cast("long")).withColumn("mix_finish", finish)
-        .select(*own, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_finish")
-        .sort(F.col("mix_finish").asc_nulls_last(), "mix_size")
-    )
+    return joined.withColumn("mix_taken", taken.cast("long")).select(*own, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_upto", "mix_key")
+
+
+def finish(copy: Column) -> Column:
+    """Virtual finish time of a copy: what its source has served by then, over the source's target."""
+    return F.when(F.col("mix_target") > 0, (F.col("mix_upto") + copy * F.col("mix_source_size")) / F.col("mix_target"))
+
+
+NEEDED = ["doc_id", "text", "source"]
+
+
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2, seed: str = "mix", whole: bool = False,
+) -> DataFrame:
+    """Rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_taken`` and ``mix_finish``.
+
+    ``mix_taken`` counts words with repeats; ``mix_finish`` is the virtual finish time of the first pass. With ``whole`` a
+    document is never cut. Rows come in the order of service. Columns of ``docs`` with these names give way to the new ones.
+    """
+    done = served(shielded(docs, NEEDED), weights, share, passes, seed, whole).withColumn("mix_finish", finish(F.lit(0)))
+    made = ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_finish"]
+    names = [(c if c in NEEDED else f"own_{i}", c) for i, c in enumerate(docs.columns) if c not in made]
+    return done.sort(F.col("mix_finish").asc_nulls_last(), "mix_size").select(*[F.col(n).alias(c) for n, c in names], *made)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, passes: int = 2, seed: str = "mix") -> DataFrame:
-    """Whole documents as often as the mix takes them, with the columns of ``docs``, in the order of service."""
-    needed = ["doc_id", "text", "source"]
-    served = mix(shielded(docs, needed), weights, share, passes, seed, whole=True).filter("mix_taken > 0")
+    """Whole documents as often as the mix takes them, with the columns of ``docs``, in the order of service.
+
+    Every copy has its own finish time: the second copies of a source follow its first ones.
+    """
+    taken = served(shielded(docs, NEEDED), weights, share, passes, seed, True).filter("mix_taken > 0")
     times = (F.col("mix_taken") / F.col("mix_size")).cast("int")
-    return restored(served.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), times))), docs, needed)
+    copies = taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), times - 1)))
+    return restored(copies.sort(finish(F.col("mix_copy")), "mix_size", "mix_key"), docs, NEEDED)

@@ -18,7 +18,7 @@ from rolegrain.llm import mixing, neighbours, packing, queries, warc
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     connection = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return connection
 
@@ -34,7 +34,7 @@ def sql_rows(duck, name):
     return sorted([tuple(r[i] for i in order) for r in found.fetchall()], key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", ["op6_warc", "op7_mixing"])
+@pytest.mark.parametrize("name", ["op6_warc", "op7_mixing", "op11_metric_tree", "op12_turn_trie", "op13_spelling"])
 def test_equals_sql(spark, sf_dir, duck, name):
     assert rows(queries.QUERIES[name](spark, sf_dir)) == sql_rows(duck, name)
 
@@ -86,6 +86,57 @@ def test_mix_targets_and_odd_rows(odd, none):
     assert mixing.mix(none.select("doc_id", "text", "source")).count() == 0 and mixing.mixed(none).count() == 0
 
 
+def served_by_events(rows, weights=(5, 2, 1), share=1.5, passes=2):
+    """Document ids in the order a scheduler serves them: always the source whose next document finishes first."""
+    import heapq
+    import re
+
+    queues, names = {}, sorted({r["source"] for r in rows}, key=lambda s: (s is None, s or ""))
+    for r in rows:
+        key = hashlib.md5(f"mix:{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        queues.setdefault(r["source"], []).append((int(key[:6], 16) % 1024, key, size, r["doc_id"]))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total = {s: sum(d[2] for d in q) for s, q in queues.items()}
+    budget, target, free = share * sum(total.values()), {}, set(names)
+    while free:  # water-filling: cap sources one after another
+        level = (budget - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] > passes * total[s]}
+        for s in over or free:
+            target[s] = passes * total[s] if over else level * weight[s]
+        free -= over or free
+    heap, order = [], []
+
+    def push(source, n, place):
+        queue = sorted(queues[source])
+        if place == len(queue):
+            n, place = n + 1, 0
+        if n < passes and target[source] > 0:
+            before = n * total[source] + sum(d[2] for d in queue[:place])
+            _, key, size, doc = queue[place]
+            heapq.heappush(heap, ((before + size) / target[source], size, key, source or "", source is None, source, n, place, before, doc))
+
+    for s in names:
+        push(s, 0, 0)
+    while heap:
+        _, size, _, _, _, source, n, place, before, doc = heapq.heappop(heap)
+        if size and 2 * max(0, min(size, int(target[source]) - before)) > size:
+            order.append(doc)
+        push(source, n, place + 1)
+    return order
+
+
+def test_order_of_service_against_events(spark, documents):
+    for docs in (documents.filter("doc_id < 60"), spark.createDataFrame([(i, "w " * (1 + i % 5), "abc"[i % 3 if i > 8 else 0]) for i in range(40)], "doc_id long, text string, source string")):
+        assert [r["doc_id"] for r in mixing.mixed(docs).select("doc_id").collect()] == served_by_events(docs.collect())
+
+
+def test_mix_shields_clashing_names(odd):
+    done = mixing.mix(odd)
+    assert done.columns == [c for c in odd.columns if c != "mix_size"] + ["mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_finish"]
+    assert {r["mix_size"] for r in done.collect()} >= {0, 60_000} and {r["score"] for r in done.collect()} == {"own score"}
+
+
 def test_mix_is_native_and_repeatable(spark, documents):
     plan = mixing.mixed(documents)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
