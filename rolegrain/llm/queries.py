@@ -63,7 +63,7 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove(table(spark, sf_dir, "documents"), ["doc_id"])
+    return suffixes.remove(table(spark, sf_dir, "documents"), ["doc_id"]).withColumn("changed", F.col("n_removed") > 0)
 
 
 @query
