@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .hashing import lean
 
 #: Seed of the shingle hash.
 SEED = 42
@@ -72,7 +73,7 @@ def common(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     rows = docs.count()
     texts = docs.select(F.col("text").cast("string"))
     texts = texts.sample(SAMPLE / rows, 1) if rows > SAMPLE else texts
-    counted = texts.mapInArrow(work, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
+    counted = texts.mapInArrow(lean(work), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 2")
     listed = counted.sort(F.desc("n"), "shingle").limit(LISTED).toArrow()
     names, often = listed.column("shingle").to_numpy().view(np.uint64), listed.column("n").to_numpy()
     order = np.argsort(names)
@@ -102,7 +103,7 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
                 ["doc_id", "text_hash", "node", "size", "prefix"],
             )
 
-    return keyed(docs).select("doc_id", "text_hash", "text").mapInArrow(work, "doc_id long, text_hash long, node long, size int, prefix array<long>")
+    return keyed(docs).select("doc_id", "text_hash", "text").mapInArrow(lean(work), "doc_id long, text_hash long, node long, size int, prefix array<long>")
 
 
 def rows_of(batch: pa.RecordBatch) -> np.ndarray:
@@ -130,7 +131,7 @@ def lists(nodes: DataFrame) -> DataFrame:
             yield batch_of(rest)
 
     placed = nodes.select(F.explode("prefix").alias("shingle"), "node", "size")
-    return placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(work, "shingle long, node long, size int")
+    return placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(lean(work), "shingle long, node long, size int")
 
 
 def shared_at_least(one: Column, other: Column) -> Column:
@@ -193,7 +194,7 @@ def open_pairs(found: DataFrame, roots: DataFrame) -> DataFrame:
     # Lists within one group are done.
     mixed = stored(named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
     ordered = named.join(mixed, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    return shared_enough(ordered.mapInArrow(work, "one long, other long, one_size long, other_size long, n long"))
+    return shared_enough(ordered.mapInArrow(lean(work), "one long, other long, one_size long, other_size long, n long"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -223,9 +224,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int)
             keep = pa.array([alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in sets], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
 
-    texts = keyed(docs).select(F.xxhash64("doc_id", "text_hash").alias("row"), "text").mapInArrow(read, "row long, own binary")
+    texts = keyed(docs).select(F.xxhash64("doc_id", "text_hash").alias("row"), "text").mapInArrow(lean(read), "row long, own binary")
     # Equal rows all answer; one is enough.
     sets = stored(texts.join(wanted, "row").select("node", "own").dropDuplicates(["node"]))
     left = pairs.join(sets.select(F.col("node").alias("one"), F.col("own").alias("one_set")), "one")
     both = left.join(sets.select(F.col("node").alias("other"), F.col("own").alias("other_set")), "other")
-    return both.select("one", "other", "one_set", "other_set").mapInArrow(compare, "src long, dst long")
+    return both.select("one", "other", "one_set", "other_set").mapInArrow(lean(compare), "src long, dst long")

@@ -38,13 +38,13 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .columns import restored, shielded
-from .hashing import SpanHash, runs, sliding_argmin
+from .hashing import SpanHash, lean, runs, sliding_argmin
 
 LENGTH = 400
 #: Kinds of segments of one anchor that a task takes at most.
 GROUP = 1000
 #: Bytes that one transform takes, about.
-TEXT = 1 << 20
+TEXT = 1 << 19
 #: Strings per block of a divided segment.
 BLOCK = 25
 
@@ -187,7 +187,7 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         ["doc_id", "text_hash", "start", "count", "lead", "anchor", "kind"],
                     )
 
-    return keyed(docs).filter(F.octet_length("text") >= length).mapInArrow(work, schema)
+    return keyed(docs).filter(F.octet_length("text") >= length).mapInArrow(lean(work), schema)
 
 
 def expand(groups: DataFrame, length: int) -> DataFrame:
@@ -217,7 +217,7 @@ def expand(groups: DataFrame, length: int) -> DataFrame:
             yield solve(rest)
 
     laid = groups.select("anchor", "kind", "body").repartition("anchor").sortWithinPartitions("anchor", "kind")
-    return laid.mapInArrow(work, "anchor long, kind long, first int, last int")
+    return laid.mapInArrow(lean(work), "anchor long, kind long, first int, last int")
 
 
 def divided(segments: DataFrame, length: int, size: int) -> DataFrame:
@@ -246,7 +246,7 @@ def divided(segments: DataFrame, length: int, size: int) -> DataFrame:
                 ["anchor", "kind", "shift", "part", "part_kind", "count", "body"],
             )
 
-    return segments.select("anchor", "kind", "lead", "body").mapInArrow(work, schema)
+    return segments.select("anchor", "kind", "lead", "body").mapInArrow(lean(work), schema)
 
 
 def repeats(found: DataFrame, docs: DataFrame, length: int, group: int) -> DataFrame:
@@ -322,7 +322,7 @@ def removed_words(docs: DataFrame, words: int, group: int = GROUP) -> DataFrame:
 
     texts = keyed(docs).withColumn("row", F.xxhash64(*KEY))
     length = words * CODE
-    found = stored(removed_spans(texts.select("row", "text").mapInArrow(work, "doc_id long, text string"), length, None, group))
+    found = stored(removed_spans(texts.select("row", "text").mapInArrow(lean(work), "doc_id long, text string"), length, None, group))
     # Only strings that start with a word count.
     whole = F.transform("spans", lambda s: F.struct(F.ceil(s["low"] / CODE).alias("low"), (F.floor((s["high"] - length) / CODE) + words).alias("high")))
     found = found.select(F.col("doc_id").alias("row"), F.filter(whole, lambda s: s["high"] - s["low"] >= words).alias("word_spans"))
@@ -370,7 +370,7 @@ def apply_cut(joined: DataFrame, keep: list[str], body: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *made], [f.name for f in fields] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(made)])
 
     ranges = [c for c in ("spans", "word_spans") if c in joined.columns]
-    return joined.select(*[f.name for f in fields], F.col("text").cast("string"), *ranges).mapInArrow(work, schema)
+    return joined.select(*[f.name for f in fields], F.col("text").cast("string"), *ranges).mapInArrow(lean(work), schema)
 
 
 def remove(docs: DataFrame, keep: list[str], length: int = LENGTH, group: int = GROUP) -> DataFrame:
