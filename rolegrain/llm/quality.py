@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import restored, shielded
-from .hashing import SpanHash, lists, pieces
+from .hashing import SpanHash, lean, lists, pieces
 
 BUCKETS, RANK, BINS = 1 << 13, 8, 10
 #: Labelled rows that are drawn for training, about.
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qualit
             )
 
     table = texts.select("doc_id", "label", "text", "stated_length").mapInArrow(
-        work, "doc_id long, label int, buckets array<int>, weights array<float>, statistics array<double>",
+        lean(work), "doc_id long, label int, buckets array<int>, weights array<float>, statistics array<double>",
     ).toArrow()
     if not table.num_rows:
         return None
@@ -202,7 +202,7 @@ def score(docs: DataFrame, machine: Machine | None, keep: list[str]) -> DataFram
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double, predicted int"])
     texts = [] if "text" in keep else [F.col("text").cast("string")]
-    return docs.select(*keep, *texts, stated_length(docs)).mapInArrow(work, schema)
+    return docs.select(*keep, *texts, stated_length(docs)).mapInArrow(lean(work), schema)
 
 
 def keep_good(docs: DataFrame, machine: Machine | None) -> DataFrame:
