@@ -216,8 +216,8 @@ def d7(spark, sf_dir):
 
 
 def _structured(spark, sf_dir):
-    """Requirement lines of every posting, read whole, with skills of the line."""
-    lines = R.with_skills(_lines(spark, sf_dir).filter(F.col("line_no") >= 2), "line", "base_skills")
+    """All lines of every posting, read whole, with the skills of the line."""
+    lines = R.with_skills(_lines(spark, sf_dir), "line", "base_skills")
     section = b.pick(["required", "preferred", "general"], F.col("doc_id"))
     lines = lines.withColumns({"section": section, "forced_min": F.when(F.col("doc_id") % 10 == 9, F.lit(2))})
     return R.with_structure(lines)
@@ -229,19 +229,74 @@ def _groups(frame):
     )
 
 
-@b.query("d8_parenthetical_groups")
+_BEHIND = [b.q(f"^(?s:.*?)(?i:{m})((?s:.*))$") for m in S.EXAMPLE_MARKERS]
+_MARKED = [b.matches_sql("low", [m]) for m in S.EXAMPLE_MARKERS]
+_IN_BASE = "lambda x: list_contains(base, x)"
+_GROUP = "{{'section': section, 'skills': {skills}, 'min_matches': {count}, 'kind': '{kind}', 'text': line}}"
+
+
+def structure_sql(lines: str) -> str:
+    """CTEs from ``lines`` (``line``, ``base``, ``section``, ``forced`` and others) to ``structured`` with groups, standalone, non_scoring."""
+    one = _GROUP.format(skills="piece.skills", count="1", kind="example_group")
+    clamp = "greatest(1, least({0}, len(base)))::INTEGER"
+    forced, counted = (_GROUP.format(skills="base", count=clamp.format(c), kind="minimum_count") for c in ("forced", "own_count"))
+    either, inline = _GROUP.format(skills="base", count="1", kind="alternative"), _GROUP.format(skills="inline", count="1", kind="example_group")
+    found = _GROUP.format(skills="f", count="1", kind="alternative")
+    return f"""lowered AS (SELECT *, lower(line) AS low FROM {lines}),
+modes AS (
+  SELECT *, {MIN_COUNT} AS own_count,
+    CASE WHEN len(base) < 1 THEN 'none' WHEN len(base) >= 2 AND forced IS NOT NULL THEN 'forced'
+         WHEN len(base) >= 2 AND {MIN_COUNT} IS NOT NULL THEN 'count' WHEN len(base) >= 2 AND {b.matches_sql('low', [S.ONE_OF])} THEN 'either' ELSE 'free' END AS mode
+  FROM lowered),
+named AS (
+  SELECT *, CASE WHEN mode = 'free' THEN list_filter(list_transform(regexp_extract_all(low, {b.q(S.PARENTHESES)}, 1), lambda t: {{
+      'skills': list_filter({skills_sql('t')}, {_IN_BASE}), 'listed': contains(t, ',') OR contains(t, '/') OR {b.matches_sql('t', [S.OR_WORD])},
+      'example': {b.matches_sql('t', S.EXAMPLE_IN_PARENTHESES)}}}), lambda piece: len(piece.skills) > 0) ELSE [] END AS paren,
+    CASE WHEN mode = 'free' THEN CASE WHEN {_MARKED[0]} THEN regexp_extract(low, {_BEHIND[0]}, 1) WHEN {_MARKED[1]} THEN regexp_extract(low, {_BEHIND[1]}, 1) END END AS tail,
+    CASE WHEN mode = 'free' THEN list_transform(list_filter(regexp_split_to_array(low, {b.q(S.AND_SPLIT)}), lambda t: {b.matches_sql('t', [S.OR_CLAUSE])}),
+      lambda t: list_filter({skills_sql('t')}, {_IN_BASE})) ELSE [] END AS clauses
+  FROM modes),
+parts AS (
+  SELECT *, list_filter(paren, lambda piece: piece.listed AND len(piece.skills) >= 2) AS groups_in,
+    list_distinct(flatten(list_transform(list_filter(paren, lambda piece: (piece.listed AND len(piece.skills) >= 2) OR piece.example), lambda piece: piece.skills))) AS taken,
+    flatten(list_transform(list_filter(paren, lambda piece: piece.example AND NOT (piece.listed AND len(piece.skills) >= 2)), lambda piece: piece.skills)) AS single
+  FROM named),
+tails AS (
+  SELECT *, CASE WHEN tail IS NULL THEN [] ELSE list_filter({skills_sql('tail')}, lambda x: list_contains(base, x) AND NOT list_contains(taken, x)) END AS inline FROM parts),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'taken': list_concat(taken, inline), 'found': []::VARCHAR[][]}}, list_transform(clauses, lambda c: {{'taken': c, 'found': []::VARCHAR[][]}})),
+    lambda s, e: CASE WHEN len(list_filter(e.taken, lambda x: NOT list_contains(s.taken, x))) >= 2 THEN
+      {{'taken': list_concat(s.taken, list_filter(e.taken, lambda x: NOT list_contains(s.taken, x))),
+        'found': list_append(s.found, list_filter(e.taken, lambda x: NOT list_contains(s.taken, x)))}} ELSE s END) AS fold
+  FROM tails),
+structured AS (
+  SELECT *, CASE mode WHEN 'forced' THEN [{forced}] WHEN 'count' THEN [{counted}] WHEN 'either' THEN [{either}] WHEN 'free' THEN
+      list_concat(list_transform(groups_in, lambda piece: {one}), CASE WHEN len(inline) >= 2 THEN [{inline}] ELSE [] END, list_transform(fold.found, lambda f: {found})) ELSE [] END AS groups,
+    CASE WHEN mode = 'free' THEN list_filter(base, lambda x: NOT list_contains(fold.taken, x)) ELSE [] END AS standalone,
+    CASE WHEN mode = 'free' THEN list_sort(list_distinct(list_concat(single, CASE WHEN len(inline) = 1 THEN inline ELSE [] END))) ELSE [] END AS non_scoring
+  FROM folded)"""
+
+
+_STRUCTURED = b.with_ctes(b.POSTINGS, LINES, f"""skilled AS (
+  SELECT doc_id, line_no, line, {skills_sql('line')} AS base, {b.pick_sql(['required', 'preferred', 'general'], 'doc_id')} AS section,
+         CASE WHEN doc_id % 10 = 9 THEN 2 END AS forced FROM lines)""", structure_sql("skilled"), """
+rows AS (SELECT doc_id, line_no, line, unnest(groups) AS g FROM structured)""")
+_ROWS = "SELECT doc_id, line_no, array_to_string(g.skills, '|') AS skills, g.section, g.min_matches, g.kind FROM rows"
+
+
+@b.query("d8_parenthetical_groups", _STRUCTURED + _ROWS + " WHERE contains(line, '(') AND g.kind = 'example_group'")
 def d8(spark, sf_dir):
     frame = _structured(spark, sf_dir).filter(F.contains("line", F.lit("(")))
     return _groups(frame).filter(F.col("kind") == "example_group")
 
 
-@b.query("d9_inline_examples")
+@b.query("d9_inline_examples", _STRUCTURED + "SELECT doc_id, line_no, array_to_string(non_scoring, '|') AS non_scoring FROM structured WHERE len(non_scoring) > 0")
 def d9(spark, sf_dir):
     frame = _structured(spark, sf_dir).filter(F.size("non_scoring") > 0)
     return frame.select("doc_id", "line_no", _joined("non_scoring"))
 
 
-@b.query("d10_line_structure")
+@b.query("d10_line_structure", _STRUCTURED + _ROWS)
 def d10(spark, sf_dir):
     return _groups(_structured(spark, sf_dir))
 
@@ -359,7 +414,66 @@ def d14(spark, sf_dir):
     )
 
 
-@b.query("d14_requirements")
+_FOLLOWED = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(line, {b.q('(?i)(?:' + '|'.join(pack) + ')' + chr(92) + 's*(?:is' + chr(92) + 's+)?preferred' + chr(92) + 'b')}) THEN {b.q(skill)} END"
+    for skill, pack in sorted({**S.SKILLS, "Go": [S.GO_WORD]}.items())
+) + "], lambda x: x IS NOT NULL)"
+
+
+def _union(column: str, condition: str) -> str:
+    return f"list_distinct(flatten(coalesce(list({column}) FILTER ({condition}), [])))"
+
+
+def _without(items: str, *others: str) -> str:
+    return f"list_sort(list_filter({items}, lambda x: NOT list_contains(list_concat({', '.join(others)}, []), x)))"
+
+
+_REQUIREMENTS = b.with_ctes(b.POSTINGS, PAGE_LINES, STATE, f"""marked AS (
+  SELECT d, board_token, p, line, section, forced_min, skills, list_filter({_FOLLOWED}, lambda x: list_contains(skills, x)) AS overrides FROM state WHERE sk),
+readable AS (SELECT d, board_token, p, line, section, forced_min AS forced, overrides, list_filter(skills, lambda x: NOT list_contains(overrides, x)) AS base FROM marked)""",
+    structure_sql("readable"), f"""numbered AS (
+  SELECT d, p, unnest(range(1, len(groups) + 1)) AS i, unnest(groups) AS g FROM structured),
+firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY d, g.section, g.skills, g.min_matches, g.kind ORDER BY p, i) AS n FROM numbered),
+kept AS (SELECT d, list(g ORDER BY p, i) AS groups FROM firsts WHERE n = 1 GROUP BY d),
+unions AS (
+  SELECT d, {_union('standalone', "section = 'required'")} AS required,
+    list_distinct(list_concat({_union('overrides', 'TRUE')}, {_union('standalone', "section = 'preferred'")})) AS preferred,
+    list_distinct(list_concat({_union('non_scoring', 'TRUE')}, {_union('standalone', "section NOT IN ('required', 'preferred')")})) AS general
+  FROM structured GROUP BY d),
+members AS (
+  SELECT u.*, coalesce(groups, []) AS groups,
+    coalesce(flatten(list_transform(list_filter(groups, lambda g: g.section = 'required'), lambda g: g.skills)), []) AS in_required,
+    coalesce(flatten(list_transform(list_filter(groups, lambda g: g.section = 'preferred'), lambda g: g.skills)), []) AS in_preferred
+  FROM unions u LEFT JOIN kept USING (d)),
+settled AS (
+  SELECT d, groups, {_without('required', 'in_required')} AS required_skills, {_without('preferred', 'required', 'in_required', 'in_preferred')} AS preferred_skills,
+    {_without('general', 'required', 'preferred', 'in_required', 'in_preferred')} AS general_skills FROM members),
+counted AS (
+  SELECT l.board_token, l.d, CAST(count(*) AS INTEGER) AS line_count, CAST(count(l.hs) AS INTEGER) AS recognized_heading_count,
+    CAST(count(*) FILTER (l.sk AND s.own_reason = 'requirement_language') AS INTEGER) AS requirement_language_lines,
+    CAST(count(*) FILTER (l.sk AND s.own_reason = 'preferred_language') AS INTEGER) AS preferred_language_lines
+  FROM l LEFT JOIN state s ON s.d = l.d AND s.p = l.p GROUP BY ALL)""")
+_SECTIONS = ("required", "preferred", "general")
+_COUNTS = ", ".join([
+    *[f"CAST(coalesce(len({s}_skills), 0) AS INTEGER) AS {s}_skill_count" for s in _SECTIONS],
+    *[f"CAST(coalesce(len(list_filter(groups, lambda g: g.section = '{s}')), 0) AS INTEGER) AS {s}_group_count" for s in _SECTIONS],
+])
+
+
+@b.query("d14_counters", _REQUIREMENTS + f"""
+SELECT board_token, d AS posting_id, line_count, recognized_heading_count, {_COUNTS}, requirement_language_lines, preferred_language_lines
+FROM counted LEFT JOIN settled USING (d)""")
+def d14_counters(spark, sf_dir):
+    """All ten counters."""
+    return R.extract_requirements(_page(spark, sf_dir), KEYS).select(*KEYS, "extraction_stats.*")
+
+
+@b.query("d14_requirements", _REQUIREMENTS + """
+SELECT board_token, d AS posting_id, coalesce(array_to_string(required_skills, '|'), '') AS required_skills,
+  coalesce(array_to_string(preferred_skills, '|'), '') AS preferred_skills, coalesce(array_to_string(general_skills, '|'), '') AS general_skills,
+  coalesce(to_json(groups)::VARCHAR, '[]') AS groups
+FROM counted LEFT JOIN settled USING (d)""")
 def d14_all(spark, sf_dir):
     found = R.extract_requirements(_page(spark, sf_dir), KEYS)
     return found.select(

@@ -14,14 +14,14 @@ from rolegrain.plans.queries import QUERIES, SQL
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 ROWS_ONLY = {
-    "b1_clean_html", "b4_logical_lines", "d8_parenthetical_groups", "d9_inline_examples", "d10_line_structure",
-    "d14_requirements", "k1_grouped_fields",
+    "b1_clean_html", "b4_logical_lines", "k1_grouped_fields",
 }
 QUICK = [
     "b11_list_rendering", "b13_safe_values", "b14_parse_utc", "e9_fresh_scan", "c7_location_split", "k6_safe_packets", "k7_assistance_texts",
     "j11_run_history", "b15_export_projection", "j7_browser_requests",
     "a1_companies", "a2_snapshot_postings", "b6_word_chunks", "c5_employment_decision", "c8_experience_mentions", "c13_eligibility",
-    "d13_evidence", "e3_semantic_scores", "e3_semantic_scores_shuffled", "g1_best_profile", "g5_work_queue", "h6_run_history_rows",
+    "a2_fetch_status", "d8_parenthetical_groups", "d9_inline_examples", "d10_line_structure", "d14_requirements", "d14_counters",
+    "g1_best_profile_paired", "h14_model_comparison", "i2_review_set", "d13_evidence", "e3_semantic_scores", "e3_semantic_scores_shuffled", "g1_best_profile", "g5_work_queue", "h6_run_history_rows",
     "h13_headline_metrics", "j1_upsert_postings", "j4_ensure_applications", "j12_status_changes", "k3_resolved_fields",
 ]
 NAMES = sorted(QUERIES) if os.environ.get("ALL_QUERIES") else QUICK
