@@ -165,7 +165,7 @@ def with_states(chunks: DataFrame) -> DataFrame:
     })
 
 
-def entries(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def entries(spark: SparkSession, path: str | list[str], chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """``file, text`` per entry of the ``jobs`` arrays, and ``file, own, damaged`` per file, from one parse."""
     records = spark.read.option("lineSep", "{").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     chunks = with_states(stored(records.mapInArrow(lambda batches: _chunks(batches, chunk), _CHUNK_SCHEMA)))
@@ -195,7 +195,7 @@ def entries(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFra
     return whole.union(joined), stored(files.select("file", "own", (~complete).alias("damaged")))
 
 
-def read_boards(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def read_boards(spark: SparkSession, path: str | list[str], chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Posting rows and ``board_token, fetch_status`` of landed snapshot files, from one parse."""
     from .snapshots import posting_columns, status_of
 
