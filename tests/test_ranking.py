@@ -71,3 +71,31 @@ def test_vectors_are_not_shuffled_for_a_short_list(spark, sf_dir):
     exchange = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchange) == 1 and plan.index("Exchange hashpartitioning") < plan.index("MapInArrow")
     assert M.semantic_by_posting(frame, other.limit(0), ["posting_id"]).select(F.max(F.size("semantic"))).first()[0] == 0
+
+
+def test_sample_of_one_pass_against_sorted_lists(spark):
+    from rolegrain.operators import calibration as K
+
+    rng = np.random.default_rng(2)
+    data = [(f"b{i % 4}", str(i), float(rng.integers(60, 100)), float(rng.integers(60, 90)), int(rng.integers(0, 4))) for i in range(150)]
+    frame = spark.createDataFrame(data, "board_token string, posting_id string, score double, confidence double, warning_count int").repartition(6)
+    up = lambda r: (r[0], r[1])
+    downwards = sorted(sorted(data, key=up, reverse=True), key=lambda r: r[2])[:3][::-1]
+    lists = [
+        sorted(data, key=lambda r: (-r[2], up(r)))[:3], sorted(data, key=lambda r: (abs(r[2] - 85), up(r)))[:5], downwards,
+        sorted((r for r in data if r[4] > 0), key=lambda r: (-r[4], -r[2], up(r)))[:5], sorted((r for r in data if r[3] < 75), key=lambda r: (r[3], -r[2], up(r)))[:5],
+    ]
+    expected = {}
+    for part, head in enumerate(lists):
+        for place, r in enumerate(head, 1):
+            expected.setdefault(up(r), (part, place))
+    sample = K.select_examples(frame)
+    assert {(r.board_token, r.posting_id): (r.part, r.place) for r in sample.collect()} == expected
+    assert plan_of(sample).count("Scan ExistingRDD") == 1
+    routes = frame.withColumns({"route": F.lit("AGENT_APPLY"), "current_route": F.when(F.col("warning_count") == 3, F.lit("X")).otherwise(F.lit("AGENT_APPLY"))})
+    want = {}
+    for part, head in enumerate([[r for r in data if r[4] == 3], [r for r in data if r[2] >= 85], sorted(data, key=lambda r: (-r[2], up(r)))[:5]]):
+        for r in head:
+            want.setdefault(up(r), part)
+    found = K.review_set(routes)
+    assert {(r.board_token, r.posting_id): r.part for r in found.collect()} == want and plan_of(found).count("Scan ExistingRDD") == 1
