@@ -54,8 +54,11 @@ def digest(text: str | bytes) -> int:
 
 
 def encode(rules: list[tuple[str, str]], key=digest) -> bytes:
-    """File content: count, size of the strings, digests in ascending order, offsets, verdict lengths, strings."""
-    items = sorted((key(r.encode()), r.encode(), v.encode()) for r, v in dict((normal(r), v) for r, v in rules).items())
+    """File content: count, size of the strings, digests in ascending order, offsets, verdict lengths, strings.
+
+    Of a rule listed with several verdicts the last in code-point order counts (block before allow).
+    """
+    items = sorted((key(r.encode()), r.encode(), v.encode()) for r, v in dict(sorted((normal(r), v) for r, v in rules)).items())
     offsets = np.cumsum([0, *(len(r) + len(v) for _, r, v in items)]).astype("<i8")
     split = np.array([len(r) for _, r, _ in items], "<i8")
     blob = b"".join(r + v for _, r, v in items)
@@ -149,7 +152,8 @@ def judge(
 
 def judge_by_join(split: DataFrame, rules: DataFrame, key: str, default: str) -> DataFrame:
     """The same verdicts by an equi-join of distinct (host, path prefix) candidates with a list of any size."""
-    own = rules.select(F.concat(F.translate(F.regexp_extract("rule", "^[^/]*", 0), UPPER, LOWER), F.regexp_extract("rule", "/(?s:.*)$", 0)).alias("rule"), "verdict").dropDuplicates(["rule"])
+    own = rules.select(F.concat(F.translate(F.regexp_extract("rule", "^[^/]*", 0), UPPER, LOWER), F.regexp_extract("rule", "/(?s:.*)$", 0)).alias("rule"), "verdict")
+    own = own.groupBy("rule").agg(F.max("verdict").alias("verdict"))
     lengths = [r[0] for r in own.select(F.length(F.regexp_extract("rule", "/(?s:.*)$", 0)).alias("n")).distinct().collect()]
     labels = F.split("host", "[.]")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))

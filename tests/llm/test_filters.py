@@ -140,3 +140,13 @@ def test_sql_of_rules(spark, sf_dir):
     connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
     want = sorted(connection.execute(queries.SQL["op1_url_filter"]).fetchall())
     assert sorted(tuple(r) for r in queries.QUERIES["op1_url_filter"](spark, sf_dir).select("page_id", "host", "path", "rule", "verdict").collect()) == want
+
+
+def test_one_verdict_whatever_the_size_of_the_list(spark):
+    """A rule with two verdicts, in both orders, through the array and through the join."""
+    urls = spark.createDataFrame([(1, "http://a.example.org/x"), (2, "http://b.org/" + "p" * 20_000)], "page_id long, url string").withColumn("verdict", F.lit("own"))
+    for pairs in ([("Example.org/x", "block"), ("example.org/x", "allow"), ("org/", "allow")], [("org/", "allow"), ("example.org/x", "allow"), ("EXAMPLE.org/x", "block")]):
+        rules = spark.createDataFrame(pairs, "rule string, verdict string")
+        for most in (url_filter.MAX_BYTES, 0):
+            assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(urls, rules, max_bytes=most).collect()} == {
+                1: ("example.org/x", "block"), 2: ("org/", "allow")}
