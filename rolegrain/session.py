@@ -55,7 +55,17 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back: lineage ends, columns stay prunable."""
     path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote. Only for tables that no later plan reads: what came of them is stored itself."""
+    for table in tables:
+        spark, path = table.sparkSession, table.__dict__["stored_path"]
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
