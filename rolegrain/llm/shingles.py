@@ -3,12 +3,17 @@
 Words are maximal runs of characters other than ASCII white space after A-Z were lower-cased; a text of fewer words than a
 shingle is one shingle, a text without words (or null) is the empty set. A set of ``n`` shingles is known by their 64-bit hashes.
 
-The search is exact. Two sets that are so alike share at least 4/5 of the shingles of either, so in any order of all shingles
-they share one among the first ``n - ceil(4n/5) + 1`` of each (prefix filter). The order takes shingles that are common in a
-sample last, which keeps lists of sets short; the sample has no influence on the result. If the shorter reach of two prefixes
-ends in A's, what A and B share beyond the prefixes is in A's rest, so both prefixes must share the rest of the needed shingles:
-pairs in fewer lists are not alike. The others are compared on their whole sets. Equal sets are one node, so copies cost nothing. First every list's sets are compared with its least one only;
-what this links needs no more comparison with each other, so a large group of near copies does not cost the square of its size.
+The search is exact. Sets of ``n`` and ``m`` shingles are alike if they share at least 4(n + m)/9. In any order of all shingles,
+with the first shared one at place ``i`` (from 0) of one set and ``j`` of the other, they share at most ``n - i`` and ``m - j``; so
+both places must be low enough for the other's size, and a place admits partners up to ``(5n - 9i)/4`` shingles. Only such places
+are listed (prefix filter), and a pair is formed only where both admit each other. The order takes shingles that are common in a
+sample last, which keeps lists of sets short; the sample has no influence on the result. Equal sets are one node.
+
+Copies of one text with different edits share long lists, but an edited copy has its own shingles first and so a high place. So every
+list's set at the lowest place is its hub, compared with the whole list first; what is alike to a hub needs no more comparison
+with each other, and copies too far from the hub have no admitting places left. Candidates are dropped by exact bounds before whole sets are read: by what pairs
+can share beyond their last place, and by sketches, in which every shingle flips one bit, so that they differ in no
+more bits than the sets in shingles.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ ALIKE = (4, 5)
 SAMPLE, LISTED = 20_000, 1 << 16
 #: Pairs that a task returns at a time, about.
 PAIRS = 1 << 18
+#: Bits of a set's sketch (a power of two, 64 at least).
+SKETCH = 2048
 #: Bits of the filter for texts that are read again (a multiple of 32,768).
 FILTER = 1 << 24
 
@@ -89,8 +96,14 @@ def prefix(own: np.ndarray, names: np.ndarray, often: np.ndarray) -> np.ndarray:
     return own[np.argsort(count, kind="stable")[: len(own) + ALIKE[0] * len(own) // -ALIKE[1] + 1]] if len(own) else own
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits, each the parity of the shingles that fall on it."""
+    places = (own >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text_hash, node, size, prefix`` per row of ``docs``; ``node`` names the set."""
+    """``doc_id, text_hash, node, size, prefix, sketch`` per row of ``docs``; ``node`` names the set."""
     names, often = common(docs, shingle)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,89 +111,104 @@ def described(docs: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(hashes(x.as_py(), shingle)) for x in batch.column(2)]
             node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             first = pa.array([prefix(s, names, often).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), first],
-                ["doc_id", "text_hash", "node", "size", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), first, sketches],
+                ["doc_id", "text_hash", "node", "size", "prefix", "sketch"],
             )
 
-    return keyed(docs).select("doc_id", "text_hash", "text").mapInArrow(lean(work), "doc_id long, text_hash long, node long, size int, prefix array<long>")
+    return keyed(docs).select("doc_id", "text_hash", "text").mapInArrow(
+        lean(work), "doc_id long, text_hash long, node long, size int, prefix array<long>, sketch array<long>",
+    )
 
 
 def rows_of(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
 
 
+LIST = ["shingle", "node", "size", "place", "hub", "hub_size", "hub_place"]
+
+
 def lists(nodes: DataFrame) -> DataFrame:
-    """``shingle, node, size``: the nodes of every shingle that is in several prefixes."""
+    """``LIST``: the nodes of every shingle that is in several prefixes, with the one at the lowest place.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["shingle", "node", "size"])
+    A list is read as a sorted stream, so its length takes no memory.
+    """
 
-        rest, before = np.zeros((0, 3), np.int64), None
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hub, several = np.zeros((0, 4), np.int64), np.zeros((0, 4), np.int64), False
         for batch in batches:
             rows = np.concatenate([rest, rows_of(batch)])
             if not len(rows):
                 continue
-            same = rows[1:, 0] == rows[:-1, 0]
-            shared = np.concatenate([[before is not None and rows[0, 0] == before], same]) | np.concatenate([same, [False]])
-            # The last row waits for the next one.
-            yield batch_of(rows[:-1][shared[:-1]])
-            before, rest = rows[-2, 0] if len(rows) > 1 else before, rows[-1:]
-        if len(rest) and before is not None and rest[0, 0] == before:
-            yield batch_of(rest)
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            goes_on = len(hub) > 0 and hub[0, 0] == rows[0, 0]
+            hubs = rows[starts].copy()
+            if goes_on:
+                hubs[0] = hub[0]
+            lengths = np.diff(np.append(starts, len(rows)))
+            keep = lengths > 1
+            keep[0] |= goes_on and several
+            # The last row waits if it is alone so far.
+            waits = not keep[-1]
+            own = np.repeat(hubs, np.where(keep, lengths, 0), axis=0)
+            yield listed(rows[np.repeat(keep, lengths)], own)
+            rest, hub, several = (rows[-1:], hubs[-1:], False) if waits else (rows[:0], hubs[-1:], True)
 
-    placed = nodes.select(F.explode("prefix").alias("shingle"), "node", "size")
-    return placed.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(lean(work), "shingle long, node long, size int")
+    def listed(rows: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        columns = [*np.ascontiguousarray(rows.T), *np.ascontiguousarray(own[:, 1:].T)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], LIST)
 
+    placed = nodes.select(F.posexplode("prefix").alias("place", "shingle"), "node", "size").select("shingle", "node", "size", "place")
+    ordered = placed.repartition("shingle").sortWithinPartitions("shingle", "place", "node")
+    return ordered.mapInArrow(lean(work), ", ".join(f"{c} long" for c in LIST))
 
-def shared_at_least(one: Column, other: Column) -> Column:
-    """How many shingles the prefixes of sets of these sizes share if the sets are alike."""
-    needed = F.ceil((one + other) * ALIKE[0] / (ALIKE[0] + ALIKE[1]) - 1e-6)
-    rest = F.floor(F.greatest(one, other) * ALIKE[0] / ALIKE[1] + 1e-6)  # n - prefix = ceil(4n/5) - 1 <= 4n/5
-    return needed - rest
 
+def most(size: Column | np.ndarray, place: Column | np.ndarray) -> Column | np.ndarray:
+    """Four times the largest size of a partner whose first shared shingle is at this place."""
+    return size * (ALIKE[0] + 1) - place * (ALIKE[0] + ALIKE[1])
 
-def first_pairs(found: DataFrame) -> DataFrame:
-    """``one, other``: nodes of a list with the list's least node, if they share enough lists in which it is that."""
-    least = stored(found.groupBy("shingle").agg(F.min(F.struct("node", "size")).alias("least")))
-    pairs = found.join(least, "shingle").filter(F.col("least.node") < F.col("node"))
-    sizes = [F.col("least.size").alias("one_size"), F.col("size").alias("other_size")]
-    return shared_enough(pairs.select(F.col("least.node").alias("one"), F.col("node").alias("other"), *sizes, F.lit(1).alias("n")))
 
-
-def shared_enough(pairs: DataFrame) -> DataFrame:
-    """``one, other`` of ``one, other, one_size, other_size, n`` that have sizes and lists enough to be alike."""
-    close = F.least("one_size", "other_size") * ALIKE[1] >= F.greatest("one_size", "other_size") * ALIKE[0]
-    counted = pairs.filter(close).groupBy("one", "other").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("one_size", "other_size")])
-    return counted.filter(F.col("n") >= shared_at_least(F.col("one_size"), F.col("other_size"))).select("one", "other")
+def hub_pairs(found: DataFrame) -> DataFrame:
+    """``one, other``: nodes of a list with its hub, where both places admit the other."""
+    own = (F.col("node") != F.col("hub")) & (F.col("hub_size") * 4 <= most(F.col("size"), F.col("place")))
+    pairs = found.filter(own & (F.col("size") * 4 <= most(F.col("hub_size"), F.col("hub_place"))))
+    return pairs.select(F.least("node", "hub").alias("one"), F.greatest("node", "hub").alias("other")).distinct()
 
 
 def open_pairs(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """``one, other``: all pairs that share enough lists and that ``roots`` has not linked."""
+    """``one, other``: all pairs that may be alike by their lists and that ``roots`` has not linked."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """``rows``: shingle, node, size, root; whole lists, by ascending size."""
-            high = np.append(np.flatnonzero(np.diff(rows[:, 0])) + 1, len(rows))
-            ends = high[np.searchsorted(high, np.arange(len(rows)), "right")]
-            count = ends - np.arange(len(rows)) - 1
+            """``rows``: shingle, node, size, place, root; whole lists, by ascending size."""
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            lengths = np.diff(np.append(starts, len(rows)))
+            # Lists within one group are done.
+            mixed = np.minimum.reduceat(rows[:, 4], starts) != np.maximum.reduceat(rows[:, 4], starts)
+            rows, line = rows[np.repeat(mixed, lengths)], np.repeat(np.arange(mixed.sum()), lengths[mixed])
+            if not len(rows):
+                return
+            reach = most(rows[:, 2], rows[:, 3]) // 4
+            # Sizes are below 2**31, so list and size make one ascending key.
+            ends = np.searchsorted((line << 32) + rows[:, 2], (line << 32) + np.maximum(reach, 0), "right")
+            count = np.maximum(ends - np.arange(len(rows)) - 1, 0)
             done = np.cumsum(count)
             at = 0
             while at < len(rows):
-                to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+                before = done[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(done, before + PAIRS, "right")))
                 own = np.repeat(np.arange(at, to), count[at:to])
-                mate = own + 1 + np.arange(len(own)) - np.repeat(done[at:to] - count[at:to] - (done[at - 1] if at else 0), count[at:to])
-                a, b = rows[own], rows[mate]
-                keep = (a[:, 3] != b[:, 3]) & (a[:, 2] * ALIKE[1] >= b[:, 2] * ALIKE[0])
-                a, b = a[keep], b[keep]
-                swap = a[:, 1] > b[:, 1]
+                mate = own + 1 + np.arange(len(own)) - np.repeat(done[at:to] - count[at:to] - before, count[at:to])
+                keep = (rows[own, 4] != rows[mate, 4]) & (reach[mate] >= rows[own, 2])
+                a, b = rows[own[keep], 1:4], rows[mate[keep], 1:4]
+                swap = a[:, 0] > b[:, 0]
                 a[swap], b[swap] = b[swap], a[swap]
-                both, n = np.unique(np.stack([a[:, 1], b[:, 1], a[:, 2], b[:, 2]], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*np.ascontiguousarray(both.T), n)], ["one", "other", "one_size", "other_size", "n"])
+                columns = [a[:, 0], b[:, 0], a[:, 1], b[:, 1], a[:, 2], b[:, 2]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], pair_names)
                 at = to
 
-        rest = np.zeros((0, 4), np.int64)
+        rest = np.zeros((0, 5), np.int64)
         for batch in batches:
             rows = np.concatenate([rest, rows_of(batch)])
             cut = int(np.flatnonzero(rows[:, 0] != rows[-1, 0]).max(initial=-1)) + 1 if len(rows) else 0
@@ -190,11 +218,25 @@ def open_pairs(found: DataFrame, roots: DataFrame) -> DataFrame:
         if len(rest):
             yield from solve(rest)
 
-    named = found.join(roots, "node", "left").select("shingle", "node", "size", F.coalesce("root", "node").alias("root"))
-    # Lists within one group are done.
-    mixed = stored(named.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("shingle"))
-    ordered = named.join(mixed, "shingle", "left_semi").repartition("shingle").sortWithinPartitions("shingle", "size", "node")
-    return shared_enough(ordered.mapInArrow(lean(work), "one long, other long, one_size long, other_size long, n long"))
+    pair_names = ["one", "other", "one_size", "other_size", "one_place", "other_place"]
+    named = found.join(roots, "node", "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    ordered = named.repartition("shingle").sortWithinPartitions("shingle", "size", "node")
+    pairs = ordered.mapInArrow(lean(work), ", ".join(f"{c} long" for c in pair_names))
+    kept = [F.first(c).alias(c) for c in pair_names[2:4]] + [F.max(c).alias(c) for c in pair_names[4:]]
+    counted = pairs.groupBy("one", "other").agg(F.count("*").alias("n"), *kept)
+    # What they share: the lists counted, and at most what follows the last of these places.
+    beyond = F.least(F.col("one_size") - F.col("one_place"), F.col("other_size") - F.col("other_place")) - 1
+    enough = (F.col("n") + beyond) * (ALIKE[0] + ALIKE[1]) >= (F.col("one_size") + F.col("other_size")) * ALIKE[0]
+    return counted.filter(enough).select("one", "other")
+
+
+def close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose sketches differ in no more bits than alike sets of these sizes in shingles."""
+    for side in ("one", "other"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), F.col("sketch").alias(f"{side}_sketch")), side)
+    bits = F.aggregate(F.zip_with("one_sketch", "other_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    # At least 4/9 of both sizes are shared, so at most 1/9 of them is not.
+    return pairs.filter(bits * (ALIKE[0] + ALIKE[1]) <= F.col("one_size") + F.col("other_size")).select("one", "other")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:

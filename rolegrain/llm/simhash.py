@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from . import shingles
 from .hashing import runs
 
@@ -213,6 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
             both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         least = stored(least)
+        spent.append(least)
         joined = both.join(least, "a")
         if large:
             moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -223,7 +224,9 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = stored(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct())
     mark = None
     while True:
+        spent = [pairs]
         pairs = stored(star(star(pairs, True), False))
+        discard(*spent)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -245,13 +248,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``doc_id, text_hash, root`` per row of ``docs``: groups of texts linked by a Jaccard similarity of their shingles of 4/5 or more."""
     found = stored(shingles.described(docs, shingle))
-    nodes = stored(found.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_hash")).alias("at")))
+    nodes = stored(found.groupBy("node").agg(
+        *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")], F.min(F.struct("doc_id", "text_hash")).alias("at"),
+    ))
+    rows = stored(found.select("doc_id", "text_hash", "node"))
+    discard(found)
     lists = stored(shingles.lists(nodes))
-    pairs = stored(shingles.first_pairs(lists))
+    pairs = stored(shingles.close(shingles.hub_pairs(lists), nodes))
     linked = stored(shingles.verified(pairs, docs, nodes, shingle))
-    rest = stored(shingles.open_pairs(lists, components(linked)).join(pairs, ["one", "other"], "left_anti"))
-    linked = linked.union(stored(shingles.verified(rest, docs, nodes, shingle)))
-    return found.select("doc_id", "text_hash", "node").join(components(linked), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+    first = components(linked)
+    rest = stored(shingles.close(shingles.open_pairs(lists, first).join(pairs, ["one", "other"], "left_anti"), nodes))
+    discard(lists)
+    more = stored(shingles.verified(rest, docs, nodes, shingle))
+    roots = components(linked.union(more))
+    discard(nodes, pairs, rest, linked, more)
+    return rows.join(roots.withColumnsRenamed({"node": "node_"}), F.col("node") == F.col("node_"), "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
