@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import discard, stored
 from .columns import restored, shielded
 from .hashing import SpanHash, lean, runs, sliding_argmin
 
@@ -249,14 +249,15 @@ def divided(segments: DataFrame, length: int, size: int) -> DataFrame:
     return segments.select("anchor", "kind", "lead", "body").mapInArrow(lean(work), schema)
 
 
-def repeats(found: DataFrame, docs: DataFrame, length: int, group: int) -> DataFrame:
-    """``anchor, kind, first, last``: repeated strings of each kind of segment of ``found``."""
+def repeats(found: DataFrame, docs: DataFrame, length: int, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``anchor, kind, first, last``: repeated strings of each kind of segment of ``found``; and the stored tables it reads."""
     kinds = stored(found.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start", "count", "lead")).alias("at")))
     whole = kinds.filter("n > 1").select("anchor", "kind", F.lit(0).alias("first"), (F.col("at.count") - 1).alias("last"))
     many = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     wanted = kinds.join(many, "anchor").select("anchor", "kind", "n", "kinds", "at.*")
     asked = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("anchor", "kind", "kinds", "start", "count", "lead")).alias("asked"))
-    asked = stored(asked).withColumnsRenamed({k: f"{k}_" for k in KEY})
+    requests = stored(asked)
+    asked = requests.withColumnsRenamed({k: f"{k}_" for k in KEY})
     texts = keyed(docs)
     # A key is asked for once; rows with equal keys all answer, which the grouping below undoes.
     bodies = texts.join(asked, (texts["text_hash"] == asked["text_hash_"]) & texts["doc_id"].eqNullSafe(asked["doc_id_"]))
@@ -280,18 +281,24 @@ def repeats(found: DataFrame, docs: DataFrame, length: int, group: int) -> DataF
         .union(parts.filter("n > 1").select("part", "part_kind", F.lit(0), F.col("count") - 1))
     )
     large = blocks.join(from_parts, ["part", "part_kind"]).select("anchor", "kind", (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
-    return whole.union(few).union(large)
+    discard(many, requests, shared, twice)
+    return whole.union(few).union(large), [kinds, bodies, blocks, parts, from_parts]
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int | None = None, group: int = GROUP) -> DataFrame:
-    """``doc_id, text_hash, spans``: byte ranges that start at a repeated string, unordered and overlapping."""
-    found = stored(anchored(docs, length, gram or length // 2))
-    often = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
-    found = stored(found.join(often, "anchor", "left_semi"))
-    runs_ = stored(repeats(found, docs, length, group).groupBy("anchor", "kind").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    """``doc_id, text_hash, spans``: byte ranges that start at a repeated string, unordered and overlapping; a stored table."""
+    every = stored(anchored(docs, length, gram or length // 2))
+    often = stored(every.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    found = stored(every.join(often, "anchor", "left_semi"))
+    discard(every, often)
+    strings, spent = repeats(found, docs, length, group)
+    runs_ = stored(strings.groupBy("anchor", "kind").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    discard(*spent)
     hits = found.join(runs_, ["anchor", "kind"]).select(*KEY, "start", F.explode("runs").alias("r"))
     spans = F.struct((F.col("start") + F.col("r.first")).alias("low"), (F.col("start") + F.col("r.last") + length).alias("high"))
-    return hits.groupBy(*KEY).agg(F.collect_set(spans).alias("spans"))
+    ranges = stored(hits.groupBy(*KEY).agg(F.collect_set(spans).alias("spans")))
+    discard(found, runs_)
+    return ranges
 
 
 def merged(spans: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +329,7 @@ def removed_words(docs: DataFrame, words: int, group: int = GROUP) -> DataFrame:
 
     texts = keyed(docs).withColumn("row", F.xxhash64(*KEY))
     length = words * CODE
-    found = stored(removed_spans(texts.select("row", "text").mapInArrow(lean(work), "doc_id long, text string"), length, None, group))
+    found = removed_spans(texts.select("row", "text").mapInArrow(lean(work), "doc_id long, text string"), length, None, group)
     # Only strings that start with a word count.
     whole = F.transform("spans", lambda s: F.struct(F.ceil(s["low"] / CODE).alias("low"), (F.floor((s["high"] - length) / CODE) + words).alias("high")))
     found = found.select(F.col("doc_id").alias("row"), F.filter(whole, lambda s: s["high"] - s["low"] >= words).alias("word_spans"))
@@ -331,7 +338,7 @@ def removed_words(docs: DataFrame, words: int, group: int = GROUP) -> DataFrame:
 
 def with_spans(docs: DataFrame, length: int, group: int, words: int | None = None) -> DataFrame:
     """``docs`` with the byte ranges to remove in ``spans``, and the ranges of words in ``word_spans`` if ``words`` are given."""
-    spans = stored(removed_spans(docs, length, None, group))
+    spans = removed_spans(docs, length, None, group)
     if words:
         passages = removed_words(docs, words, group).select(*KEY, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "word_spans")
         both = spans.select(*KEY, "spans", F.lit(None).cast(passages.schema["word_spans"].dataType).alias("word_spans")).union(passages)
