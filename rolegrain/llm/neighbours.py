@@ -11,8 +11,9 @@ once, in a task of its own. Each task returns the best ``k`` of its shard for ev
 shards follow from a ranked window over ``k`` rows per query and shard.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as queries nor
-as candidates; vectors of another width than most are compared only with their own width; of rows with the same id the one
-with the smallest vector counts; an empty table gives no rows.
+as candidates; vectors of another width than most are compared only with their own width; rows with the same id and different
+vectors are rows of their own, each a query (with ranks from 1) and a candidate, for each other too; equal rows count once; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ def usable(vector: Column) -> Column:
 
 def nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Per query the ids and cosines of its ``k`` best verified rows of this shard."""
+    raw, asked = rows, queries
     # Powers of two change no cosine, and keep squares of very large and very small components finite.
     rows, queries = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (rows, queries))
     width = rows.shape[1]
@@ -60,6 +62,9 @@ def nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
     ends.append((np.zeros_like(ends[0][0]), np.full_like(ends[0][0], len(rows))))
     for q in range(len(queries)):
         counts = np.zeros(len(rows), np.int64)
+        same = np.flatnonzero(ids == query_ids[q])
+        other = np.ones(len(rows), bool)
+        other[same[(raw[same] == asked[q]).all(axis=1)]] = False
         low = high = None
         for lower, upper in ends:
             if low is None:
@@ -68,7 +73,7 @@ def nearest(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: n
                 fresh = [orders[i, lower[i, q] : low[i, q]] for i in range(LINES)] + [orders[i, high[i, q] : upper[i, q]] for i in range(LINES)]
             counts += np.bincount(np.concatenate(fresh), minlength=len(rows))
             low, high = lower, upper
-            passed = np.flatnonzero((counts >= needed) & (ids != query_ids[q]))
+            passed = np.flatnonzero((counts >= needed) & other)
             if len(passed) >= enough:
                 break
         cosines = np.clip((rows[passed] * queries[q]).sum(axis=1) / (norms[passed] * query_norms[q]), -1.0, 1.0)
@@ -81,25 +86,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_i
 
     def clean(df: DataFrame) -> DataFrame:
         own = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        return own.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+        return own.filter(F.col("id").isNotNull() & usable(F.col("v"))).distinct()
 
     rows, asked = clean(vectors), clean(queries)
     shards = max(1, -(-vectors.count() // SHARD))
     blocks = max(1, -(-queries.count() // BLOCK))
     width = F.size("v").alias("width")
     dealt = rows.select("id", "v", width, F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    sent = asked.select("id", "v", width, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    sent = asked.select("id", "v", F.xxhash64("v").alias("tag"), width, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     cell = ["width", "shard", "block"]
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
             own, wanted = np.stack(left["v"]).astype(float), np.stack(right["v"]).astype(float)
-            ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
+            ids, query_ids, tags = left["id"].to_numpy(), right["id"].to_numpy(), right["tag"].to_numpy()
             for q, found, scores in nearest(own, ids, wanted, query_ids, k, seed):
-                out += [(int(query_ids[q]), int(i), float(s)) for i, s in zip(found, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                out += [(int(query_ids[q]), int(tags[q]), int(i), float(s)) for i, s in zip(found, scores, strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "tag", "vec_id", "score"]).astype({"query_id": "int64", "tag": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = dealt.groupBy(*cell).cogroup(sent.groupBy(*cell)).applyInPandas(work, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = dealt.groupBy(*cell).cogroup(sent.groupBy(*cell)).applyInPandas(work, "query_id long, tag long, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -246,6 +246,18 @@ def test_neighbours_of_odd_rows(spark):
     assert neighbours.search(table.filter("1 = 0"), table, k=3).count() == 0
 
 
+def test_neighbours_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (50, [1.0, 1.0]), (50, [0.0, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = sorted({(i, tuple(v)) for i, v in rows})
+    want = []
+    for query in [r for r in unit if r[0] % 50 == 0]:
+        scored = sorted((-np.dot(query[1], v) / np.linalg.norm(query[1]) / np.linalg.norm(v), i) for i, v in unit if (i, v) != query)
+        want += [(query[0], place + 1, i, round(-c, 6)) for place, (c, i) in enumerate(scored)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.search(table, table.filter("vec_id % 50 = 0")).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_neighbours_of_extreme_vectors():
     rows = np.array([[1e300, 1e300], [1e-300, 0.0], [0.0, 5e-324], [3.0, 4.0]])
     found = dict(zip(*[x.tolist() for x in next(iter(neighbours.nearest(rows, np.arange(4), np.array([[1.0, 0.0]]), np.array([9]), 4, 7)))[1:]], strict=True))
