@@ -223,6 +223,28 @@ def test_similar_texts_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(set(label))
 
 
+def test_edited_copies_around_the_limit(spark):
+    """A family of copies with few and many edits, of several lengths, read in small batches so that lists cross them."""
+    rng = np.random.default_rng(21)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for n in range(70):
+        own = base[: int(rng.integers(230, 301))] if n % 3 == 0 else list(base)
+        for at in rng.integers(0, len(own), int(rng.integers(1, 16))):
+            own[at] = f"new{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    label, pairs = plain_similar(texts)
+    assert 1 < len(set(label)) < len(texts) and len(pairs) > 100
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        roots = {r["doc_id"]: r["root"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = [roots[i] for i in range(len(texts))]
+    assert [found.index(r) for r in found] == [label.index(x) for x in label]
+
+
 def test_keep_first_keeps_rows_not_ids(spark):
     """Several documents without an id, and one id with two texts."""
     text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
