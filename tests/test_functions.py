@@ -1,9 +1,12 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rolegrain.functions import columns as C
+from rolegrain.functions import html
+from rolegrain.functions.batches import SLICE, by_slices, slices
 from rolegrain.functions.html import read_html
 from rolegrain.functions.literals import required_literals
 from rolegrain.functions.spans import find_all
@@ -112,3 +115,17 @@ def test_parts_of_a_date_are_no_timestamps(spark):
     rows = ["2026", "2026-09", "12:30", "T10", "2026-09-04", "2026-09-04T01:02:03Z", "2026-09-04 01:02+02:00", "2026-13-04", None]
     got = values(spark, lambda x: F.unix_timestamp(X.parse_utc(x)), rows)
     assert got == [None, None, None, None, 1788480000, 1788483723, 1788476520, None, None]
+
+
+def test_python_steps_hold_a_slice_of_a_batch(spark):
+    pages = [f"&lt;p&gt;{n}&lt;/p&gt;{'é' * 20_000}" for n in range(300)] + [None, ""]
+    column = pa.array(pages, pa.string())
+    parts = list(slices(column))
+    assert pa.concat_arrays(parts).equals(column) and len(parts) > 8 and max(p.nbytes for p in parts) <= SLICE
+    assert [len(p) for p in slices(pa.array(["x" * 100, "y", "z"]), 50)] == [1, 2] and len(list(slices(column[:0]))) == 1
+    # What a step returns is cut like what it reads, so a worker never holds a whole batch's result.
+    read = list(by_slices(html._parsed)(iter([column, column[:0], column[:2]])))
+    assert [len(r) for r in read] == [*map(len, parts), 0, 2]
+    assert [tuple(x.as_py().values()) for x in pa.concat_arrays(read[:-2])] == [read_html(p) for p in pages]
+    got = spark.createDataFrame(list(enumerate(pages)), "n int, x string").repartition(2).select("n", html.parse_html("x").alias("p")).orderBy("n").collect()
+    assert [tuple(r["p"]) for r in got] == [read_html(p) for p in pages]
