@@ -25,6 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import give_back
 from ..schemas import BOARD_HEADER, BOARD_JOB
 from ..session import stored
 
@@ -75,7 +76,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], _CHUNK_NAMES)
 
     for batch in batches:
-        for value, file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for value, file, block in (tuple(v.as_py() for v in row) for row in zip(*batch.columns, strict=True)):
             if (file, block) != place:
                 if parts:
                     yield close()
@@ -127,6 +128,20 @@ def _cut(data: bytes, quoted: bool, depth: int) -> Iterator[tuple[str, str | Non
         yield "document", None, None
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``cut_chunks``. A chunk is large, so only one of a batch is a Python object at a time."""
+    names = ["kind", *PLACE, "text", "flag"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+    try:
+        for batch in batches:
+            for file, block, chunk, text, quoted, depth in (tuple(v.as_py() for v in row) for row in zip(*batch.columns, strict=True)):
+                rows = [(kind, file, block, chunk, own, flag) for kind, own, flag in _cut(text.encode(), bool(quoted), depth)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    finally:
+        give_back()
+
+
 def cut_chunks(chunks: DataFrame) -> DataFrame:
     """Rows ``kind, file, block, chunk, text, flag``.
 
@@ -134,17 +149,7 @@ def cut_chunks(chunks: DataFrame) -> DataFrame:
     with an earlier entry; ``array`` tells whether the last top-level container that begins here is ``jobs``; ``own`` is
     text of the document itself; ``document`` stands for each document that begins here.
     """
-    names = ["kind", *PLACE, "text", "flag"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, block, chunk, text, quoted, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(kind, file, block, chunk, own, flag) for kind, own, flag in _cut(text.encode(), bool(quoted), depth)]
-                if rows:
-                    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return chunks.select(*PLACE, "text", "quoted", "depth").mapInArrow(work, "kind string, file string, block long, chunk long, text string, flag boolean")
+    return chunks.select(*PLACE, "text", "quoted", "depth").mapInArrow(_entries, "kind string, file string, block long, chunk long, text string, flag boolean")
 
 
 def with_states(chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,17 @@ def test_one_scan_of_the_files(spark, tmp_path):
     for frame in (postings, status):  # both read the stored parse, not the files
         assert "Scan text" not in frame._jdf.queryExecution().executedPlan().toString()
     assert postings.count() == 1 and status.first().fetch_status == "SUCCESS"
+
+
+def test_one_chunk_of_a_batch_is_in_python_at_a_time():
+    size, rows = 1 << 20, 24
+    text = '{"jobs": [{"content": "' + "x" * size + '"}]}'
+    columns = [["f"] * rows, [0] * rows, list(range(rows)), [text] * rows, [0] * rows, [0] * rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["file", "block", "chunk", "text", "quoted", "depth"])
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in board_files._entries(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == rows * 4 and peak < rows * size
