@@ -11,8 +11,10 @@ from ..functions import columns as C
 from ..rules import boards as B
 from ..rules import forms as R
 from ..schemas import HANDOFF_ITEM
+from ..session import fits
 
 _ITEMS = f"array<{HANDOFF_ITEM}>"
+_SLOTS = f"array<struct<stage: int, place: bigint, item: {HANDOFF_ITEM}>>"
 
 
 def _plain(text: Column) -> Column:
@@ -60,8 +62,9 @@ def group_fields(raw: DataFrame, page: Sequence[str] = ("page_id",)) -> DataFram
     An unlabeled text control is a helper of the group before it when its
     context and that group's label contain each other, and every unlabeled
     control in between was a helper too.  A control that fails that test is
-    a group without label, so none behind it can be a helper: the chain is a
-    running minimum over the controls since the last labeled one.
+    a group without label, so none behind it can be a helper: the chain is
+    broken once the last run in which a control failed is the current one.
+    All windows look at one page, so its controls move once.
     """
     fields = raw.filter(~_is_technical()).withColumn("_key", _group_key())
     may_help = (
@@ -80,9 +83,9 @@ def group_fields(raw: DataFrame, page: Sequence[str] = ("page_id",)) -> DataFram
     })
     label, context = F.col("_before.label"), _plain(F.col("context_text"))
     fits = (label != "") & (context != "") & (F.contains(context, label) | F.contains(label, context))
-    chain = Window.partitionBy(*page, "_run").orderBy("index")
-    fields = fields.withColumn("_fits", F.when(F.col("_may_help"), F.coalesce(fits, F.lit(False))))
-    fields = fields.withColumn("_helper", F.col("_may_help") & F.min(F.coalesce("_fits", F.lit(True))).over(chain))
+    fields = fields.withColumn("_fails", F.col("_may_help") & ~F.coalesce(fits, F.lit(False)))
+    failed = F.max(F.when(F.col("_fails"), F.col("_run"))).over(order)
+    fields = fields.withColumn("_helper", F.col("_may_help") & ~F.coalesce(failed == F.col("_run"), F.lit(False)))
     fields = fields.withColumn("_key", F.when(F.col("_helper"), F.col("_before.key")).otherwise(F.col("_key")))
 
     kind = F.lower(_text("type"))
@@ -289,7 +292,9 @@ def resolve_fields(fields: DataFrame, facts: DataFrame, resume_present: str = "r
     ``source``, ``display_answer`` (policy answers only), ``value_present``
     and ``value_preview`` (never for private keys).
     """
-    joined = fields.join(profile_facts(facts), "profile_id", "left")
+    # A few profiles serve very many fields, so fields are not laid out by profile unless the list is long.
+    known = profile_facts(facts)
+    joined = fields.join(F.broadcast(known) if fits(known) else known, "profile_id", "left")
     action, key = F.col("decision.action"), F.coalesce("decision.answer_key", F.lit(""))
     must = F.coalesce("required", F.lit(False))
     answer = policy_answer(key, F.col("authorized"), F.col("sponsor_now"), F.col("sponsor_future"))
@@ -376,24 +381,17 @@ def build_handoffs(
     (``challenge_detected``, ``challenge_reasons``, ``submit_attempts_blocked``,
     ``nonready_mutation_detected``, ``nonready_mutation_reason``).  A failed
     fill takes its answer key out of the ready items.  Items of one form stay
-    together; a form is a bounded group.
+    together; a form is a bounded group.  Fields, fills and pages only meet
+    by page, so frames that lie by page are not moved.
     """
     none = F.lit(None).cast("string")
     failed = fill_results.filter(F.col("status") == "FILL_FAILED")
-    keys = failed.filter(F.coalesce("answer_key", F.lit("")) != "").select(
-        *page, F.col("answer_key").alias("_key"), F.lit(True).alias("_failed")
-    ).distinct()
-    fields = resolved.withColumn("_key", F.col("decision.answer_key")).join(keys, [*page, "_key"], "left")
     item = _item(
         F.col("label"), F.col("decision.category"), F.col("required"), F.col("status"), F.col("source"),
         F.col("decision.answer_key"), F.col("display_answer"), F.col("decision.reason"),
     )
     is_ready = F.col("status") == R.READY
-    slot = F.struct(F.lit(0).alias("stage"), F.col("first_index").alias("place"), item.alias("item"))
-    field_rows = fields.select(
-        *page, F.when(is_ready & F.col("_failed").isNull(), slot).alias("_ready"), F.when(~is_ready, slot).alias("_open"),
-        "status",
-    )
+    slot = F.struct(F.lit(0).alias("stage"), F.col("first_index").cast("long").alias("place"), item.alias("item"))
     failure = _item(
         F.coalesce(F.nullif("label", F.lit("")), F.lit("[unlabeled field]")),
         F.coalesce(F.nullif("category", F.lit("")), F.lit("BROWSER_FILL_FAILURE")),
@@ -401,33 +399,34 @@ def build_handoffs(
         F.coalesce(F.nullif("source", F.lit("")), F.lit("browser")), F.col("answer_key"), none,
         F.coalesce(F.nullif("reason", F.lit("")), F.lit("Deterministic browser fill failed.")),
     )
-    failure_slot = F.struct(F.lit(1).alias("stage"), F.col("place").alias("place"), failure.alias("item"))
-    failure_rows = failed.select(
-        *page, F.lit(None).cast(field_rows.schema["_ready"].dataType).alias("_ready"), failure_slot.alias("_open"),
-        F.lit("FILL_FAILED").alias("status"),
-    )
+    failure_slot = F.struct(F.lit(1).alias("stage"), F.col("place").cast("long").alias("place"), failure.alias("item"))
 
-    def items(name: str) -> Column:
-        return F.transform(F.array_sort(F.collect_list(name)), lambda s: s["item"])
+    def items(*slots: Column) -> Column:
+        return F.transform(F.array_sort(F.concat(*slots)), lambda s: s["item"])
 
-    folded = field_rows.unionByName(failure_rows).groupBy(*page).agg(
-        items("_ready").alias("deterministic_ready"), items("_open").alias("human_assistance"),
+    of_fields = resolved.groupBy(*page).agg(
+        F.collect_list(F.when(is_ready, slot)).alias("_ready"), F.collect_list(F.when(~is_ready, slot)).alias("_open"),
         F.count_if(F.col("status") == "POLICY_MISMATCH").alias("policy_mismatches"),
         F.count_if(F.col("status") == "MISSING_RESUME").alias("missing_resume"),
-        F.count_if(F.col("status") == "FILL_FAILED").alias("_failures"),
+        F.count_if(F.col("status") == "FILL_FAILED").alias("_given"),
+    )
+    of_fills = failed.groupBy(*page).agg(
+        F.collect_list(failure_slot).alias("_failed"), F.collect_set(F.nullif("answer_key", F.lit(""))).alias("_keys"),
+        F.count("*").alias("_failures"),
     )
-    packet = pages.join(folded, list(page), "left")
+    packet = pages.join(of_fields, list(page), "left").join(of_fills, list(page), "left")
+    keys = F.coalesce("_keys", C.empty_strings())
     parsed = parse_page_title(F.col("page_title"))
-    empty = F.array().cast(_ITEMS)
+    ready, opened, fallen = (F.coalesce(n, F.array().cast(_SLOTS)) for n in ("_ready", "_open", "_failed"))
     packet = packet.withColumns({
-        "deterministic_ready": F.coalesce("deterministic_ready", empty),
-        "human_assistance": F.coalesce("human_assistance", empty),
+        "deterministic_ready": items(F.filter(ready, lambda s: ~F.coalesce(F.array_contains(keys, s["item"]["answer_key"]), F.lit(False)))),
+        "human_assistance": items(opened, fallen),
     })
     blocking = F.size(F.filter("human_assistance", lambda i: i["required"]))
     zero, no = F.lit(0), F.lit(False)
     challenge = F.coalesce("challenge_detected", no)
     mutated = F.coalesce("nonready_mutation_detected", no)
-    failures = F.coalesce("_failures", zero)
+    failures = F.coalesce("_given", zero) + F.coalesce("_failures", zero)
     reasons = C.compact(
         F.when(challenge, F.lit("Page challenge / CAPTCHA detected.")),
         F.when(failures > 0, F.concat(failures.cast("string"), F.lit(" deterministic browser fill(s) failed."))),

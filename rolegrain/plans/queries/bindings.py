@@ -44,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return frame.repartition(cores, key) if key and len(frame.inputFiles()) < min(cores, FEW_FILES) else frame
 
 
+def dealt(frame: DataFrame, key: str) -> DataFrame:
+    """Short rows that each become many: laid out by key over the shuffle partitions, so what they become is spread like them.
+
+    All that is grouped or joined by this key behind it needs no shuffle of its own. The number is fixed, as their size tells nothing.
+    """
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 # --- literals ---------------------------------------------------------------
 
 

@@ -24,7 +24,7 @@ PER_FORM = 8
 
 def fields(spark, sf_dir):
     """Classifier input: eight fields per customer."""
-    c, key = b.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, key = b.dealt(b.table(spark, sf_dir, "customer"), "c_custkey"), F.col("c_custkey")
     f = c.select("c_custkey", "c_mktsegment", "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(PER_FORM - 1))).alias("field_no"))
     n = key * 5 + F.col("field_no") * 7
     return f.select(
@@ -196,7 +196,7 @@ def k4(spark, sf_dir):
 
 def handoffs(spark, sf_dir):
     """Packets per customer form; some fills failed, some pages showed a challenge."""
-    c, key = b.table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, key = b.dealt(b.table(spark, sf_dir, "customer"), "c_custkey"), F.col("c_custkey")
     pages = c.select(
         key.alias("page_id"), F.concat(F.lit("https://example.com/"), key.cast("string")).alias("requested_url"),
         F.concat(F.lit("Job Application for "), "c_mktsegment", F.lit(" at "), "c_name").alias("page_title"),

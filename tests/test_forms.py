@@ -96,3 +96,36 @@ def test_base_name(spark, path, name):
     from tests.test_functions import values
 
     assert values(spark, K.base_name, [path]) == [name]
+
+
+def shuffles(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_controls_and_fields_that_lie_by_page_are_not_moved(spark):
+    controls = [(page, n, "", ["Email", "", "x Email", ""][n % 4], "input", "text", "", "", "x Email", False, "", []) for page in range(5) for n in range(6)]
+    raw = spark.createDataFrame(controls, "page_id int, index int, name string, label string, tag string, type string, id string, placeholder string, "
+                                          "context_text string, required boolean, value string, options array<string>")
+    assert shuffles(K.group_fields(raw.repartition(3, "page_id"))) == 1
+    resolved = spark.createDataFrame(
+        [(1, "a", 1, "READY", "EMAIL"), (1, "b", 0, "READY", "PHONE"), (1, "c", 2, "READY", None), (1, "d", 3, "POLICY_MISMATCH", "EMAIL"), (2, "e", 0, "MISSING_RESUME", "")],
+        "page_id int, label string, first_index int, status string, key string",
+    ).selectExpr("page_id", "label", "first_index", "status", "true as required", "'profile' as source", "null as display_answer",
+                 "named_struct('category', 'C', 'action', 'A', 'reason', 'r', 'answer_key', key, 'fixed_answer', null) as decision").repartition(3, "page_id")
+    pages = spark.createDataFrame([(1,), (2,), (3,), (4,)], "page_id int").selectExpr(
+        "page_id", "'u' as requested_url", "'t' as page_title", "'co' as company", "'job' as job_title", "null as resume_path", "false as challenge_detected",
+        "array('x') as challenge_reasons", "0 as submit_attempts_blocked", "false as nonready_mutation_detected", "'' as nonready_mutation_reason",
+    ).repartition(3, "page_id")
+    fills = spark.createDataFrame(
+        [(1, "FILL_FAILED", "EMAIL"), (1, "FILL_FAILED", "EMAIL"), (1, "FILLED", "PHONE"), (2, "FILL_FAILED", ""), (2, "FILL_FAILED", None), (3, "FILL_FAILED", "PHONE")],
+        "page_id int, status string, answer_key string",
+    ).selectExpr("*", "null as label", "null as category", "true as required", "null as source", "null as reason", "0 as place").repartition(3, "page_id")
+    packets = K.build_handoffs(pages, resolved, fills)
+    assert shuffles(packets) == 3  # the three of this test
+    got = {r["page_id"]: ([i["label"] for i in r["deterministic_ready"]], [i["label"] for i in r["human_assistance"]], r["summary"]["policy_mismatches"],
+                          r["summary"]["missing_resume"], [x for x in r["route_reasons"] if "fill(s)" in x]) for r in packets.collect()}
+    failed, count = "[unlabeled field]", "{} deterministic browser fill(s) failed.".format
+    assert got == {
+        1: (["b", "c"], ["d", failed, failed], 1, 0, [count(2)]), 2: ([], ["e", failed, failed], 0, 1, [count(2)]),
+        3: ([], [failed], 0, 0, [count(1)]), 4: ([], [], 0, 0, []),
+    }
