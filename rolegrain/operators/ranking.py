@@ -127,8 +127,8 @@ def _scored_row(p: Column, raw: Column, extra: Callable[[Column], dict[str, Colu
     def weigh(r: Column, v: Column) -> Column:
         available = {name: v["available"][name] for name in (*S.FIT_WEIGHTS,)}
         both = F.struct(
-            P.fit_score({name: v[f"{name}_score"] for name in S.FIT_WEIGHTS}, available).alias("fit"),
-            P.selection_score(r["role_score"], v["semantic_score"], v["required_score"], available["required"]).alias("selection_score"),
+            P.fit_score({name: v[f"{name}_score"] for name in S.FIT_WEIGHTS}, available, C.let).alias("fit"),
+            P.selection_score(r["role_score"], v["semantic_score"], v["required_score"], available["required"], C.let).alias("selection_score"),
         )
         return C.let(both, lambda w: row(r, v, w))
 

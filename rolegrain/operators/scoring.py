@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..rules import scoring as S
 
+#: How a value that an expression uses several times is computed once.
+Bind = Callable[[Column, Callable[[Column], Column]], Column]
 _RESULT = (
     "struct<skills: array<string>, min_matches: int, matched_count: int, satisfied: boolean, "
     "matching_options: array<string>, missing_options: array<string>, kind: string, text: string>"
@@ -31,16 +33,28 @@ def group_result(group: Column, profile_skills: Column) -> Column:
 
 def coverage(normal: Column, groups: Column, profile_skills: Column, section: str) -> Column:
     """``struct<units, satisfied, matched, missing, groups>`` of one section."""
-    own = F.array_sort(F.array_distinct(normal))
-    matched = F.array_intersect(own, profile_skills)
     results = F.transform(
         F.filter(groups, lambda g: g["section"] == section), lambda g: group_result(g, profile_skills)
     )
-    return F.struct(
-        (F.size(own) + F.size(results)).alias("units"),
-        (F.size(matched) + F.size(F.filter(results, lambda r: r["satisfied"]))).alias("satisfied"),
-        matched.alias("matched"), F.array_except(own, matched).alias("missing"), results.alias("groups"),
-    )
+    # Lists are bound before they are used several times: inside a row of profiles nothing else computes them once.
+    own = F.struct(F.array_sort(F.array_distinct(normal)).alias("own"), results.alias("results"))
+
+    def with_matched(x: Column) -> Column:
+        return C.let(F.array_intersect(x["own"], profile_skills), lambda matched: counted(x["own"], x["results"], matched))
+
+    def counted(own: Column, results: Column, matched: Column) -> Column:
+        return F.struct(
+            (F.size(own) + F.size(results)).alias("units"),
+            (F.size(matched) + F.size(F.filter(results, lambda r: r["satisfied"]))).alias("satisfied"),
+            matched.alias("matched"), F.array_except(own, matched).alias("missing"), results.alias("groups"),
+        )
+
+    return C.let(own, with_matched)
+
+
+def repeated(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` for columns of generated code, where Spark itself computes a repeated expression once."""
+    return body(value)
 
 
 def requirement_score(units: Column, satisfied: Column) -> Column:
@@ -56,13 +70,13 @@ def normalize_semantic(raw: Column) -> Column:
 
 
 def weighted_score(
-    scores: Mapping[str, Column], available: Mapping[str, Column], weights: Mapping[str, float]
+    scores: Mapping[str, Column], available: Mapping[str, Column], weights: Mapping[str, float], bind: Bind = repeated,
 ) -> Column:
     """Score over the components that have evidence, and how much evidence that is.
 
     A missing component leaves numerator and denominator and lowers the
     confidence.  Returns ``struct<score, confidence, active_weight,
-    total_weight, weighted_sum, contributions>``.
+    total_weight, weighted_sum, contributions>``.  ``bind`` is ``C.let`` inside lambdas.
     """
     zero = F.lit(0.0)
     points, active = zero, zero
@@ -70,16 +84,20 @@ def weighted_score(
         points = points + F.when(available[name], scores[name] * F.lit(weight)).otherwise(zero)
         active = active + F.when(available[name], F.lit(weight)).otherwise(zero)
     total = float(sum(weights.values()))
-    shares = F.struct(*[
-        F.when(available[n] & (active > 0), C.round2(scores[n] * F.lit(w) / active)).otherwise(zero).alias(n)
-        for n, w in weights.items()
-    ])
-    return F.struct(
-        F.when(active > 0, C.round2(points / active)).otherwise(zero).alias("score"),
-        C.round2(active / F.lit(total) * 100.0).alias("confidence"),
-        C.round2(active).alias("active_weight"), C.round2(F.lit(total)).alias("total_weight"),
-        C.round2(points).alias("weighted_sum"), shares.alias("contributions"),
-    )
+
+    def parts(points: Column, active: Column) -> Column:
+        shares = F.struct(*[
+            F.when(available[n] & (active > 0), C.round2(scores[n] * F.lit(w) / active)).otherwise(zero).alias(n)
+            for n, w in weights.items()
+        ])
+        return F.struct(
+            F.when(active > 0, C.round2(points / active)).otherwise(zero).alias("score"),
+            C.round2(active / F.lit(total) * 100.0).alias("confidence"),
+            C.round2(active).alias("active_weight"), C.round2(F.lit(total)).alias("total_weight"),
+            C.round2(points).alias("weighted_sum"), shares.alias("contributions"),
+        )
+
+    return bind(F.struct(points.alias("points"), active.alias("active")), lambda x: parts(x["points"], x["active"]))
 
 
 def availability(required_units: Column, preferred_units: Column, required_min: Column) -> dict[str, Column]:
@@ -98,19 +116,19 @@ def component_available(flags: Column, component: str, semantic_score: Column |
     return F.coalesce(flags[component], F.lit(True) if semantic_score is None else semantic_score.isNotNull())
 
 
-def selection_score(role: Column, semantic: Column, required: Column, required_available: Column) -> Column:
+def selection_score(role: Column, semantic: Column, required: Column, required_available: Column, bind: Bind = repeated) -> Column:
     """How well a profile represents the applicant for a posting."""
     yes = F.lit(True)
     return weighted_score(
         {"role": role, "semantic": semantic, "required": required},
         {"role": yes, "semantic": yes, "required": required_available},
-        S.SELECTION_WEIGHTS,
+        S.SELECTION_WEIGHTS, bind,
     )["score"]
 
 
-def fit_score(scores: Mapping[str, Column], available: Mapping[str, Column]) -> Column:
+def fit_score(scores: Mapping[str, Column], available: Mapping[str, Column], bind: Bind = repeated) -> Column:
     """How strong the match is on the evidence there is."""
-    return weighted_score(scores, available, S.FIT_WEIGHTS)
+    return weighted_score(scores, available, S.FIT_WEIGHTS, bind)
 
 
 def route(score: Column, confidence: Column, required_evidence: Column) -> Column:
@@ -232,15 +250,18 @@ def neutral_selection(role: Column, semantic: Column, required: Column, required
     )
 
 
-def neutral_fit(scores: Mapping[str, Column], available: Mapping[str, Column]) -> Column:
+def neutral_fit(scores: Mapping[str, Column], available: Mapping[str, Column], bind: Bind = repeated) -> Column:
     """``struct<final_score, confidence, route>``: rounded contributions, routed by score alone."""
     total, evidence = F.lit(0.0), F.lit(0.0)
     for name, weight in S.FIT_WEIGHTS.items():
         effective = F.when(available[name], scores[name]).otherwise(F.lit(S.NEUTRAL_SCORE))
         total = total + C.round2(effective * F.lit(weight) / 100.0)
         evidence = evidence + F.when(available[name], F.lit(weight)).otherwise(F.lit(0.0))
-    final = C.round2(total)
-    return F.struct(
-        final.alias("final_score"), C.round2(evidence).alias("confidence"),
-        F.when(final >= S.MANUAL_THRESHOLD, F.lit("MANUAL_PRIORITY")).otherwise(F.lit("AGENT_APPLY")).alias("route"),
-    )
+
+    def routed(final: Column) -> Column:
+        return F.struct(
+            final.alias("final_score"), C.round2(evidence).alias("confidence"),
+            F.when(final >= S.MANUAL_THRESHOLD, F.lit("MANUAL_PRIORITY")).otherwise(F.lit("AGENT_APPLY")).alias("route"),
+        )
+
+    return bind(total, lambda sum_: bind(C.round2(sum_), routed))

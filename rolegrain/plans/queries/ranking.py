@@ -384,7 +384,7 @@ def _models(spark, sf_dir):
 
     def neutral(r):
         flags = {n: r["available"][n] for n in S.FIT_WEIGHTS}
-        fit = P.neutral_fit({n: r[f"{n}_score"] for n in S.FIT_WEIGHTS}, flags)
+        fit = P.neutral_fit({n: r[f"{n}_score"] for n in S.FIT_WEIGHTS}, flags, C.let)
         return {"n": fit, "n_score": fit["final_score"], "n_selection": P.neutral_selection(r["role_score"], r["semantic_score"], r["required_score"], flags["required"])}
 
     rows = R.with_scored_profiles(required_postings(spark, sf_dir), profiles(spark), raw_similarity, neutral)

@@ -3,9 +3,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rolegrain.functions import columns as C
 from rolegrain.operators import ranking as K
 from rolegrain.operators import scoring as P
 from rolegrain.operators import similarity as M
+from rolegrain.rules import scoring as S
 
 # (required, preferred, semantic, experience, has required, has preferred, has experience) -> score, confidence, route
 VECTORS = [
@@ -71,3 +73,9 @@ def test_pairing_is_the_same_beyond_the_broadcast_limit(spark):
     key = lambda f: sorted((r.id, r.profile, r.role_score) for r in f.collect())
     assert key(small) == key(large)
     assert len(key(small)) == 40 and ("other" in {k[1] for k in key(small)}) and (0, "other", 50.0) in key(small)
+
+
+def test_a_list_of_requirements_is_computed_once_in_a_row_of_profiles(spark):
+    assert str(P.coverage(F.col("normal"), F.col("groups_of_row"), F.col("known"), "required")).count("groups_of_row") == 1
+    score = P.fit_score({n: F.col(n) for n in S.FIT_WEIGHTS}, {n: F.col(f"has_{n}") for n in S.FIT_WEIGHTS}, C.let)
+    assert str(score).count("has_semantic") <= 4
