@@ -18,7 +18,7 @@ more bits than the sets in shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,23 +102,27 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
-def described(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, text_hash, node, size, prefix, sketch`` per row of ``docs``; ``node`` names the set."""
+def described(docs: DataFrame, shingle: int, sign: Callable[[np.ndarray], int]) -> DataFrame:
+    """``doc_id, text_hash, node, size, prefix, sketch, fp`` per row of ``docs``; ``node`` names the set, ``fp`` is ``sign`` of all shingles."""
     names, often = common(docs, shingle)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(hashes(x.as_py(), shingle)) for x in batch.column(2)]
+            sets, signs = [], np.empty(batch.num_rows, np.uint64)
+            for i, text in enumerate(batch.column(2)):
+                every = hashes(text.as_py(), shingle)
+                signs[i] = sign(every)
+                sets.append(np.unique(every))
             node = np.fromiter((xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             first = pa.array([prefix(s, names, often).view(np.int64) for s in sets], pa.list_(pa.int64()))
             sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), first, sketches],
-                ["doc_id", "text_hash", "node", "size", "prefix", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), first, sketches, pa.array(signs.view(np.int64))],
+                ["doc_id", "text_hash", "node", "size", "prefix", "sketch", "fp"],
             )
 
     return keyed(docs).select("doc_id", "text_hash", "text").mapInArrow(
-        lean(work), "doc_id long, text_hash long, node long, size int, prefix array<long>, sketch array<long>",
+        lean(work), "doc_id long, text_hash long, node long, size int, prefix array<long>, sketch array<long>, fp long",
     )
 
 

@@ -38,7 +38,11 @@ MOST_KEYS = 200
 
 def text_fingerprint(text: str | None, shingle: int) -> int:
     """The unsigned 64-bit fingerprint of one text."""
-    hashes = shingles.hashes(text, shingle)
+    return fingerprint(shingles.hashes(text, shingle))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The unsigned 64-bit fingerprint of all shingles of a text."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -245,16 +249,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``doc_id, text_hash, root`` per row of ``docs``: groups of texts linked by a Jaccard similarity of their shingles of 4/5 or more."""
-    found = stored(shingles.described(docs, shingle))
+def near_pairs(nodes: DataFrame, radius: int, limit: int = SHARD) -> DataFrame:
+    """``one, other``: nodes whose fingerprints ``fp`` are equal, or linked by the trees; pairs that span what is linked."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = nodes.select("fp", "node").join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    found = links(heads.select("fp"), radius, limit)
+    for side, end in (("a", "src"), ("b", "dst")):
+        found = found.join(heads.select(F.col("fp").alias(end), F.col("head").alias(side)), end)
+    pairs = equal.union(found.select("a", "b"))
+    return pairs.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("other")).distinct()
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+    """``doc_id, text_hash, root`` per row of ``docs``: groups of texts linked by a Jaccard similarity of their shingles of 4/5 or more.
+
+    The links of the trees within ``radius`` bits come first. A link counts if the whole sets are alike; what is alike at a greater
+    distance follows from the exact search in the lists, which compares only what is not linked by then.
+    """
+    found = stored(shingles.described(docs, shingle, fingerprint))
     nodes = stored(found.groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")], F.min(F.struct("doc_id", "text_hash")).alias("at"),
+        *[F.first(c).alias(c) for c in ("size", "prefix", "sketch")], F.min("fp").alias("fp"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
     ))
     rows = stored(found.select("doc_id", "text_hash", "node"))
     discard(found)
+    near = stored(near_pairs(nodes, radius))
     lists = stored(shingles.lists(nodes))
-    pairs = stored(shingles.close(shingles.hub_pairs(lists), nodes))
+    # Links of the trees and of the hubs are compared in one reading of the texts.
+    pairs = stored(shingles.close(near.union(shingles.hub_pairs(lists)).distinct(), nodes))
+    discard(near)
     linked = stored(shingles.verified(pairs, docs, nodes, shingle))
     first = components(linked)
     rest = stored(shingles.close(shingles.open_pairs(lists, first).join(pairs, ["one", "other"], "left_anti"), nodes))
@@ -268,8 +290,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of ``docs`` per group of near-duplicates: that with the smallest id (null last), then text hash; of equal rows one.
 
-    Near-duplicates are found exactly, on the whole shingle sets: fingerprints of texts with a similarity of 0.8 differ by 9 to
-    14 bits, which no radius covers that keeps shards small.
+    Near-duplicates are linked by their fingerprints in BK-trees and confirmed on the whole shingle sets. Fingerprints of texts with a
+    similarity of 0.8 differ by 9 to 14 bits, which no radius covers that keeps shards small, so an exact search adds what is left.
     """
     rows = stored(similar_groups(docs, shingle))
     # An id does not name a row: ids may be null or repeated. Equal ids with equal texts are in one group.

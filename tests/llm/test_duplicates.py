@@ -223,6 +223,25 @@ def test_similar_texts_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(set(label))
 
 
+def test_trees_of_fingerprints_link_the_pipelines_groups(spark, monkeypatch):
+    """Without the lists' pairs, groups are what the fingerprints link and the whole sets confirm."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in range(40):
+        own = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        other = [*own[:150], f"new{n}", *own[151:]] if n % 2 else [*own[:100], *(f"x{n}y{i}" for i in range(100)), *own[200:]]
+        texts += [" ".join(own), " ".join(other)]
+    texts += ["v " * 40, "v " * 50 + "v", "", None]
+    monkeypatch.setattr(simhash.shingles, "hub_pairs", lambda found: found.selectExpr("node as one", "hub as other").limit(0))
+    monkeypatch.setattr(simhash.shingles, "open_pairs", lambda found, roots: found.selectExpr("node as one", "hub as other").limit(0))
+    roots = {r["doc_id"]: r["root"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bits = [simhash.text_fingerprint(t, 5) for t in texts]
+    near = {n for n in range(0, len(texts), 2) if (bits[n] ^ bits[n + 1]).bit_count() <= 4}
+    alike = {n for n in near if 5 * len(plain_shingles(texts[n]) & plain_shingles(texts[n + 1])) >= 4 * len(plain_shingles(texts[n]) | plain_shingles(texts[n + 1]))}
+    assert {n for n in range(0, len(texts), 2) if roots[n] == roots[n + 1]} == alike and len(alike) > 8
+    assert len(set(roots.values())) == len(texts) - len(alike)
+
+
 def test_edited_copies_around_the_limit(spark):
     """A family of copies with few and many edits, of several lengths, read in small batches so that lists cross them."""
     rng = np.random.default_rng(21)
