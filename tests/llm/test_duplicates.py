@@ -94,6 +94,23 @@ def test_repeated_strings_against_all_strings(spark, group):
     assert sorted([tuple(r) for r in got], key=key) == sorted([(i, *w) for (i, _), w in zip(rows, want, strict=True)], key=key)
 
 
+def test_phrases_said_over_and_over_against_all_strings(spark):
+    """Equal segments of a text are one row that keeps all places, so what is joined grows with texts and kinds."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdé "), n))
+    phrases = ["ox it ", "x", "so be it, "]
+    rows = [letters(20) + phrase * n + letters(20) for phrase in phrases for n in (7, 40, 60)] + ["ox it " * 50, letters(200), "", None]
+    rows = [(i if i % 4 else None, t) for i, t in enumerate(rows)] + [(1, rows[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    segments = suffixes.anchored(docs, 60, 30).collect()
+    assert len(segments) < sum(len(r["starts"]) for r in segments) / 4
+    assert all(r["places"] == len(r["starts"]) and r["starts"] == sorted(set(r["starts"])) for r in segments)
+    assert sum(r["places"] * r["count"] for r in segments) == sum(max(0, len((t or "").encode()) - 59) for _, t in rows)
+    got = suffixes.remove(docs, ["doc_id"], length=60).collect()
+    want = plain_removed([(t or "").encode() for _, t in rows], 60)
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, *w)) for (i, _), w in zip(rows, want, strict=True))
+
+
 def test_repeated_strings_query(spark, sf_dir, texts):
     rows = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op5_suffix_dedup"](spark, sf_dir).collect()}
     order = sorted(texts)
